@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_quality",)
+MODULES = ("queries_quality", "queries_tokens")
 
 
 def queries() -> dict:
