@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_quality", "queries_tokens")
+MODULES = ("queries_quality", "queries_tokens", "queries_warc")
 
 
 def queries() -> dict:
