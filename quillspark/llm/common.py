@@ -152,6 +152,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BYTES_MIXED = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     have = _powers.get("up")
@@ -169,7 +172,8 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """P with P[j] - P[i] the polynomial hash of data[i:j], shifted by BASE**i."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:], dtype=np.uint64)
+    mixed = BYTES_MIXED[data] if data.dtype == np.uint8 else mix(data + np.uint64(1))
+    np.cumsum(mixed * up[: len(data)], out=out[1:], dtype=np.uint64)
     return out
 
 
