@@ -1,10 +1,15 @@
-"""op8: words that windows of 20 words repeat, over all documents, and the same in SQL."""
+"""op1 and op8: bytes and words that repeated windows cover, over all documents, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substrings
+from . import substrings, suffixes
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return suffixes.deduplicate(docs, text=False)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +32,5 @@ SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(
 FROM d LEFT JOIN o ON o.doc_id = d.doc_id
 """
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op8_substring_dedup": op8_substring_dedup}
 SQL = {"op8_substring_dedup": OP8_SQL}
