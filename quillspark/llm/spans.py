@@ -23,6 +23,7 @@ from .common import map_groups, mix, prefix_hashes, span_hashes
 
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
 PIECE_BYTES = 3_000_000
+PIECE_DOCUMENTS = 4_096
 POSITION_BITS = np.uint64(32)
 LAST_ID = np.iinfo(np.int64).max  # null ids come last
 
@@ -50,7 +51,7 @@ def word_pieces(texts: list) -> Iterator[Piece]:
     k = 0
     while k < len(texts):
         first, parts, size = k, [], 0
-        while k < len(texts) and (not parts or size < PIECE_BYTES):
+        while k < len(texts) and (not parts or size < PIECE_BYTES and len(parts) < PIECE_DOCUMENTS):
             parts.append(b" ".join((texts[k] or "").encode("utf-8", "surrogatepass").split()))
             size += len(parts[-1])
             k += 1
@@ -70,7 +71,7 @@ def byte_pieces(texts: list) -> Iterator[Piece]:
     k = 0
     while k < len(texts):
         first, parts, size = k, [], 0
-        while k < len(texts) and (not parts or size < PIECE_BYTES):
+        while k < len(texts) and (not parts or size < PIECE_BYTES and len(parts) < PIECE_DOCUMENTS):
             parts.append((texts[k] or "").encode("utf-8", "surrogatepass"))
             size += len(parts[-1])
             k += 1
