@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +107,7 @@ def map_groups(df: DataFrame, keys: list[str], sort: list[str], fn: Callable[[pa
             for k in keys:
                 col = table.column(k).combine_chunks()
                 a, b = col.slice(1), col.slice(0, len(col) - 1)
-                differ = pa.compute.fill_null(pa.compute.not_equal(a, b), True).to_numpy(zero_copy_only=False)
+                differ = pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False)
                 new[1:] |= differ
             starts = np.flatnonzero(new)
             if last:

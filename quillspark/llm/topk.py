@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column, filled up with zeros."""
-    lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
     out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
     out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
     return out
