@@ -100,9 +100,9 @@ class Sets:
 
     def picked(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, bucket keys) of the first level of a run."""
-        odd = mix(np.uint64(2 * run + 1) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        odd = mix(np.array([(2 * run + 1) * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64)) | np.uint64(1)
         at = np.flatnonzero(self.token * odd < self.limit[self.doc])
-        return self.doc[at], mix(self.token[at] + np.uint64(run) * np.uint64(0xD1342543DE82EF95))
+        return self.doc[at], mix(self.token[at] + np.uint64(run * 0xD1342543DE82EF95 % (1 << 64)))
 
     def paths(self, doc: int, key: int) -> list[int]:
         """The keys of the deepest level below a bucket of the first."""
