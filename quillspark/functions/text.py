@@ -135,5 +135,6 @@ def shown(x: Column, pattern: str) -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, ties to even, as Python does it. Spark's own rounds the decimal text."""
+    """Rounding of the exact binary value, ties to even, as Python does it; Spark's own rounds the decimal
+    text. The one known difference are values of which half a unit of the last digit is all, such as 0.0005."""
     return shown(x, "0." + "0" * digits).cast("double")

@@ -29,13 +29,19 @@ def running(h: DataFrame, column: str, out: str, by: list[str] = (), descending:
     Scores are cut into `ranges` intervals of equal width a group; each interval sums within itself and adds the
     totals of the intervals before it, of which there are few."""
     by = list(by)
-    edges = h.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    # all branches read the same columns of the histogram, so that its shuffle is planned once and reused
+    values = [c for c in h.columns if c not in (*by, "score")]
+    whole = F.lit(True)
+    for c in values:
+        whole = whole & (F.col(f"_all_{c}") >= 0)
+    sums = [F.sum(c).alias(f"_all_{c}") for c in values]
+    edges = h.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), *sums).where(whole).select(*by, "_lo", "_hi")
     bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(ranges - 1), F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges))).otherwise(F.lit(0)).cast("int")
     binned = (h.join(edges, by) if by else h.join(F.broadcast(edges))).withColumn("_bin", bin_of).drop("_lo", "_hi")
     order = F.desc("_bin") if descending else F.asc("_bin")
     # one row a bin and group
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = binned.groupBy(*by, "_bin").agg(F.sum(column).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
+    before = binned.groupBy(*by, "_bin").agg(*sums).where(whole).select(*by, "_bin", F.coalesce(F.sum(f"_all_{column}").over(w), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(*by, "_bin").orderBy(F.desc("score") if descending else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return binned.join(F.broadcast(before) if not by else before, [*by, "_bin"]).withColumn(out, (F.col("_before") + F.coalesce(F.sum(column).over(inner), F.lit(0))).cast("long")).drop("_before", "_bin")
 
