@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_LIMIT = 200_000
+ROWS = 256  # texts that are encoded before their results leave the worker
 
 
 def byte_alphabet() -> list[str]:
@@ -66,7 +69,7 @@ class Codec:
         self.joined = joined
         self._find = regex.compile(PATTERN).findall
         self._special = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self._table: dict[str, tuple[int, str, bytes]] = {}
+        self._table: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """`piece` cut wherever the vocabulary never joins the two bytes."""
@@ -78,12 +81,15 @@ class Codec:
         out.append(piece[start:])
         return out
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
+    def _piece(self, piece: str) -> tuple[int, str, bytes, bytes]:
         ids = [t.id for f in self.fragments(piece.encode("utf-8")) for t in self._model.tokenize(f.decode("latin-1").translate(self._chars))]
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
+        return self._entry(ids)
 
-    def _parts(self, text: str | None) -> list[tuple[int, str, bytes]]:
-        """For each piece: how many ids, the ids in decimal with commas, the bytes that they decode to."""
+    def _entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids)), array("i", ids).tobytes()
+
+    def _parts(self, text: str | None) -> list[tuple[int, str, bytes, bytes]]:
+        """For each piece: how many ids, the ids in decimal with commas, the bytes that they decode to, the ids packed."""
         table, out = self._table, []
         if len(table) > TABLE_LIMIT:
             table.clear()
@@ -91,7 +97,7 @@ class Codec:
             if not run:
                 continue
             if run in self.special:
-                out.append((1, str(self.special[run]), run.encode()))
+                out.append(self._entry([self.special[run]]))
                 continue
             for piece in self._find(run):
                 got = table.get(piece)
@@ -103,14 +109,21 @@ class Codec:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self._parts(text) for i in ids.split(",")]
+        return array("i", self.packed(self._parts(text))).tolist()
+
+    @staticmethod
+    def packed(parts: list[tuple[int, str, bytes, bytes]]) -> bytes:
+        return b"".join([p[3] for p in parts])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids; SHA-256 of the ids in decimal with commas; SHA-256 of the decoded text."""
-        parts = self._parts(text)
+        return self.digest_of(self._parts(text))
+
+    @staticmethod
+    def digest_of(parts: list[tuple[int, str, bytes, bytes]]) -> tuple[int, str, str]:
         ids = ",".join([p[1] for p in parts])
         decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
         return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
@@ -125,21 +138,31 @@ def codec(path: str) -> Codec:
 def _map(df: DataFrame, text_col: str, fields: list[T.StructField], fn) -> DataFrame:
     names = [f.name for f in fields]
     kept = df.drop(*names)
-    rest = [c for c in kept.columns]
+    rest = list(kept.columns)
     schema = T.StructType([*kept.schema.fields, *fields])
-    source = kept.withColumn("_text", F.col(f"`{text_col}`")) if text_col in rest else df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("_text"))
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            results = fn(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *results], names=[*rest, *names])
+        for whole in batches:
+            # few rows at a time: ids take more room than text
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *fn(b.column(b.num_columns - 1).to_pylist())], names=[*rest, *names])
 
     return source.mapInArrow(run, schema)
 
 
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """`df` with an array of token ids."""
-    return _map(df, text_col, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [pa.array([codec(path).encode(t) for t in texts], pa.list_(pa.int32()))])
+    return _map(df, text_col, [T.StructField(out, IDS)], lambda texts: [_id_lists([Codec.packed(codec(path)._parts(t)) for t in texts])])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -147,12 +170,19 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text") ->
     return _map(df, ids_col, [T.StructField(out, T.StringType())], lambda rows: [pa.array([codec(path).decode(r or []) for r in rows], pa.string())])
 
 
-def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """`df` with n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids: str | None = None) -> DataFrame:
+    """`df` with n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text, and with the ids themselves
+    in the column `ids` if it is named."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def fn(texts: list) -> list[pa.Array]:
-        rows = [codec(path).digest(t) for t in texts]
-        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-
-    return _map(df, text_col, fields, fn)
+        c, rows, packed = codec(path), [], []
+        for t in texts:
+            parts = c._parts(t)
+            rows.append(c.digest_of(parts))
+            if ids:
+                packed.append(c.packed(parts))
+        digests = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return [*digests, *([_id_lists(packed)] if ids else [])]
+
+    return _map(df, text_col, [*fields, *([T.StructField(ids, IDS)] if ids else [])], fn)

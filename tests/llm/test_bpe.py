@@ -45,6 +45,8 @@ def test_frame(spark):
     rows = {r.doc_id: r for r in bpe.round_trip(df, tokenizer_path()).collect()}
     assert (rows[1].n_tokens, rows[2].n_tokens, rows[3].n_tokens) == (0, 2, 0)
     assert rows[1].ids_sha256 == hashlib.sha256(b"").hexdigest() == rows[1].decoded_sha256
+    ids = {r.doc_id: r.ids for r in bpe.round_trip(df, tokenizer_path(), ids="ids").collect()}
+    assert ids == {1: [], 2: LIB.encode("a b").ids, 3: []}
     back = bpe.decode(bpe.encode(df, tokenizer_path()).drop("text"), tokenizer_path()).collect()
     assert sorted(r.text for r in back) == ["", "", "a b", "a b"]
     assert bpe.round_trip(df.limit(0), tokenizer_path()).count() == 0
