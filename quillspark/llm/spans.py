@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_groups, mix, prefix_hashes, span_hashes
 
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
-PIECE_BYTES = 3_000_000
+PIECE_BYTES = 1_500_000
 PIECE_DOCUMENTS = 4_096
 POSITION_BITS = np.uint64(32)
 LAST_ID = np.iinfo(np.int64).max  # null ids come last

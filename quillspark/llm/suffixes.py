@@ -29,7 +29,7 @@ from . import spans
 from .common import mix, prefix_hashes, span_hashes, written
 
 WINDOW, GRAM = 200, 24
-CHUNK_BYTES = 2_000_000  # of text under one suffix array, unless one minimizer has more
+CHUNK_BYTES = 1_000_000  # of text under one suffix array, unless one minimizer has more
 HOT = 8_000  # different runs of one minimizer, from which it is dealt to blocks
 KINDS = {"mz": "u8", "span": "u8", "check": "u4", "id": "i8", "tie": "u4", "at": "u4", "n": "u2", "many": "u1"}
 KNOWN = {"kid": "i8", "ktie": "u4", "kat": "u4", "kn": "u2"}
