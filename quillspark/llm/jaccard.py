@@ -39,6 +39,9 @@ BINS = 128  # of a sketch, two bits each
 TOKEN_BITS = np.uint64(52)  # a shingle's hash; the document within a piece fills the rest
 BLOCK = 1_024  # sets that are compared in one matrix product
 NODES = {"key": "u8", "node": "u8"}
+#: Documents with their nodes pass through the first shuffle, by document.
+DOCUMENTS = {"id": "i8", "tie": "i8", "own": "u8", "n": "i8"}
+FIRST = "key long, id long, tie long, node long, n long"
 MEMBERS = {"key": "u8", "node": "u8", "n": "u4", "s0": "u8", "s1": "u8", "s2": "u8", "s3": "u8"}
 
 
@@ -71,7 +74,8 @@ class Sets:
         inside &= (length == SHINGLE) | (at == p.starts[doc])
         at, doc = at[inside], doc[inside]
         h = p.hashes(at, at + length[inside])
-        keys = np.unique((doc.astype(np.uint64) << TOKEN_BITS) | (h >> (np.uint64(64) - TOKEN_BITS)))
+        keys = np.sort((doc.astype(np.uint64) << TOKEN_BITS) | (h >> (np.uint64(64) - TOKEN_BITS)))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
         self.doc = (keys >> TOKEN_BITS).astype(np.int64)
         self.token = mix(keys & ((np.uint64(1) << TOKEN_BITS) - np.uint64(1)))
         self.size = np.bincount(self.doc, minlength=len(n))
@@ -291,19 +295,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
     n_buckets = spans.bucket_count(docs)
 
     # first pass: each document's node, and how many nodes each bucket of the first level has
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, ties = spans.document_keys(b.column(0), b.column(1).to_pylist())
-            if not b.num_rows:
-                continue
-            sets = list(_arrays(b))
-            node, size = np.concatenate([s.node for s in sets]), np.concatenate([s.size for s in sets])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(ties), pa.array(node.view(np.int64)), pa.array(size)], names=["doc_id", "id", "tie", "node", "n"])
-
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, owners = [], []
+            ids, ties = spans.document_keys(b.column(0), b.column(1).to_pylist())
+            keys, owners, node, size = [], [], [], []
             for s in _arrays(b):
+                node.append(s.node)
+                size.append(s.size)
                 once = np.zeros(len(s.size), bool)
                 once[np.unique(s.node, return_index=True)[1]] = True
                 for r in range(runs):
@@ -312,19 +310,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
                     owners.append(s.node[doc[once[doc]]])
             if keys:
                 key, owner = np.concatenate(keys), np.concatenate(owners)
-                yield spans.pack((key % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"key": key, "node": owner})
+                parts = [spans.pack((key % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"key": key, "node": owner}), spans.pack((mix(ids.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"id": ids, "tie": ties, "own": np.concatenate(node), "n": np.concatenate(size)})]
+                for part in parts:
+                    blank = pa.array([b""] * part.num_rows, pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("bucket"), *(part.column(c) if c in part.schema.names else blank for c in (*NODES, *DOCUMENTS))], names=["bucket", *NODES, *DOCUMENTS])
 
     def count(x: dict) -> Iterator[pa.RecordBatch]:
+        if len(x["own"]):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x["own"]), pa.int64()), pa.array(x["id"]), pa.array(x["tie"]), pa.array(x["own"].view(np.int64)), pa.array(x["n"])], names=["key", "id", "tie", "node", "n"])
         order = np.lexsort((x["node"], x["key"]))
         key, node = x["key"][order], x["node"][order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         keys, n = np.unique(key[new], return_counts=True)
         if (n > 1).any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+            none = pa.nulls(int((n > 1).sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), none, none, none, pa.array(n[n > 1].astype(np.int64))], names=["key", "id", "tie", "node", "n"])
 
-    members = written(texts.mapInArrow(nodes, "doc_id long, id long, tie long, node long, n long"), "nodes")
-    counted = written(spans.by_bucket(texts.mapInArrow(buckets, spans.shipped(NODES)), NODES, count, "key long, n long"), "buckets")
+    kinds = NODES | DOCUMENTS
+    first = written(spans.by_bucket(texts.mapInArrow(buckets, spans.shipped(kinds)), kinds, count, FIRST), "first")
+    members = first.where("key IS NULL").select(F.nullif(F.col("id"), F.lit(spans.LAST_ID)).alias("doc_id"), "id", "tie", "node", "n")
+    counted = first.where("key IS NOT NULL").select("key", "n")
     company, large = (context.broadcast(spans.bit_map(counted.where(c), "key")) for c in ("n > 1", f"n > {small}"))
 
     # second pass: members of buckets with company, those of large ones at the deepest level

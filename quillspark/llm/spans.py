@@ -24,6 +24,7 @@ from .common import map_groups, mix, prefix_hashes, span_hashes
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
 PIECE_BYTES = 1_500_000
 PIECE_DOCUMENTS = 4_096
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\f\r", np.uint8))
 POSITION_BITS = np.uint64(32)
 LAST_ID = np.iinfo(np.int64).max  # null ids come last
 
@@ -52,18 +53,16 @@ def word_pieces(texts: list) -> Iterator[Piece]:
     while k < len(texts):
         first, parts, size = k, [], 0
         while k < len(texts) and (not parts or size < PIECE_BYTES and len(parts) < PIECE_DOCUMENTS):
-            parts.append(b" ".join((texts[k] or "").encode("utf-8", "surrogatepass").split()))
-            size += len(parts[-1])
+            parts.append((texts[k] or "").encode("utf-8", "surrogatepass"))
+            size += len(parts[-1]) + 1
             k += 1
-        data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-        gap = (data == 32) | (data == 10)
-        last = np.flatnonzero(gap)
-        begin = np.concatenate(([0], last[:-1] + 1))
-        some = last > begin  # an empty document has no word
-        counts = np.cumsum(some)
-        ends = counts[data[last] == 10]
-        codes = span_hashes(prefix_hashes(data), begin[some], last[some])
-        yield Piece(codes, np.concatenate(([0], ends[:-1])), ends, first)
+        data = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)
+        space = IS_SPACE[data]
+        begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        # how many words there are up to each document's end
+        ends = np.searchsorted(begin, np.cumsum([len(p) + 1 for p in parts]))
+        yield Piece(span_hashes(prefix_hashes(data), begin, end), np.concatenate(([0], ends[:-1])), ends, first)
 
 
 def byte_pieces(texts: list) -> Iterator[Piece]:
