@@ -53,3 +53,22 @@ def write_report(metrics: dict, folder: str) -> None:
     for kind in ("false_positives", "false_negatives"):
         wrong += [f"## {kind.replace('_', ' ')}", "", *(f"- {r['score']}: {r['snippet']}" for r in metrics[kind]), ""]
     (out / "misclassified.md").write_text("\n".join(wrong), encoding="utf-8")
+
+
+def drift_report(rows: DataFrame, path: str, label: str = "y", metrics: dict[str, bool] | None = None) -> str:
+    """A table of each group's size, median score and AUC against pooled human rows, as Markdown at `path`.
+
+    Groups are few (source, era and model); only they come to the driver."""
+    metrics = metrics or {"score": False, **{m: True for m in ("ll_perplexity", "ll_binoculars", "ll_surprisal_stdev") if m in rows.columns}}
+    found: dict[str, dict] = {}
+    for r in stats.drift(rows, label, metrics).orderBy("grp").collect():
+        found.setdefault(r.grp, {})[r.metric] = r
+    first = next(iter(metrics))
+    shown = lambda x: "—" if x is None else f"{x:.3f}"
+    lines = ["# Groups against pooled human texts", "", "| group | n | median | " + " | ".join(f"{m} AUC" for m in metrics) + " |", "|" + "---|" * (3 + len(metrics))]
+    for grp, by in found.items():
+        base = by.get(first) or next(iter(by.values()))
+        lines.append(f"| {grp} | {base.n} | {base['median']} | " + " | ".join(shown(by[m].auc if m in by else None) for m in metrics) + " |")
+    text = "\n".join(lines) + "\n"
+    Path(path).write_text(text, encoding="utf-8")
+    return text

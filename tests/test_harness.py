@@ -146,3 +146,6 @@ def test_train_and_evaluate(spark, tmp_path):
     evaluate.write_report(metrics, str(tmp_path))
     assert json.loads((tmp_path / "metrics.json").read_text())["auc"] == metrics["auc"]
     assert set(FEATURE_NAMES) <= set(metrics["feature_auc"]) and (tmp_path / "report.md").exists()
+    rows = scored.withColumns({"era": F.lit("2022"), "model": F.lit("m")})
+    table = evaluate.drift_report(rows, str(tmp_path / "drift.md"))
+    assert "· human | " in table and "· m | " in table and (tmp_path / "drift.md").read_text() == table
