@@ -72,9 +72,14 @@ def release(spark: SparkSession, path: str) -> None:
     _remove(spark, path.rsplit("/", 1)[0])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: cuts lineage, and outlives the executors that made it."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """`df` as a table in the shared folder: cuts lineage, and outlives the executors that made it.
+
+    `narrow` is for tables of a few numbers a row that only native operations made: an eighth of the shuffle's tasks
+    write them, as each file costs more than its rows do."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -198,22 +203,20 @@ def word_spans(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component): the smallest node that is connected to it, for each node of `edges` (longs).
 
-    Alternates the large-star and small-star steps; each round is a written table, so a lost executor
-    costs one round and nothing goes to the driver but a count.
-    """
-    e = written(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges")
+    Alternates the large-star and small-star steps. Each round is one written table, so a lost executor costs a
+    round at most, and nothing goes to the driver but two yes or no answers."""
+    e = written(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges", narrow=True)
     while True:
+        # large star: what is larger than a node goes to the node's smallest neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: what is smaller than a node goes to the smallest of it
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, "small")
-        drop_written(large)
-        # a forest of stars: no centre is anyone's leaf
-        done = after.select("v").distinct().join(after.select("u").distinct(), F.col("v") == F.col("u"), "left_semi").isEmpty() and after.groupBy("u").count().where("count > 1").isEmpty()
+        after = written(small, "stars", narrow=True)
         drop_written(e)
         e = after
-        if done:
+        # a forest of stars: no node has two centres, and no centre is another's leaf
+        if e.groupBy("u").count().where("count > 1").isEmpty() and e.select("v").distinct().join(e.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

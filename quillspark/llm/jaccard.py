@@ -37,7 +37,7 @@ LAMBDA, DEPTH, SMALL = 0.7, 3, 64
 TARGET_RECALL = 0.9999
 BINS = 128  # of a sketch, two bits each
 TOKEN_BITS = np.uint64(52)  # a shingle's hash; the document within a piece fills the rest
-BLOCK = 1_024  # sets that are compared in one matrix product
+BLOCK = 512  # sets that are compared in one matrix product
 NODES = {"key": "u8", "node": "u8"}
 #: Documents with their nodes pass through the first shuffle, by document.
 DOCUMENTS = {"id": "i8", "tie": "i8", "own": "u8", "n": "i8"}
@@ -360,9 +360,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
 
     # third pass: the sets of all nodes that have a candidate, each group of candidates together
     weights = members.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    clusters = written(clusters.join(weights, "node"), "clusters")
+    clusters = written(clusters.join(weights, "node"), "clusters", narrow=True)
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = written(clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    placed = written(clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed", narrow=True)
     wanted = context.broadcast(spans.bit_map(placed, "node"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,9 +387,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
         whole = components(decided.select(F.col("node").alias("a"), F.col("label").alias("b")))
         groups = linked.join(whole, "node").select("node", "links", "component")
     results = members.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    results = written(results, "results")
+    results = written(results, "results", narrow=True)
     classes = results.groupBy("component").agg(F.min("first").alias("class_id"))
-    results = written(results.join(classes, "component").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id"), "classes")
+    results = written(results.join(classes, "component").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id"), "classes", narrow=True)
     alone = members.where("n = 0").select("id", "tie", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return members.where("n > 0").join(results, "node").select("id", "tie", "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")).union(alone)
 
@@ -397,7 +397,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each class of similar documents: that of the smallest id."""
     found = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = written(found.groupBy("id", "tie", "n_links").agg(F.count(F.lit(1)).alias("same")).drop("n_links"), "stays")
+    stays = written(found.groupBy("id", "tie", "n_links").agg(F.count(F.lit(1)).alias("same")).drop("n_links"), "stays", narrow=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.col(f"`{text_col}`")
     keyed = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(spans.LAST_ID)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tie")).join(stays, ["id", "tie"])
