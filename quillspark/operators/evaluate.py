@@ -19,6 +19,9 @@ def evaluate(rows: DataFrame, train: DataFrame | None = None, threshold: float |
     counts, or 2.5 without one. Only aggregates and the report's examples come to the driver."""
     names = [n for n in [*FEATURE_NAMES, "ll_perplexity", "ll_mean_logprob", "ll_surprisal_stdev", "ll_binoculars"] if n in rows.columns]
     one = lambda df: df.first().asDict()
+    # scored once: ten aggregates read these columns; of the text only what a report shows
+    kept = [c for c in dict.fromkeys([key, label, "score", *names, "question", "domain", "source", "era"]) if c in rows.columns]
+    cached = rows = rows.select(*kept, F.substring("text", 1, 280).alias("text")).persist()
     if threshold is None:
         threshold = one(stats.best_threshold(train, "score", label))["threshold"] if train is not None else 2.5
     long = rows.select(label, *[F.col(n).cast("double").alias(n) for n in names]).unpivot([label], names, "feature", "value")
@@ -29,13 +32,15 @@ def evaluate(rows: DataFrame, train: DataFrame | None = None, threshold: float |
     for r in stats.slice_auc(rows, "score", label, [k for k in ("domain", "source", "era") if k in rows.columns]).collect():
         slices.setdefault(f"{r.slice}_auc", {})[r.value] = round(r.auc, 4)
     ci = one(stats.bootstrap_auc_ci(rows, "score", label, reps))
-    return {
+    out = {
         **one(stats.auc(rows, "score", label)), "auc_ci95": [ci["lo"], ci["hi"]], "paired": one(stats.paired_auc(rows, "question", key, "score", label)) if "question" in rows.columns else {},
         "score_dist": {str(r[label]): r.asDict() for r in stats.dist(rows, "score", [label]).collect()},
         "operating_threshold": one(stats.confusion_at(rows, "score", label, threshold)), "leaky_best_f1": one(stats.confusion_at(rows, "score", label, leaky)),
         "feature_auc": {r.feature: r.asDict() for r in stats.feature_auc(long, label, directions).collect()}, **slices,
         "false_positives": [r.asDict() for r in wrong if r.kind == "fp"], "false_negatives": [r.asDict() for r in wrong if r.kind == "fn"],
     }
+    cached.unpersist()
+    return out
 
 
 def write_report(metrics: dict, folder: str) -> None:
