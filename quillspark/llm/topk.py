@@ -30,7 +30,9 @@ from .common import written
 
 BLOCK = 8_192
 CHUNK = 4_096
-FIRST_DEPTH, DEEPER = 32, 4
+FIRST_DEPTH, DEEPER = 8, 4
+ENOUGH = 4  # once the lists have shown one in so many of a block's vectors, the block is scored as a whole
+TOGETHER = 256  # queries of which the rest of a block is scored at once
 NO_ID = np.iinfo(np.int64).max  # null ids sort last
 INDEX = "n int, d int, rows binary, ids binary, values binary, lists binary"
 
@@ -94,9 +96,13 @@ class Block:
         self.size = int(np.abs(exact).max(initial=0))
         self.values = exact.astype(np.float64)
 
+    def exact_in_double(self, q: np.ndarray) -> bool:
+        """Whether every partial sum of an inner product with `q` is below 2**53."""
+        return self.size * int(np.abs(q).max(initial=0)) * max(1, len(q)) < 1 << 53
+
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Inner products as integers; in doubles where every partial sum is below 2**53."""
-        if self.size * int(np.abs(q).max(initial=0)) * max(1, len(q)) < 1 << 53:
+        """Inner products as integers."""
+        if self.exact_in_double(q):
             return (self.values[at] @ q.astype(np.float64)).astype(np.int64)
         return self.exact[at] @ q
 
@@ -111,38 +117,66 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
-def threshold_search(block: Block, q: np.ndarray, own: int, k: int, scores: np.ndarray, ids: np.ndarray, seen_count: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The top k of what (scores, ids) hold already and of the block, the row `own` left out."""
+def _aligned(q: np.ndarray, d: int) -> np.ndarray:
+    return q if len(q) == d else np.concatenate((q[:d], np.zeros(max(0, d - len(q)), np.int64)))
+
+
+def threshold_search(block: Block, q: np.ndarray, own: int, k: int, scores: np.ndarray, ids: np.ndarray, seen_count: list | None = None, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The top k of what (scores, ids) hold already and of the block, the row `own` left out.
+
+    The third result tells whether the walk came to its end; if not, so much of the block was shown that the rest
+    of it is better scored as a whole (score_rest)."""
     n = len(block.ids)
-    if len(q) != block.values.shape[1]:
-        d = block.values.shape[1]
-        q = np.concatenate((q[:d], np.zeros(max(0, d - len(q)), np.int64)))
+    q = _aligned(q, block.values.shape[1])
     dims = np.flatnonzero(q)
+    if not len(dims):
+        return scores, ids, False
+    weight, up = q[dims], q[dims] > 0
     seen = block.rows == own
-    depth, step = 0, FIRST_DEPTH
-    up = q[dims] > 0
-    while depth < n:
-        reach = min(n, depth + step)
-        if len(dims):
+    depth, step, shown_all = 0, FIRST_DEPTH, 0
+    while True:
+        if len(scores) == k:
             # dimensions with a negative weight are read from the other end
-            shown = np.concatenate((block.lists[dims[up], depth:reach].ravel(), block.lists[dims[~up], n - reach : n - depth].ravel()))
-        else:
-            shown, reach = np.arange(n), n
+            edge = np.where(up, block.lists[dims, depth], block.lists[dims, n - 1 - depth])
+            # whole numbers below 2**53 in doubles, or Python's own
+            if block.exact_in_double(q):
+                bound = float(weight.astype(np.float64) @ block.values[edge, dims])
+            else:
+                bound = sum(int(a) * int(b) for a, b in zip(weight, block.exact[edge, dims]))
+            if bound < scores[-1]:  # at equality an unseen vector with a smaller id could tie
+                return scores, ids, True
+        reach = min(n, depth + step)
         fresh = np.zeros(n, bool)
-        fresh[shown] = True
+        fresh[block.lists[dims[up], depth:reach].ravel()] = True
+        fresh[block.lists[dims[~up], n - reach : n - depth].ravel()] = True
         at = np.flatnonzero(fresh & ~seen)
         seen[at] = True
+        shown_all += len(at)
         if seen_count is not None:
             seen_count[0] += len(at)
         if len(at):
             scores, ids = best(np.concatenate((scores, block.scores(at, q))), np.concatenate((ids, block.ids[at])), k)
         depth, step = reach, step * DEEPER
-        if depth < n and len(scores) == k:
-            edge = np.where(up, block.lists[dims, depth], block.lists[dims, n - 1 - depth])
-            bound = sum(int(a) * int(b) for a, b in zip(q[dims], block.exact[edge, dims]))
-            if bound < scores[-1]:  # at equality an unseen vector with a smaller id could tie
-                break
-    return scores, ids
+        if depth == n:
+            return scores, ids, True
+        if shown_all * enough > n:
+            return scores, ids, False
+
+
+def score_rest(block: Block, queries: np.ndarray, owns: list[int], k: int, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The top k of what `found` holds from other blocks and of the whole block, for many queries in one product."""
+    if all(block.exact_in_double(q) for q in queries):
+        scores = (block.values @ queries.T.astype(np.float64)).T.astype(np.int64)
+    else:
+        scores = queries @ block.exact.T
+    where = {int(r): i for i, r in enumerate(block.rows)} if len(owns) else {}
+    out = []
+    for s, own, (have, ids) in zip(scores, owns, found):
+        others = np.ones(len(s), bool)
+        if own in where:
+            others[where[own]] = False
+        out.append(best(np.concatenate((have, s[others])), np.concatenate((ids, block.ids[others])), k))
+    return out
 
 
 def search(index: DataFrame, query: str, k: int = 20, chunk: int = CHUNK) -> DataFrame:
@@ -181,8 +215,18 @@ def search(index: DataFrame, query: str, k: int = 20, chunk: int = CHUNK) -> Dat
             for b in batches:
                 for r in b.to_pylist():
                     block = Block(r)
+                    open_ = []
                     for i, (own, q) in enumerate(zip(rows, vectors)):
-                        found[i] = threshold_search(block, q, own, k, *found[i])
+                        scores, near, ended = threshold_search(block, q, own, k, *found[i])
+                        if ended:
+                            found[i] = scores, near
+                        else:
+                            open_.append(i)
+                    for at in range(0, len(open_), TOGETHER):
+                        part = open_[at : at + TOGETHER]
+                        matrix = np.array([_aligned(vectors[i], block.values.shape[1]) for i in part])
+                        for i, f in zip(part, score_rest(block, matrix, [rows[i] for i in part], k, [found[i] for i in part])):
+                            found[i] = f
             lengths = [len(s) for s, _ in found]
             if sum(lengths):
                 back = lambda x: pa.array([None if i == NO_ID else i for i in x.tolist()], pa.int64())

@@ -39,10 +39,13 @@ def test_threshold_algorithm_with_ties(seed, n, d):
     block = topk.Block(topk._pack(np.arange(n), rng.permutation(n), values))
     q = rng.integers(-2, 3, d)
     old, topk.FIRST_DEPTH, topk.DEEPER = (topk.FIRST_DEPTH, topk.DEEPER), 1, 2
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     try:
-        s, i = topk.threshold_search(block, q, 0, 5, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        s, i, ended = topk.threshold_search(block, q, 0, 5, *none, enough=int(rng.integers(0, 4)))
     finally:
         topk.FIRST_DEPTH, topk.DEEPER = old
+    if not ended:
+        ((s, i),) = topk.score_rest(block, q[None, :], [0], 5, [none])
     want = sorted((-int(values[j] @ q), int(block.ids[j])) for j in range(1, n))[:5]
     assert [(-int(a), int(b)) for a, b in zip(s, i)] == want
 
