@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_LIMIT = 200_000
@@ -136,6 +138,7 @@ def codec(path: str) -> Codec:
 
 
 def _map(df: DataFrame, text_col: str, fields: list[T.StructField], fn) -> DataFrame:
+    ship(df.sparkSession)
     names = [f.name for f in fields]
     kept = df.drop(*names)
     rest = list(kept.columns)

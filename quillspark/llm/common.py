@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,22 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 _written: list[tuple[SparkSession, str]] = []
 
 
+# ------------------------------------------------------------- executors
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once a context: their Python need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quillspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="quillspark-code-"), "quillspark_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    context._quillspark_shipped = True
+
+
 # ------------------------------------------------------------------ words
 
 def words(text: Column) -> Column:
@@ -99,6 +118,7 @@ def map_groups(df: DataFrame, keys: list[str], sort: list[str], fn: Callable[[pa
     One Python call serves many small groups, which applyInPandas doesn't. A group has to fit in memory:
     callers split large ones first.
     """
+    ship(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

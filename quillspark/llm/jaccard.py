@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import components, map_groups, mix, written
+from .common import components, map_groups, mix, ship, written
 
 SHINGLE = 5
 LAMBDA, DEPTH, SMALL = 0.7, 3, 64
@@ -288,6 +288,7 @@ def _verified(ratio: tuple[int, int]):
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: tuple[int, int] = (4, 5), target: float = TARGET_RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id, tie, doc_id, class_id, n_links, n_copies): for each row of `docs` the smallest id of its connected group, and
     with how many rows it is similar, copies included."""
+    ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     threshold = ratio[0] / ratio[1]
     runs, most = runs_needed(threshold, target), most_mismatches(threshold)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, ship
 
 UNKNOWN = "und"
 
@@ -170,6 +170,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", s: Settings = DEFAULT) -> Model:
     """A model from the rows of `rows` whose text and language aren't null."""
+    ship(rows.sparkSession)
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = sorted(((r["count"], r.lang) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()), key=lambda x: x[1])
     languages = [lang for _, lang in counts]
@@ -210,6 +211,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", s: Sett
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`df` with lang_pred and score; reads no other column than the text."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")], F.col(f"`{text_col}`").alias("_text"))
     schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import written
+from .common import ship, written
 
 WINDOW, GRAM = 20, 4
 KINDS = {"mz": "u8", "span": "u8", "check": "u4", "id": "i8", "tie": "u4", "at": "u4", "n": "u2"}
@@ -121,6 +121,7 @@ def _edges(p: spans.Piece, r: spans.Runs, k: int) -> spans.Runs:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = GRAM) -> DataFrame:
     """(id, tie, start, stop): spans of words that windows with an earlier start elsewhere cover."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     n_buckets = spans.bucket_count(docs)
     kinds = KINDS | KNOWN

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import mix, prefix_hashes, span_hashes, written
+from .common import mix, prefix_hashes, ship, span_hashes, written
 
 WINDOW, GRAM = 200, 24
 CHUNK_BYTES = 1_000_000  # of text under one suffix array, unless one minimizer has more
@@ -279,6 +279,7 @@ def _search(x: dict, window: int, chunk: int) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """(id, tie, start, stop): spans of bytes that strings of `window` bytes cover which start elsewhere too."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     n_buckets = spans.bucket_count(docs)
 

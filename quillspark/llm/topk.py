@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ship, written
 
 BLOCK = 8_192
 CHUNK = 4_096
@@ -61,6 +61,7 @@ def _pack(rows: np.ndarray, ids: np.ndarray, values: np.ndarray) -> dict:
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """All vectors in blocks with their sorted lists, as a written table."""
+    ship(vectors.sparkSession)
     schema = pa.schema([("n", pa.int32()), ("d", pa.int32()), *((c, pa.binary()) for c in ("rows", "ids", "values", "lists"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +183,7 @@ def score_rest(block: Block, queries: np.ndarray, owns: list[int], k: int, found
 def search(index: DataFrame, query: str, k: int = 20, chunk: int = CHUNK) -> DataFrame:
     """For each indexed vector for which the SQL condition `query` on vec_id holds: its k best others."""
     spark = index.sparkSession
+    ship(spark)
     schema = "query_row long, query_id long, vec_id long, score long"
 
     # each chunk of queries is one row; the driver holds one at a time

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, ship, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the formats: signatures, and a plain instant so that reruns write the same bytes.
@@ -108,6 +108,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
     Each task streams its records into files of its own name, so a task that runs again can't harm what
     another wrote; the manifest, a written table, lists the files of the tasks that ended well.
     """
+    ship(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +249,7 @@ def read_records(f, first: int = 0, last: int | None = None, span: int = 1 << 22
 
 def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = True, records_a_task: int = 10_000) -> DataFrame:
     """The records of all archives of a manifest; a large archive is read by many tasks."""
+    ship(spark)
     parts = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_records") - 1, F.lit(0)), F.lit(records_a_task).cast("long"))).alias("first"))
     schema = RECORDS if payloads else RECORDS.replace(", payload binary", "")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
