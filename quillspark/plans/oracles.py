@@ -111,8 +111,17 @@ tot AS (SELECT {lead}count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WH
 auc AS (SELECT {''.join(f't.{k} AS {k}, ' for k in keys)}t.n_pos, t.n_neg, w.w / nullif(CAST(2 AS DOUBLE) * t.n_pos * t.n_neg, 0) AS auc FROM tot t LEFT JOIN won w ON {same})"""
 
 
-Z = {n: f"greatest(-6, least(6, (coalesce({n if n in NAMES else 'NULL'}, {MODEL['impute'][n]!r}) - {m!r}) / {s!r}))" for n, m, s in zip(MODEL["features"], MODEL["mean"], MODEL["std"])}
-LOGIT = f"CAST({MODEL['intercept']!r} AS DOUBLE) + " + " + ".join(f"CAST({c!r} AS DOUBLE) * CAST({Z[n]} AS DOUBLE)" for n, c in zip(MODEL["features"], MODEL["coef"]))
+def zs(have: list[str]) -> dict[str, str]:
+    """Each feature's clipped z; the model's stand-in for columns that aren't there."""
+    return {n: f"greatest(-6, least(6, (coalesce({n if n in have else 'NULL'}, {MODEL['impute'][n]!r}) - {m!r}) / {s!r}))" for n, m, s in zip(MODEL["features"], MODEL["mean"], MODEL["std"])}
+
+
+def logit(z: dict[str, str]) -> str:
+    return f"CAST({MODEL['intercept']!r} AS DOUBLE) + " + " + ".join(f"CAST({c!r} AS DOUBLE) * CAST({z[n]} AS DOUBLE)" for n, c in zip(MODEL["features"], MODEL["coef"]))
+
+
+Z = zs(NAMES)
+LOGIT = logit(Z)
 P_VERDICT = "CASE WHEN wc < 20 THEN 'uncertain (text too short to score reliably)' WHEN p < 0.2 THEN 'human' WHEN p < 0.5 THEN 'mostly human, light tells' WHEN p < 0.8 THEN 'AI-leaning' ELSE 'reads as AI' END"
 SIGMOID = "CASE WHEN x < -60 THEN CAST(0 AS DOUBLE) WHEN x > 60 THEN CAST(1 AS DOUBLE) ELSE 1 / (1 + exp(-x)) END"
 
@@ -202,6 +211,9 @@ def build() -> dict[str, str]:
         "q_generated_filter": f"SELECT lang, count(*) AS n FROM documents WHERE len(regexp_extract_all(text, '[^{WS}]+')) >= 30 GROUP BY lang",
         "q_clean": f"SELECT conv_id, turn, md5(trim(regexp_replace(text, '[{WS}]+', ' ', 'g'))) AS clean_md5 FROM conversations",
     }
+    likelihood = LIKELIHOOD.replace(f"src AS ({SEASONED}),", "")
+    full = logit(zs([*NAMES, "ll_mean_logprob", "ll_surprisal_stdev", "ll_binoculars"]))
+    out["q_augment"] = f"WITH {SCORED},{likelihood}, j AS (SELECT z.*, ll_mean_logprob, ll_surprisal_stdev, ll_binoculars FROM z LEFT JOIN ll ON ll.doc_id = z.doc_id), l AS (SELECT doc_id, wc, {full} AS x FROM j), s AS (SELECT doc_id, wc, {SIGMOID} AS p FROM l) SELECT doc_id, {half_even('p', 4)} AS probability, {P_VERDICT} AS verdict, wc >= 20 AND p >= 0.49995 AS flagged, CAST(17 AS INTEGER) AS n_signals FROM s"
     out["q_qa_flatten"] = _QA
     out["q_flat_cells"] = _FLAT
     return out

@@ -248,7 +248,7 @@ def q_clean(spark, sf):
 def q_augment(spark, sf):
     pair, _ = _with_likelihood(spark, sf)
     a = gate.gate(combine.augment(pair.score(scored(spark, sf))))
-    return a.select("doc_id", F.round("probability", 3).alias("probability"), "verdict", "flagged", F.size("signals").alias("n_signals"))
+    return a.select("doc_id", "probability", "verdict", "flagged", F.size("signals").alias("n_signals"))
 
 
 def q_bootstrap_ci(spark, sf):
