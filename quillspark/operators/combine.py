@@ -91,7 +91,9 @@ def augment(scored: DataFrame, model: dict = MODEL) -> DataFrame:
     """Scored texts with likelihood columns: adds probability, replaces signals, extends layers and notes.
 
     A signal leans to the machine side by its value's direction, not by the coefficient's sign."""
+    # pinned: else each of the many mentions below computes its part of the array again
     out = predict(scored, model)
+    out = out.withColumns({c: pinned(F.col(c)) for c in ("contributions", "prob_raw")})
     layers = [F.struct(F.lit(n).alias("key"), rounded(_value(scored, n), 3).alias("value")) for n in LL_FEATURES if n in scored.columns]
     signals = []
     for i, name in enumerate(model["features"]):
