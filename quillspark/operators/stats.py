@@ -143,7 +143,11 @@ def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
 def dist(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """(by, n, mean, median, p25, p75, min, max); the quartiles are the elements at n // 4 and 3 n // 4."""
     rows = df.select(*by, pinned(F.col(value).cast("double")).alias("score")).where("score IS NOT NULL")
-    h = rows.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("c"))
+    return _dist(rows.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("c")), by)
+
+
+def _dist(h: DataFrame, by: list[str]) -> DataFrame:
+    """`dist` from (by, score, c)."""
     h = running(h, "c", "upto", by)
     n = h.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("score") * F.col("c")).alias("s"), F.min("score").alias("min"), F.max("score").alias("max"))
     h = h.join(n, list(by)) if by else h.join(F.broadcast(n))
@@ -177,11 +181,13 @@ def drift(df: DataFrame, label: str, metrics: dict[str, bool]) -> DataFrame:
     human = F.col(label) != 1
     name = F.concat_ws(" · ", F.coalesce("source", F.lit("?")), F.coalesce("era", F.lit("?")), F.when(human, "human").otherwise(F.coalesce("model", F.lit("ai"))))
     long = df.select(name.alias("grp"), F.col(label).alias("_l"), *[pinned(F.col(m).cast("double")).alias(m) for m in metrics]).unpivot(["grp", "_l"], list(metrics), "metric", "value").where("value IS NOT NULL")
-    median = dist(long, "value", ["grp", "metric"]).select("grp", "metric", "n", "median")
-    pooled = histogram(long.where("_l <> 1"), "value", "_l", ["metric"]).select("metric", "score", "neg")
-    groups = histogram(long.where("_l = 1"), "value", "_l", ["grp", "metric"]).select("grp", "metric", "score", "pos")
+    # everything below reads this one histogram; its conditions name both counts, so that it is planned once
+    cells = long.groupBy("grp", "metric", F.col("value").alias("score")).agg(F.count_if(F.col("_l") == 1).alias("pos"), F.count_if(F.col("_l") != 1).alias("neg"))
+    median = _dist(cells.select("grp", "metric", "score", (F.col("pos") + F.col("neg")).alias("c")), ["grp", "metric"]).select("grp", "metric", "n", "median")
+    pooled = cells.groupBy("metric", "score").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("_p")).where("neg > 0 AND _p >= 0").select("metric", "score", "neg")
+    groups = cells.where("pos > 0 AND neg >= 0").select("grp", "metric", "score", "pos")
     names = groups.select("grp", "metric").distinct()
-    both = groups.select("grp", "metric", "score", "pos", F.lit(0).alias("neg")).union(names.join(pooled, "metric").select("grp", "metric", "score", F.lit(0).cast("long"), "neg"))
+    both = groups.select("grp", "metric", "score", "pos", F.lit(0).cast("long").alias("neg")).union(names.join(pooled, "metric").select("grp", "metric", "score", F.lit(0).cast("long"), "neg"))
     h = running(both.groupBy("grp", "metric", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "neg", "below", ["grp", "metric"])
     wins = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("double")
     a = h.groupBy("grp", "metric").agg(F.try_divide(wins, 2.0 * F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))

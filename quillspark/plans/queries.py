@@ -10,6 +10,7 @@ from ..functions.text import pinned
 from ..operators.features import FEATURE_NAMES, dimension, features, features_long
 from ..operators.parse import parse, vocab_hits
 from ..operators.heuristic import score, top_issues
+from ..sources.readers import spread
 from .seasoned import SEASONED
 
 QA = """
@@ -37,8 +38,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    return spread(_table(spark, sf, name))
+
+
 def seasoned(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(SEASONED.replace("FROM documents", "FROM {documents}"), documents=_table(spark, sf, "documents"))
+    return spark.sql(SEASONED.replace("FROM documents", "FROM {documents}"), documents=_texts(spark, sf))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,12 +67,12 @@ def _with_likelihood(spark: SparkSession, sf: str) -> tuple[likelihood.NgramPair
 
 
 def q_text_stats(spark, sf):
-    p = parse(_table(spark, sf, "documents"))
+    p = parse(_texts(spark, sf))
     return p.select("doc_id", "word_count", F.size("tokens").alias("n_tokens"), F.round("per_1k", 6).alias("per_1k"), "n_commas")
 
 
 def q_sentence_stats(spark, sf):
-    p = parse(_table(spark, sf, "documents"))
+    p = parse(_texts(spark, sf))
     return p.select("doc_id", "sentence_count", F.col("sum_length").alias("sum_length"), F.round("cv", 6).alias("cv"), "low_confidence")
 
 
@@ -158,7 +163,7 @@ def q_feature_auc(spark, sf):
 
 
 def q_paired_auc(spark, sf):
-    talk = _table(spark, sf, "conversations").where("role <> 'system'").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("role") == "assistant").cast("int").alias("y"), "text")
+    talk = _texts(spark, sf, "conversations").where("role <> 'system'").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("role") == "assistant").cast("int").alias("y"), "text")
     rows = score(talk).withColumn("s", _grid("score_raw").cast("double"))
     return stats.paired_auc(rows, "conv_id", "id", "s", "y").select("pairs", "wins", "ties", "losses", F.round("paired_auc", 9).alias("paired_auc"), F.round("mean_delta", 3).alias("mean_delta"))
 

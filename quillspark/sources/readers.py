@@ -27,6 +27,13 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as there are cores at least. A small table may be one split, and texts cost more to work on
+    than to move; a table of more splits than cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(name, text): each file whole. Bytes that aren't UTF-8 become the replacement character."""
     found = existing(spark, paths)
