@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
 from . import topk
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    vectors = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return topk.search(topk.build_index(vectors), query="vec_id % 20 = 0", k=20)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
 from . import bpe
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,7 +17,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return bpe.round_trip(docs.select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
