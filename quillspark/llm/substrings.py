@@ -4,7 +4,7 @@ The k-mers of words are the graph's edges. A path of edges that share one minimi
 (a run); runs with one minimizer meet in one bucket, where equal runs, which are the repeated nonbranching
 stretches, are told by their hashes at once. Only minimizers with different runs, which is where the graph branches or
 a repeat ends, are taken apart into single edges in a second pass. Each occurrence travels with its coordinates and a
-second, independent hash, and both hashes must agree with those of the earliest occurrence. The flagged runs of a
+second hash, of the run's two parts, and both hashes must agree with those of the earliest occurrence. The flagged runs of a
 document come together in a join on its key and merge into its removed spans.
 
 A word goes if a window of k words that covers it also starts earlier: in a document of smaller id, or in the same
