@@ -4,10 +4,12 @@ Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share a
 `max_repeats` times its source's size, and what is above is shared again by weight (water filling).
 
 Draws: each source's documents fall by a keyed hash into `n` blocks, which a keyed permutation puts in order;
-epoch after epoch they form a line of block instances, of which the mix takes the first `quota`. So every
-document is taken as often as another, give or take one. The block at the cut is cut between documents, and up to
-`FILLS` whole documents that still fit the rest are added. All of this is a function of the row and of a few
-numbers a source, so taking is a projection: no join on documents and no collected list of them.
+epoch after epoch they form a line of block instances, of which the mix takes the first `quota`. So up to
+the cut every document is taken as often as another, give or take one. From there on the line goes document by
+document to its end: what still fits is taken, what doesn't is passed over, so in the end no document fits that could
+be taken once more. This leaves a few steps a source, each a place in the line from which only documents up to a size
+are taken. All of this is a function of the row and of a few numbers a source, so taking is a projection: no join on
+documents and no collected list of them.
 
 Shards: a binary tree halves the mix; at each node the blocks of every source that go left are drawn from the
 multivariate hypergeometric distribution, with a generator seeded by the node. A block instance finds its shard by
@@ -21,19 +23,21 @@ a source are collected on the driver: `max_sources` bounds them, and more is an
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, word_count, written
+from .common import map_groups, ship, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-FILLS = 3
+AHEAD = 8  # times the words still to take, looked through in one round
 SPAN = 1 << 40  # hashes of documents within a block
 
 
@@ -47,8 +51,8 @@ class Source:
     step: int = 1  # of the permutation
     shift: int = 0
     quota: int = 0  # block instances taken whole
-    cut: int = 0  # of the next instance, documents whose hash is below this
-    fills: tuple[int, ...] = ()  # document keys taken once more
+    steps: tuple[tuple[int, int], ...] = ()  # places in the line, and the largest document taken from there on
+    more: int = 0  # words taken beyond the quota
 
 
 @dataclass(frozen=True)
@@ -79,10 +83,6 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("_text_hash"), F.lit(seed))
 
 
-def _source_is(s: Source) -> Column:
-    return F.col("source").isNull() if s.name is None else F.col("source") == s.name
-
-
 def _per_source(plan: Plan, value, default=0) -> Column:
     """A number of a row's source as a map lookup; the map has an entry a source."""
     entries = [x for s in plan.sources if s.name is not None for x in (F.lit(s.name), F.lit(value(s)))]
@@ -132,35 +132,63 @@ def plan_mix(docs: DataFrame, seed: int = 13, block_words: int = 2_000, max_bloc
         rest[s.name] = int(s.target - (line[quota - 1] if quota else 0))
     plan = Plan(tuple(sources), seed)
 
-    # the block at the cut: documents in the order of their hash while they fit
-    at_cut = located.where(F.col("_place") == F.pmod(_per_source(plan, lambda s: s.quota), F.col("_blocks"))).where(_per_source(plan, lambda s: int(s.quota < MAX_REPEATS * s.blocks)) > 0)
-    hashes = at_cut.groupBy("source", "_within").agg(F.sum("size").alias("size"))
-    running = F.sum("size").over(_window())
-    fits = hashes.withColumn("words", running).where(F.col("words") <= _per_source_of(plan, rest)).groupBy("source").agg(F.max("_within").alias("within"), F.max("words").alias("words"))
-    for r in fits.collect():
-        k = next(i for i, s in enumerate(sources) if s.name == r.source)
-        sources[k] = replace(sources[k], cut=r.within + 1)
-        rest[r.source] -= r.words
-    plan = Plan(tuple(sources), seed)
-
-    # whole documents that fit what is left, the largest first
-    for _ in range(FILLS):
-        taken = repeats(_located(sized, plan), plan)
-        found = taken.where((F.col("size") > 0) & (F.col("size") <= _per_source_of(plan, rest)) & (F.col("_repeats") < MAX_REPEATS)).groupBy("source", "_key").agg(F.sum("size").alias("size")).where(F.col("size") <= _per_source_of(plan, rest)).groupBy("source").agg(F.max(F.struct("size", "_key")).alias("best")).collect()
-        for r in found:
-            k = next(i for i, s in enumerate(sources) if s.name == r.source)
-            sources[k] = replace(sources[k], fills=(*sources[k].fills, r.best._key))
-            rest[r.source] -= r.best["size"]
-        plan = Plan(tuple(sources), seed)
+    # from there on whole documents while they fit, in rounds that look through a stretch of each source's line
+    ends = {s.name: MAX_REPEATS * s.blocks for s in sources}
+    start = {s.name: s.quota for s in sources}
+    steps: dict[str | None, list[tuple[int, int]]] = {s.name: [] for s in sources}
+    number = {s.name: k for k, s in enumerate(sources)}
+    left = dict(rest)
+    while True:
+        for name, at in start.items():
+            if at < ends[name] and (not steps[name] or steps[name][-1][1] != left[name]):
+                steps[name].append((at * SPAN, left[name]))
+        if not any(left[name] and at < ends[name] for name, at in start.items()):
+            break
+        fitting = located.where((F.col("size") > 0) & (F.col("size") <= _per_source_of(plan, {n: left[n] for n, at in start.items() if at < ends[n]})))
+        small = {s.name: np.zeros(s.blocks, np.int64) for s in sources}
+        for r in fitting.groupBy("source", "_place").agg(F.sum("size").alias("words")).collect():
+            small[r.source][r._place] = r.words
+        stop = {}
+        for name, at in start.items():
+            line = np.cumsum(np.tile(small[name], MAX_REPEATS)[at:])
+            if left[name] and len(line) and line[-1]:
+                stop[name] = min(ends[name], at + int(np.searchsorted(line, AHEAD * left[name], side="right")) + 1)
+        if not stop:
+            break
+        instance = F.col("_epoch") * F.col("_blocks") + F.col("_place")
+        ahead = fitting.withColumn("_epoch", F.explode(F.array(*[F.lit(e) for e in range(MAX_REPEATS)]))).withColumn("_at", (instance * F.lit(SPAN) + F.col("_within")).cast("long"))
+        ahead = ahead.where((instance >= _per_source_of(plan, start)) & (instance < _per_source_of(plan, stop)))
+        ahead = ahead.groupBy(_per_source_of(plan, number).alias("k"), "_at").agg(F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most"), F.first(_per_source_of(plan, left)).cast("long").alias("left"))
+        for r in map_groups(ahead, ["k"], ["_at"], _fitted, "k int, left long, starts array<long>, limits array<long>").collect():
+            name = sources[r.k].name
+            left[name] = r.left
+            steps[name] += zip(r.starts, r.limits)
+        start |= stop
+    plan = Plan(tuple(replace(s, steps=tuple(steps[s.name]), more=rest[s.name] - left[s.name]) for s in sources), seed)
     total = sum(s.size for s in sources)
     return replace(plan, shards=1 << max(0, math.ceil(math.log2(max(1, total / shard_words)))))
 
 
-def _window():
-    from pyspark.sql import Window
-
-    # only documents of one block a source
-    return Window.partitionBy("source").orderBy("_within").rowsBetween(Window.unboundedPreceding, 0)
+def _fitted(table: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each source, what is left when its documents were taken in order while they fit, and the steps of it.
+
+    Equal documents, and others of the same place, are taken together or not at all."""
+    out = []
+    for i, j in zip(offsets[:-1], offsets[1:]):
+        x = {c: table.column(c).slice(i, j - i).to_pylist() for c in table.schema.names}
+        left = limit = x["left"][0]
+        starts, limits = [], []
+        for at, total, least, most in zip(x["_at"], x["total"], x["least"], x["most"]):
+            takes = total <= left
+            if takes and most > limit or not takes and least <= limit:
+                limit = left if takes or left < least else 0
+                starts.append(at)
+                limits.append(limit)
+            left -= total if takes else 0
+        out.append((x["k"][0], left, starts, limits))
+    k, left, starts, limits = zip(*out)
+    longs = pa.list_(pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(left, pa.int64()), pa.array(starts, longs), pa.array(limits, longs)], names=["k", "left", "starts", "limits"])
 
 
 def _per_source_of(plan: Plan, values: dict) -> Column:
@@ -169,15 +197,19 @@ def _per_source_of(plan: Plan, values: dict) -> Column:
 
 def repeats(located: DataFrame, plan: Plan) -> DataFrame:
     """Add _repeats: how often the mix takes each document."""
-    quota, blocks = _per_source(plan, lambda s: s.quota), F.col("_blocks")
-    whole = F.greatest(F.lit(0), F.ceil((quota - F.col("_place")) / blocks)).cast("long")
-    at_cut = (F.col("_place") == F.pmod(quota, blocks)) & (F.col("_within") < _per_source(plan, lambda s: s.cut))
-    more = F.lit(0)
-    for s in plan.sources:
-        if s.fills:
-            hit = sum(((F.col("_key") == k).cast("int") for k in s.fills), F.lit(0))
-            more = F.when(_source_is(s), hit).otherwise(more)
-    return located.withColumn("_repeats", F.least(F.lit(MAX_REPEATS), F.when(F.col("size") > 0, whole + at_cut.cast("long") + more).otherwise(F.lit(0))).cast("long"))
+    never = ((1 << 62, 0),)  # for sources that are taken whole
+
+    def longs(column: int):
+        return lambda s: F.array(*[F.lit(x[column]).cast("long") for x in s.steps or never])
+
+    starts, limits = (_per_source(plan, longs(c), F.array(F.lit(never[0][c]).cast("long"))) for c in (0, 1))
+    located = located.withColumn("_starts", starts).withColumn("_limits", limits)
+    taken = F.lit(0)
+    for epoch in range(MAX_REPEATS):
+        at = (F.col("_blocks").cast("long") * epoch + F.col("_place")) * F.lit(SPAN) + F.col("_within")
+        passed = F.size(F.filter("_starts", lambda x: x <= at))
+        taken = taken + F.when((passed == 0) | (F.col("size") <= F.get("_limits", passed - 1)), 1).otherwise(0)
+    return located.withColumn("_repeats", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long")).drop("_starts", "_limits")
 
 
 def mixed(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -200,7 +232,7 @@ def _left(node: int, counts: tuple[int, ...], seed: int) -> tuple[int, ...]:
 
 
 def quotas(plan: Plan) -> tuple[int, ...]:
-    return tuple(s.quota + (1 if s.cut else 0) for s in plan.sources)
+    return tuple(s.quota + (1 if s.more else 0) for s in plan.sources)
 
 
 def leaf_quotas(plan: Plan) -> np.ndarray:

@@ -77,3 +77,20 @@ def test_empty(spark):
     df = frame(spark, [])
     plan = mixing.plan_mix(df)
     assert mixing.mixed(df, plan).count() == 0 and mixing.taken_rows(df, plan).count() == 0
+
+
+def test_nothing_that_fits_is_left(spark):
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        sizes = [(int(i), int(rng.integers(5, 80)), "a") for i in range(200)]
+        sizes.append((200, sum(n for _, n, _ in sizes) // 2, "a"))  # a third of its source
+        sizes += [(1000 + i, int(rng.integers(5, 80)), "b") for i in range(200)] + [(1000 + i, 9, "b") for i in range(3)] + [(5000, 3, None)]
+        df = frame(spark, [(i, " ".join(["w"] * n), s) for i, n, s in sizes])
+        got = mixing.mixed(df, mixing.plan_mix(df, seed=seed, block_words=100)).select("doc_id", "source", "size", "target", "taken").collect()
+        for s in ("a", "b", None):
+            left = {r.source: r.target for r in got}[s] - sum(r.taken for r in got if r.source == s)
+            once = Counter()  # equal documents go together
+            for r in got:
+                if r.source == s and r.taken < 3 * r["size"]:
+                    once[r.doc_id, r["size"]] += r["size"]
+            assert 0 <= left < min(once.values(), default=1), (seed, s, left)
