@@ -2,7 +2,8 @@
 
 A line's tokens are its words; a token with a digit is a variable field and reads `<*>`. The tree has a fixed
 depth: the number of tokens, then the first DEPTH tokens. The leaf holds templates. An exact template is the
-line after masking; it recurs if at least `min_docs` documents have it. The lines of a leaf that don't recur
+line after masking; it recurs if at least `min_docs` documents have it, or `long_docs` where it has LONG_WORDS or
+more tokens that are no variable field: short lines repeat by chance, a long one is a passage. The lines of a leaf that don't recur
 this way are generalised: a token stays if at least `min_docs` documents of the leaf have it at its position,
 else it becomes a variable field; if four fifths of the tokens stay, and `min_docs` documents share the
 generalised template, that recurs. Lines of recurring templates are dropped from all documents but the first
@@ -23,6 +24,7 @@ from .common import SPACE_CLASS, written
 
 DEPTH = 3
 MIN_DOCS = 5
+LONG_WORDS, LONG_DOCS = 8, 2
 VARIABLE = "<*>"
 
 
@@ -43,6 +45,12 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("leaf", leaf).withColumn("t", F.xxhash64("m")).withColumn("u", F.xxhash64(F.lit(7), "m"))
 
 
+def _is_long(line: Column) -> Column:
+    # few lines have a variable field
+    variable = F.when(F.contains(line, F.lit(VARIABLE)), F.regexp_count(line, F.lit(r"(?<![^\x20])<\*>(?![^\x20])"))).otherwise(0)
+    return _tokens(line) - variable >= LONG_WORDS
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Add (_k, _l), equal for equal documents only, and the id that orders documents."""
     order = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
@@ -57,10 +65,12 @@ def _exploded(docs: DataFrame, text_col: str) -> DataFrame:
     return _hashed(lines)
 
 
-def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, long_docs: int | None) -> DataFrame:
     """(t, u, first): the templates that recur, each with the first document that has it."""
-    templates = written(lines.groupBy("leaf", "t", "u", "_k", "_l").agg(F.min("_id").alias("_id")).groupBy("leaf", "t", "u").agg(F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first")), "templates")
-    exact = templates.where(F.col("docs") >= min_docs).select("t", "u", "first")
+    long = ["long"] if long_docs else []
+    templates = written(lines.groupBy("leaf", "t", "u", *long, "_k", "_l").agg(F.min("_id").alias("_id")).groupBy("leaf", "t", "u", *long).agg(F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first")), "templates")
+    enough = F.col("docs") >= min_docs
+    exact = templates.where(enough | (F.col("long") & (F.col("docs") >= long_docs)) if long_docs else enough).select("t", "u", "first")
     # leaves in which enough documents are left to share a generalised template
     leaves = written(templates.where(F.col("docs") < min_docs).groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
     texts = _exploded(docs, text_col).join(leaves, "leaf", "left_semi").groupBy("leaf", "t", "u").agg(F.min("m").alias("m"))
@@ -74,16 +84,21 @@ def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int) -
         F.count(F.lit(1)).alias("n"), F.count_if(stays | (F.col("token") == VARIABLE)).alias("same"))
     general = general.where("5 * same >= 4 * n").withColumn("g", F.xxhash64("leaf", "template")).withColumn("h", F.xxhash64(F.lit(7), "template", "leaf")).drop("template")
     groups = general.groupBy("g", "h").agg(F.sum("docs").alias("all"), F.min("first").alias("first")).where(F.col("all") >= min_docs).select("g", "h", F.col("first").alias("group_first"))
-    return exact.union(general.join(groups, ["g", "h"]).select("t", "u", "group_first"))
+    found = exact.union(general.join(groups, ["g", "h"]).select("t", "u", "group_first"))
+    # a long template may also belong to a generalised one, whose first document is the one that keeps it
+    return found.groupBy("t", "u").agg(F.min("first").alias("first")) if long_docs else found
+
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
+    """`docs` with the text that is left, and n_lines and n_dropped (lines with a word).
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """`docs` with the text that is left, and n_lines and n_dropped (lines with a word)."""
+    Without `long_docs`, long templates need `min_docs` documents like others."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col])
     keyed = _keyed(docs.select(F.col(f"`{id_col}`").alias("_doc"), row.alias("_row"), F.col(f"`{text_col}`").alias("_text")), "_doc", "_text")
-    lines = written(_exploded(keyed, "_text").drop("m"), "lines")
-    gone = written(recurring(keyed, lines, "_text", min_docs), "recurring")
+    lines = _exploded(keyed, "_text")
+    lines = written((lines.withColumn("long", _is_long(F.col("m"))) if long_docs else lines).drop("m"), "lines")
+    gone = written(recurring(keyed, lines, "_text", min_docs, long_docs), "recurring")
     dropped = written(lines.join(gone, ["t", "u"]).where("_id <> first").groupBy("_k", "_l").agg(F.collect_set("no").alias("_gone")), "dropped")
     out = keyed.join(dropped, ["_k", "_l"], "left")
     all_lines = F.split("_text", "\n")
@@ -95,7 +110,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*parts, n.alias("n_lines"), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def keep(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = LONG_DOCS) -> DataFrame:
     """`docs` with recurring lines dropped, without the documents that have nothing left because of it."""
-    out = deduplicate(docs, min_docs=min_docs)
+    out = deduplicate(docs, min_docs=min_docs, long_docs=long_docs)
     return out.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines"))).select(*docs.columns)

@@ -43,3 +43,11 @@ def test_keep(spark):
     assert kept.columns == df.columns
     assert {r.doc_id for r in df.collect()} - {r.doc_id for r in kept.collect()} == {102, 104}
     assert lines.keep(df.limit(0)).count() == 0
+
+
+def test_long_lines_of_two_documents(spark):
+    passage = "a planted passage of nine words stands right here"
+    rows = [(1, f"{passage}\nshort line of two\nseven words and 1 2 3 4 more"), (2, f"other\n{passage}\nshort line of two\nseven words and 5 6 7 8 more"), (3, "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(map(tuple, lines.keep(df).collect())) == {1: rows[0][1], 2: "other\nshort line of two\nseven words and 5 6 7 8 more", 3: "own"}
+    assert dict(map(tuple, lines.deduplicate(df).select("doc_id", "text").collect())) == dict(rows)
