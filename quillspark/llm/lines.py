@@ -76,14 +76,18 @@ def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, l
     texts = _exploded(docs, text_col).join(leaves, "leaf", "left_semi").groupBy("leaf", "t", "u").agg(F.min("m").alias("m"))
     texts = written(texts.join(templates, ["leaf", "t", "u"]), "texts")
     tokens = texts.select("leaf", "t", "u", "docs", "first", F.posexplode(F.split("m", " ")).alias("at", "token"))
-    support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != VARIABLE))
+    # a document counts once for a token or a generalised template, however many of its lines have it
+    holders = written(lines.select("leaf", "t", "u", "_k", "_l").join(texts.where(F.col("docs") < min_docs).select("leaf", "t", "u"), ["leaf", "t", "u"]).distinct(), "holders")
+    rare = tokens.where((F.col("docs") < min_docs) & (F.col("token") != VARIABLE)).join(holders, ["leaf", "t", "u"])
+    shared = rare.select("leaf", "at", "token", "_k", "_l").distinct().groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    support = tokens.where((F.col("docs") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "at", "token").union(shared.select("leaf", "at", "token")).distinct().withColumn("support", F.lit(True))
     rare = tokens.where(F.col("docs") < min_docs).join(support, ["leaf", "at", "token"], "left")
     stays = F.col("support").isNotNull()
     general = rare.groupBy("leaf", "t", "u", "docs", "first").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(stays, F.col("token")).otherwise(F.lit(VARIABLE)).alias("token")))).alias("template"),
         F.count(F.lit(1)).alias("n"), F.count_if(stays | (F.col("token") == VARIABLE)).alias("same"))
     general = general.where("5 * same >= 4 * n").withColumn("g", F.xxhash64("leaf", "template")).withColumn("h", F.xxhash64(F.lit(7), "template", "leaf")).drop("template")
-    groups = general.groupBy("g", "h").agg(F.sum("docs").alias("all"), F.min("first").alias("first")).where(F.col("all") >= min_docs).select("g", "h", F.col("first").alias("group_first"))
+    groups = general.join(holders, ["leaf", "t", "u"]).groupBy("g", "h", "_k", "_l").agg(F.min("first").alias("first")).groupBy("g", "h").agg(F.count(F.lit(1)).alias("all"), F.min("first").alias("first")).where(F.col("all") >= min_docs).select("g", "h", F.col("first").alias("group_first"))
     found = exact.union(general.join(groups, ["g", "h"]).select("t", "u", "group_first"))
     # a long template may also belong to a generalised one, whose first document is the one that keeps it
     return found.groupBy("t", "u").agg(F.min("first").alias("first")) if long_docs else found

@@ -51,3 +51,14 @@ def test_long_lines_of_two_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert dict(map(tuple, lines.keep(df).collect())) == {1: rows[0][1], 2: "other\nshort line of two\nseven words and 5 6 7 8 more", 3: "own"}
     assert dict(map(tuple, lines.deduplicate(df).select("doc_id", "text").collect())) == dict(rows)
+
+
+def test_variants_of_one_document_count_once(spark):
+    def rows(*words):
+        return "\n".join(f"list row of these fine things called {w} for sale" for w in words)
+
+    data = [(1, rows("ax", "bx", "cx")), (2, rows("dx", "ex", "fx")), (3, "other text"), (4, "\n".join(f"one page with many variants named {w} inside" for w in "abcdefg")), (5, "one page with many variants named z inside")]
+    five = [(10 + i, f"five pages do share this long line with {w} there") for i, w in enumerate("abcde")]
+    out = {r.doc_id: r for r in lines.deduplicate(spark.createDataFrame(data + five, "doc_id long, text string")).collect()}
+    assert {i: out[i].text for i, _ in data} == dict(data)
+    assert [out[i].n_dropped for i, _ in five] == [0, 1, 1, 1, 1]
