@@ -40,8 +40,8 @@ TOKEN_BITS = np.uint64(52)  # a shingle's hash; the document within a piece fill
 BLOCK = 512  # sets that are compared in one matrix product
 NODES = {"key": "u8", "node": "u8"}
 #: Documents with their nodes pass through the first shuffle, by document.
-DOCUMENTS = {"id": "i8", "tie": "i8", "own": "u8", "n": "i8"}
-FIRST = "key long, id long, tie long, node long, n long"
+DOCUMENTS = {"id": "i8", "tie": "i8", "second": "i8", "own": "u8", "n": "i8"}
+FIRST = "key long, id long, tie long, second long, node long, n long"
 MEMBERS = {"key": "u8", "node": "u8", "n": "u4", "s0": "u8", "s1": "u8", "s2": "u8", "s3": "u8"}
 
 
@@ -299,7 +299,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ties = spans.document_keys(b.column(0), b.column(1).to_pylist())
-            keys, owners, node, size = [], [], [], []
+            keys, owners, node, size, second = [], [], [], [], [b.column(2).to_numpy(zero_copy_only=False)]
             for s in _arrays(b):
                 node.append(s.node)
                 size.append(s.size)
@@ -311,14 +311,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
                     owners.append(s.node[doc[once[doc]]])
             if keys:
                 key, owner = np.concatenate(keys), np.concatenate(owners)
-                parts = [spans.pack((key % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"key": key, "node": owner}), spans.pack((mix(ids.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"id": ids, "tie": ties, "own": np.concatenate(node), "n": np.concatenate(size)})]
+                parts = [spans.pack((key % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"key": key, "node": owner}), spans.pack((mix(ids.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, {"id": ids, "tie": ties, "second": np.concatenate(second), "own": np.concatenate(node), "n": np.concatenate(size)})]
                 for part in parts:
                     blank = pa.array([b""] * part.num_rows, pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column("bucket"), *(part.column(c) if c in part.schema.names else blank for c in (*NODES, *DOCUMENTS))], names=["bucket", *NODES, *DOCUMENTS])
 
     def count(x: dict) -> Iterator[pa.RecordBatch]:
         if len(x["own"]):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x["own"]), pa.int64()), pa.array(x["id"]), pa.array(x["tie"]), pa.array(x["own"].view(np.int64)), pa.array(x["n"])], names=["key", "id", "tie", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x["own"]), pa.int64()), pa.array(x["id"]), pa.array(x["tie"]), pa.array(x["second"]), pa.array(x["own"].view(np.int64)), pa.array(x["n"])], names=["key", "id", "tie", "second", "node", "n"])
         order = np.lexsort((x["node"], x["key"]))
         key, node = x["key"][order], x["node"][order]
         new = np.ones(len(key), bool)
@@ -326,11 +326,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
         keys, n = np.unique(key[new], return_counts=True)
         if (n > 1).any():
             none = pa.nulls(int((n > 1).sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), none, none, none, pa.array(n[n > 1].astype(np.int64))], names=["key", "id", "tie", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), none, none, none, none, pa.array(n[n > 1].astype(np.int64))], names=["key", "id", "tie", "second", "node", "n"])
 
     kinds = NODES | DOCUMENTS
-    first = written(spans.by_bucket(texts.mapInArrow(buckets, spans.shipped(kinds)), kinds, count, FIRST), "first")
-    members = first.where("key IS NULL").select(F.nullif(F.col("id"), F.lit(spans.LAST_ID)).alias("doc_id"), "id", "tie", "node", "n")
+    first = written(spans.by_bucket(texts.withColumn("second", F.xxhash64("text")).mapInArrow(buckets, spans.shipped(kinds)), kinds, count, FIRST), "first")
+    members = first.where("key IS NULL").select(F.nullif(F.col("id"), F.lit(spans.LAST_ID)).alias("doc_id"), "id", "tie", "second", "node", "n")
     counted = first.where("key IS NOT NULL").select("key", "n")
     company, large = (context.broadcast(spans.bit_map(counted.where(c), "key")) for c in ("n > 1", f"n > {small}"))
 
@@ -387,20 +387,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
     else:
         whole = components(decided.select(F.col("node").alias("a"), F.col("label").alias("b")))
         groups = linked.join(whole, "node").select("node", "links", "component")
-    results = members.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    results = members.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct("id", "tie", "second")).alias("head")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     results = written(results, "results", narrow=True)
-    classes = results.groupBy("component").agg(F.min("first").alias("class_id"))
-    results = written(results.join(classes, "component").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id"), "classes", narrow=True)
-    alone = members.where("n = 0").select("id", "tie", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return members.where("n > 0").join(results, "node").select("id", "tie", "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")).union(alone)
+    classes = results.groupBy("component").agg(F.min("first").alias("class_id"), F.min("head").alias("kept")).withColumnRenamed("component", "class_key")
+    results = written(results.join(classes, F.col("component") == F.col("class_key")).select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id", "class_key", "kept"), "classes", narrow=True)
+    alone = members.where("n = 0").select("id", "tie", "second", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("class_key"), F.lit(True).alias("stays"))
+    return members.where("n > 0").join(results, "node").select("id", "tie", "second", "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), "class_key", (F.struct("id", "tie", "second") == F.col("kept")).alias("stays")).union(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class of similar documents: that of the smallest id."""
-    found = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = written(found.groupBy("id", "tie", "n_links").agg(F.count(F.lit(1)).alias("same")).drop("n_links"), "stays", narrow=True)
+    """`docs` with one row of each class of similar documents: that of the smallest id, and of equal ids by hashes of the text."""
+    found = join(docs, id_col, text_col).where("stays")
+    stays = written(found.groupBy("id", "tie", "second").agg(F.count(F.lit(1)).alias("same")), "stays", narrow=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.col(f"`{text_col}`")
-    keyed = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(spans.LAST_ID)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tie")).join(stays, ["id", "tie"])
+    keyed = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(spans.LAST_ID)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tie"), F.xxhash64(text).alias("second")).join(stays, ["id", "tie", "second"])
     # rows that repeat in full, of which one stays, are few
-    return keyed.where("same = 1").select("_row.*").union(keyed.where("same > 1").dropDuplicates(["id", "tie"]).select("_row.*"))
+    return keyed.where("same = 1").select("_row.*").union(keyed.where("same > 1").dropDuplicates(["id", "tie", "second"]).select("_row.*"))

@@ -97,3 +97,12 @@ def test_recall_target():
             found = found or bool(paths)
         missed += not found
     assert missed <= 1
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_keep_one_under_one_id(spark, same):
+    texts = [" ".join(f"{g}{i}" for i in range(100)) + end for g in "ab" for end in ("", " x", " y")]
+    df, got = run(spark, [(same, t) for t in [*texts, texts[0], "quite another text"]])
+    kept = [r.text[:2] for r in jaccard.keep_one(df).collect()]
+    assert sorted(kept) == ["a0", "b0", "qu"]
+    assert got.select("class_key").distinct().count() == 3
