@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +35,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quillspark_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="quillspark-code-"), "quillspark_code.zip")
+    folder = tempfile.mkdtemp(prefix="quillspark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves it to executors until then
+    path = os.path.join(folder, "quillspark_code.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -55,9 +60,11 @@ def word_count(text: Column) -> Column:
 # ---------------------------------------------------------- shared storage
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only if unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only if unset on a local master."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("quillspark.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("quillspark.shared.dir", found)
         _written.append((spark, found))
@@ -103,6 +110,8 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspark_path = path
+    if not narrow:
+        spark.sparkContext._jvm.System.gc()  # shuffle files go once the driver's objects for them do
     return out
 
 
@@ -110,6 +119,16 @@ def drop_written(df: DataFrame) -> None:
     release(df.sparkSession, df._quillspark_path)
 
 
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` gives as a written table, without the tables that were written on the way."""
+    before = len(_written)
+    out = written(make(), name)
+    for spark, path in _written[before:]:
+        if path != out._quillspark_path.rsplit("/", 1)[0] and path != spark.conf.get("quillspark.shared.dir", None):
+            _remove(spark, path)
+    return out
+
+
 # ------------------------------------------------------- grouped streaming
 
 def map_groups(df: DataFrame, keys: list[str], sort: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch | pa.Table]], schema: str | T.StructType, min_rows: int = 20_000) -> DataFrame:
@@ -167,8 +186,9 @@ def map_groups(df: DataFrame, keys: list[str], sort: list[str], fn: Callable[[pa
 # ------------------------------------------------------------ hashing
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+#: Two lanes, so that a sequence has 128 bits of hash: bases and tables of bytes of their own.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,44 +198,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTES_MIXED = mix(np.arange(1, 257, dtype=np.uint64))
+def _base(lane: int, seed: int) -> int:
+    return (BASES[lane] + 2 * int(mix(np.array([seed], np.uint64))[0]) * seed) % (1 << 64) | 1
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
+def _bytes_mixed(lane: int, seed: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) + np.uint64((lane * 0x51ED270B + seed * 0x2545F491) % (1 << 32) << 9))
+
+
+def powers(n: int, lane: int = 0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and inverse powers modulo 2**64 up to n at least."""
+    have = _powers.get((lane, seed))
+    if have is None or len(have[0]) < n:
         n = max(n, 1 << 16)
-        inverse = pow(BASE, -1, 1 << 64)
-        for name, base in (("up", BASE), ("down", inverse)):
-            steps = np.full(n, base, np.uint64)
+        base = _base(lane, seed)
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(n, b, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+            out.append(np.cumprod(steps, dtype=np.uint64))
+        have = _powers[lane, seed] = tuple(out)
+    return have
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial hash of data[i:j], shifted by BASE**i."""
-    up, _ = powers(len(data) + 1)
+def prefix_hashes(data: np.ndarray, lane: int = 0, seed: int = 0) -> np.ndarray:
+    """P with P[j] - P[i] the polynomial hash of data[i:j], shifted by the base's i-th power."""
+    up, _ = powers(len(data) + 1, lane, seed)
     out = np.zeros(len(data) + 1, np.uint64)
-    mixed = BYTES_MIXED[data] if data.dtype == np.uint8 else mix(data + np.uint64(1))
+    mixed = _bytes_mixed(lane, seed)[data] if data.dtype == np.uint8 else mix(data + np.uint64(1))
     np.cumsum(mixed * up[: len(data)], out=out[1:], dtype=np.uint64)
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0, seed: int = 0) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal contents wherever they stand."""
-    _, down = powers(len(prefix))
+    _, down = powers(len(prefix), lane, seed)
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
-def word_spans(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words joined by one space each, and where in it each word starts and ends."""
-    joined = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
-    if not joined:
-        return joined, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    return joined, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
+class WordCodes(dict):
+    """Two 64-bit codes a word, the halves of its BLAKE2b digest: words of any length or pattern that differ get different ones.
+
+    A word's place is its number in the table; long words aren't remembered, and the table starts anew at LIMIT."""
+
+    LIMIT, LONGEST = 400_000, 64
+
+    def __init__(self):
+        self._raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        place = len(self._raw) >> 4
+        self._raw += hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= self.LONGEST:
+            self[word] = place
+        return place
+
+    def codes(self, words: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both codes of all words of some documents in a row."""
+        if len(self._raw) >> 4 > self.LIMIT:
+            self.clear()
+            self._raw = bytearray()
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
+        both = np.frombuffer(bytes(self._raw), np.uint64).reshape(-1, 2)
+        return both[at, 0], both[at, 1]
+
+
+WORD_CODES = WordCodes()  # one a worker process
 
 
 # ------------------------------------------------------------ components

@@ -108,17 +108,20 @@ class Sets:
         at = np.flatnonzero(self.token * odd < self.limit[self.doc])
         return self.doc[at], mix(self.token[at] + np.uint64(run * 0xD1342543DE82EF95 % (1 << 64)))
 
-    def paths(self, doc: int, key: int) -> list[int]:
-        """The keys of the deepest level below a bucket of the first."""
-        token, limit = self.token[self.edge[doc] : self.edge[doc + 1]], self.limit[doc]
-        level = [np.uint64(key)]
+    def paths(self, doc: np.ndarray, key: np.ndarray, at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, bucket keys) of the deepest level below buckets of the first."""
         for _ in range(DEPTH - 1):
-            below = []
-            for path in level:
-                odd = mix(np.array([path], np.uint64))[0] | np.uint64(1)
-                below += list(mix(token[token * odd < limit] ^ path))
-            level = below
-        return level
+            total, below, done = np.cumsum(self.size[doc]), [], 0
+            while done < len(doc):
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + at_once, side="right")))
+                d, k = doc[done:upto], key[done:upto]
+                n = self.size[d]
+                token = self.token[np.arange(int(n.sum())) + np.repeat(self.edge[d] - (np.cumsum(n) - n), n)]
+                hit = token * np.repeat(mix(k) | np.uint64(1), n) < np.repeat(self.limit[d], n)
+                below.append((np.repeat(d, n)[hit], mix(token[hit] ^ np.repeat(k, n)[hit])))
+                done = upto
+            doc, key = (np.concatenate(c) for c in zip(*below)) if below else (doc, key)
+        return doc, key
 
 
 def _arrays(batch: pa.RecordBatch) -> Iterator[Sets]:
@@ -347,9 +350,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
                     some = once[doc] & spans.in_map(company.value, key)
                     doc, key = doc[some], key[some]
                     split = spans.in_map(large.value, key)
-                    below = [(d, k) for d, top in zip(doc[split].tolist(), key[split]) for k in s.paths(d, top)]
-                    doc = np.concatenate((doc[~split], np.array([d for d, _ in below], np.int64)))
-                    key = np.concatenate((key[~split], np.array([k for _, k in below], np.uint64)))
+                    below = s.paths(doc[split], key[split])
+                    doc, key = np.concatenate((doc[~split], below[0])), np.concatenate((key[~split], below[1]))
                     parts.append({"key": key, "node": s.node[doc], "n": s.size[doc].astype("u4"), **{f"s{j}": sketch[doc, j] for j in range(4)}})
             if parts:
                 x = {c: np.concatenate([p[c] for p in parts]).astype(k) for c, k in MEMBERS.items()}

@@ -19,25 +19,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_groups, mix, prefix_hashes, span_hashes
+from .common import WORD_CODES, map_groups, mix, prefix_hashes, span_hashes, written
 
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
 PIECE_BYTES = 1_500_000
 PIECE_DOCUMENTS = 4_096
-IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\f\r", np.uint8))
 POSITION_BITS = np.uint64(32)
 LAST_ID = np.iinfo(np.int64).max  # null ids come last
 
 
 class Piece:
-    """Some documents' symbols in a row: `starts` and `ends` of each document, `codes` a hash or byte a symbol."""
+    """Some documents' symbols in a row: `starts` and `ends` of each document, and the symbols, bytes or two codes a word."""
 
-    def __init__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int):
-        self.codes, self.starts, self.ends, self.first = codes, starts, ends, first
-        self.prefix = prefix_hashes(codes)
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, seed: int = 0, other: np.ndarray | None = None):
+        self.codes, self.starts, self.ends, self.first, self.seed = codes, starts, ends, first, seed
+        self._other = codes if other is None else other
+        self._prefix: dict[int, np.ndarray] = {}
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return span_hashes(self.prefix, start, end)
+    def hashes(self, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+        """One of two independent hashes of the symbols from start to end."""
+        if lane not in self._prefix:
+            self._prefix[lane] = prefix_hashes(self._other if lane else self.codes, lane, self.seed)
+        return span_hashes(self._prefix[lane], start, end, lane, self.seed)
 
 
 class Runs:
@@ -47,25 +50,22 @@ class Runs:
         self.doc, self.at, self.n, self.mz, self.span, self.check = doc, at, n, mz, span, check
 
 
-def word_pieces(texts: list) -> Iterator[Piece]:
-    """Pieces with a hash a word."""
+def word_pieces(texts: list, seed: int = 0) -> Iterator[Piece]:
+    """Pieces with two codes a word."""
     k = 0
     while k < len(texts):
         first, parts, size = k, [], 0
         while k < len(texts) and (not parts or size < PIECE_BYTES and len(parts) < PIECE_DOCUMENTS):
-            parts.append((texts[k] or "").encode("utf-8", "surrogatepass"))
-            size += len(parts[-1]) + 1
+            raw = (texts[k] or "").encode("utf-8", "surrogatepass")
+            parts.append(raw.split())  # of bytes: by ASCII white space
+            size += len(raw) + 1
             k += 1
-        data = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)
-        space = IS_SPACE[data]
-        begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        # how many words there are up to each document's end
-        ends = np.searchsorted(begin, np.cumsum([len(p) + 1 for p in parts]))
-        yield Piece(span_hashes(prefix_hashes(data), begin, end), np.concatenate(([0], ends[:-1])), ends, first)
+        ends = np.cumsum([len(p) for p in parts])
+        codes, other = WORD_CODES.codes(parts, int(ends[-1]))
+        yield Piece(codes, np.concatenate(([0], ends[:-1])), ends, first, seed, other)
 
 
-def byte_pieces(texts: list) -> Iterator[Piece]:
+def byte_pieces(texts: list, seed: int = 0) -> Iterator[Piece]:
     """Pieces with the bytes themselves."""
     k = 0
     while k < len(texts):
@@ -75,7 +75,7 @@ def byte_pieces(texts: list) -> Iterator[Piece]:
             size += len(parts[-1])
             k += 1
         ends = np.cumsum([len(p) for p in parts])
-        yield Piece(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], ends[:-1])), ends, first)
+        yield Piece(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], ends[:-1])), ends, first, seed)
 
 
 def runs_of(p: Piece, k: int, m: int) -> Runs:
@@ -109,8 +109,7 @@ def runs_of(p: Piece, k: int, m: int) -> Runs:
     end = begin + count - 1 + k
     anchor = place[first]
     # where the minimizer stands in the run belongs to what makes runs equal
-    span = mix(p.hashes(begin, end) + (anchor - begin).astype(np.uint64))
-    check = mix(p.hashes(anchor, end) ^ (p.hashes(begin, anchor + 1) * np.uint64(0xD6E8FEB86659FD93)))
+    span, check = (mix(p.hashes(begin, end, lane) + (anchor - begin).astype(np.uint64)) for lane in (0, 1))
     return Runs(doc[begin] + p.first, begin - p.starts[doc[begin]], count, mix(grams[anchor]), span, check)
 
 
@@ -141,52 +140,67 @@ def by_bucket(packed: DataFrame, kinds: dict[str, str], fn: Callable[[dict[str,
     return map_groups(packed, ["bucket"], [], run, schema, min_rows=1)
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Four buckets a shuffle partition, so that hashing them to partitions comes out even."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(df: DataFrame, bucket_bytes: int = 32 << 20) -> int:
+    """Four buckets a shuffle partition, so that hashing them to partitions comes out even, and more where the input
+    is large: a bucket is held whole, so its size must not grow with the corpus."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 60:  # unknown, such as that of rows from Python
+        size = 0
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
 
 
 # ---------------------------------------------------------------- bit maps
 
-MAP_BITS, MAP_CHUNKS = 25, 64
+#: Sixteen bits a key, between these powers of two: 128 KB to 128 MB. What no longer fits makes the map fuller.
+LEAST_BITS, MOST_BITS, CHUNKS = 20, 30, 64
+
 
+class BitMap:
+    """A set that may hold more 64-bit keys than it was given, never fewer."""
 
-def bit_map(keys: DataFrame, column: str) -> bytes:
-    """A bit map of 2**MAP_BITS bits (4 MB) of a column of 64-bit keys: a set that may hold more keys than it
-    was given, never fewer. Its size doesn't depend on the data; a full map only costs its users time."""
-    size = (1 << MAP_BITS) // 8 // MAP_CHUNKS
+    def __init__(self, bits: int, data: bytes):
+        self.bits, self.data = bits, data
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, some = np.zeros(1 << MAP_BITS, bool), False
+
+def bit_map(keys: DataFrame, column: str) -> BitMap:
+    """A bit map of a column of 64-bit keys, sized by their number. Keys meet by chunk of the map, so a task holds
+    a few chunks; a full map costs its users time and changes no result."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(16 * keys.count()).bit_length()))
+    low = bits - CHUNKS.bit_length() + 1
+    size = (1 << low) // 8
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits[bit_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
-            some = some or b.num_rows > 0
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(range(MAP_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in np.packbits(bits).reshape(MAP_CHUNKS, size)], pa.binary())], names=["chunk", "bits"])
+            if b.num_rows:
+                at = np.unique(bit_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+                packed = pack(at >> low, CHUNKS, {"at": (at & ((1 << low) - 1)).astype("u4")})
+                yield pa.RecordBatch.from_arrays(packed.columns, names=["chunk", "at"])
 
-    def union(table: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            part = table.slice(a, b - a)
-            bits = np.zeros(size, np.uint8)
-            for x in part.column("bits").to_pylist():
-                bits |= np.frombuffer(x, np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("chunk")[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["chunk", "bits"])
-
-    schema = "chunk int, bits binary"
-    rows = map_groups(keys.select(F.col(column)).mapInArrow(local, schema), ["chunk"], [], union, schema, min_rows=1).collect()
-    out = bytearray((1 << MAP_BITS) // 8)
-    for r in rows:
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if chunk not in held:
+                    held[chunk] = np.zeros(size, np.uint8)
+                at = np.frombuffer(raw, "u4")
+                np.bitwise_or.at(held[chunk], at >> 3, np.right_shift(np.uint8(128), (at & 7).astype(np.uint8)))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    placed = keys.select(F.col(column)).mapInArrow(place, "chunk int, at binary")
+    out = bytearray((1 << bits) // 8)
+    for r in placed.repartition("chunk").mapInArrow(union, "chunk int, bits binary").collect():
         out[r.chunk * size : (r.chunk + 1) * size] = r.bits
-    return bytes(out)
+    return BitMap(bits, bytes(out))
 
 
-def bit_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ np.uint64(0x5BD1E995)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def bit_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys ^ np.uint64(0x5BD1E995)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def in_map(bits: bytes, keys: np.ndarray) -> np.ndarray:
-    at = bit_of(keys)
-    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def in_map(m: BitMap, keys: np.ndarray) -> np.ndarray:
+    at = bit_of(keys, m.bits)
+    return (np.frombuffer(m.data, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 # ------------------------------------------------------------ flagged spans
@@ -199,11 +213,6 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def span_batches(ids, ties, starts, ends) -> Iterator[pa.RecordBatch]:
-    if len(ids):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["id", "tie", "start", "stop"])
-
-
 def document_keys(ids: pa.Array, texts: list) -> tuple[np.ndarray, np.ndarray]:
     """A document's id (null: the largest) and a number from its text: rows that agree in both count as one."""
     import zlib
@@ -211,13 +220,17 @@ def document_keys(ids: pa.Array, texts: list) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False), np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
 
 
-def merged_spans(flags: DataFrame) -> DataFrame:
-    """(id, tie, starts, stops): the spans of each document together."""
-    return flags.groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")).select("id", "tie", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, id, tie, text): a document's id, key and text. Rows that agree in id (null: the largest) and text are one document."""
+    text = F.col(f"`{text_col}`")
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), text.alias("text"))
+
 
+def with_spans(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+    """(doc_id, text, id, tie, spans) for every row of `docs`: the rows of `found` (id, tie, ...) of its document, once each.
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str, flags: DataFrame) -> DataFrame:
-    """(doc_id, text, starts, stops) for every row of `docs`."""
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    keyed = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    return keyed.join(merged_spans(flags), ["id", "tie"], "left").select("doc_id", "text", "starts", "stops")
+    The lists are a written table, so that a hot document's rows can be dealt to several tasks."""
+    rest = [c for c in found.columns if c not in ("id", "tie")]
+    lists = written(found.groupBy("id", "tie").agg(F.collect_set(F.struct(*rest)).alias("spans")), "spans")
+    return keyed(docs, id_col, text_col).join(lists, ["id", "tie"], "left").select("doc_id", "text", "id", "tie", "spans")

@@ -1,16 +1,22 @@
 """Substring deduplication of words: long repeated spans through a compacted de Bruijn graph.
 
-The k-mers of words are the graph's edges. A path of edges that share one minimizer is compacted where it is read
-(a run); runs with one minimizer meet in one bucket, where equal runs, which are the repeated nonbranching
-stretches, are told by their hashes at once. Only minimizers with different runs, which is where the graph branches or
-a repeat ends, are taken apart into single edges in a second pass. Each occurrence travels with its coordinates and a
-second hash, of the run's two parts, and both hashes must agree with those of the earliest occurrence. The flagged runs of a
-document come together in a join on its key and merge into its removed spans.
+Windows of k words are the graph's edges. Most occur once and need no row of their own: consecutive windows that
+share a minimizer form a run, and runs meet by minimizer. A minimizer with a single run that occurs again gives one
+edge as long as the run; one with different runs, which is where the graph branches, is taken apart into its single
+windows in a second pass. So there is a row an occurrence of every repeated edge, and one an edge, with how often it
+occurs, which edge stands before it wherever it occurs (none if that differs), and where it occurs first.
+
+Compaction: an edge goes on from the one before it if both occur equally often, since then each is always followed
+and preceded by the other. Joins of the edges with themselves find these links and double them, round by round, until
+each points to the head of its nonbranching path. A path has the occurrences of its head, so only these go on.
+
+Verification: every occurrence of a path reads its words at its source coordinates and takes their BLAKE2b digest. If
+the occurrences of a path disagree, each digest is a path of its own from then on, with its own first occurrence.
 
 A word goes if a window of k words that covers it also starts earlier: in a document of smaller id, or in the same
 one before. Defined results: a null text has no words; null ids come last; documents shorter than a window keep all;
 rows with equal id and text count as one document and get equal results; rows with equal id and other text come in
-the order of their texts' checksums; other columns are not kept.
+the order of hashes of their texts; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -25,152 +31,185 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import ship, written
+from .common import drop_written, ship, written
 
 WINDOW, GRAM = 20, 4
-KINDS = {"mz": "u8", "span": "u8", "check": "u4", "id": "i8", "tie": "u4", "at": "u4", "n": "u2"}
-#: Occurrences that a task knows to be repeats; they go to any bucket and only pass through.
-KNOWN = {"kid": "i8", "ktie": "u4", "kat": "u4", "kn": "u2"}
-FOUND = "id long, tie long, start long, stop long, mz long"
-
-
-def _rows(runs: list[spans.Runs], ids: np.ndarray, ties: np.ndarray) -> dict[str, np.ndarray]:
-    doc = np.concatenate([r.doc for r in runs])
-    of = lambda name: np.concatenate([getattr(r, name) for r in runs])
-    return {"mz": of("mz"), "span": of("span"), "check": of("check").astype("u4"), "id": ids[doc], "tie": ties[doc].astype("u4"), "at": of("at").astype("u4"), "n": of("n").astype("u2")}
-
-
-def earliest(x: dict[str, np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """With rows in `order` of (mz, span, check, id, tie, at): which open a group of equal runs, and which repeat it."""
-    s = {c: x[c][order] for c in ("mz", "span", "check", "id", "tie", "at")}
-    new = np.ones(len(order), bool)
-    new[1:] = (s["mz"][1:] != s["mz"][:-1]) | (s["span"][1:] != s["span"][:-1]) | (s["check"][1:] != s["check"][:-1])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
-    # the very same place is no repeat: rows with equal id and text are one document
-    other = (s["id"] != s["id"][head]) | (s["tie"] != s["tie"][head]) | (s["at"] != s["at"][head])
-    return new, other
-
-
-def sort_runs(x: dict[str, np.ndarray]) -> np.ndarray:
-    return np.lexsort((x["at"], x["tie"], x["id"], x["check"], x["span"], x["mz"]))
+#: A run or window: its minimizer, name and second hash, the name of the one before it (0: none), its place, windows, occurrences.
+KINDS = {"mz": "u8", "unit": "u8", "check": "u8", "left": "u8", "id": "i8", "tie": "i8", "at": "u4", "n": "u2", "many": "u4"}
+#: Further occurrences within a batch; they go to any bucket and only pass through.
+KNOWN = {"kunit": "u8", "kid": "i8", "ktie": "i8", "kat": "u4", "kn": "u2"}
+OCCURRENCE, EDGE, BRANCHING = 0, 1, 2
+FOUND = "role int, unit long, left long, many long, id long, tie long, at long, n int"
+NAMES = ["role", "unit", "left", "many", "id", "tie", "at", "n"]
 
 
 def _ship(x: dict[str, np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch of documents: the earliest of equal runs by minimizer, the others as known repeats."""
-    order = sort_runs(x)
-    new, other = earliest(x, order)
+    """Rows of a batch of documents: the earliest of equal runs that follow the same run, by minimizer, and the others."""
+    order = np.lexsort((x["at"], x["tie"], x["id"], x["left"], x["check"], x["unit"], x["mz"]))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([(y := x[c][order])[1:] != y[:-1] for c in ("mz", "unit", "check", "left")])
+    first, again = order[new], order[~new]
+    x = x | {"many": np.zeros(len(order), "u4")}
+    x["many"][first] = np.diff(np.append(np.flatnonzero(new), len(order)))
     names = [*KINDS, *KNOWN]
 
     def filled(b: pa.RecordBatch) -> pa.RecordBatch:
         blank = pa.array([b""] * b.num_rows, pa.binary())
         return pa.RecordBatch.from_arrays([b.column("bucket"), *(b.column(c) if c in b.schema.names else blank for c in names)], names=["bucket", *names])
 
-    first = order[new]
     yield filled(spans.pack((x["mz"][first] % np.uint64(n_buckets)).astype(np.int64), n_buckets, {c: x[c][first].astype(k) for c, k in KINDS.items()}))
-    again = order[other]
     if len(again):
         bucket = (spans.mix(x["id"][again].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
         yield filled(spans.pack(bucket, n_buckets, {c: x[c[1:]][again].astype(k) for c, k in KNOWN.items()}))
 
 
-def _repeats(x: dict[str, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's repeats as spans, and its minimizers that have different runs."""
-    if len(x["kid"]):
-        start = x["kat"].astype(np.int64)
-        yield from _found(x["kid"], x["ktie"], start, start + x["kn"].astype(np.int64) - 1 + k)
+def _rows(role: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    size = len(columns["unit"])
+    if size:
+        types = [pa.int32(), *[pa.int64()] * 6, pa.int32()]
+        given = {"role": np.full(size, role), **columns}
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, t) if c not in given else pa.array(given[c].view(np.int64) if given[c].dtype == np.uint64 else given[c], t) for c, t in zip(NAMES, types)], names=NAMES)
+
+
+def _meet(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A bucket's repeated edges with their occurrences, and its minimizers that have different runs."""
+    yield from _rows(OCCURRENCE, unit=x["kunit"], id=x["kid"], tie=x["ktie"], at=x["kat"].astype(np.int64), n=x["kn"].astype(np.int32))
     if not len(x["mz"]):
         return
-    by_mz = np.argsort(x["mz"], kind="stable")
-    mz = x["mz"][by_mz]
-    twin = np.zeros(len(mz), bool)
-    twin[1:] = mz[1:] == mz[:-1]
-    twin[:-1] |= twin[1:].copy()
-    some = by_mz[twin]
-    y = {c: x[c][some] for c in KINDS}
-    order = sort_runs(y)
-    new, other = earliest(y, order)
-    again = order[other]
-    start = y["at"][again].astype(np.int64)
-    yield from _found(y["id"][again], y["tie"][again], start, start + y["n"][again].astype(np.int64) - 1 + k)
-    keys, different = np.unique(y["mz"][order[new]], return_counts=True)
-    branching = keys[different > 1]
-    if len(branching):
-        yield _mz_batch(branching)
-
-
-def _found(ids, ties, start, stop) -> Iterator[pa.RecordBatch]:
-    if len(ids):
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(ties.astype(np.int64)), pa.array(start), pa.array(stop), pa.nulls(len(ids), pa.int64())], names=["id", "tie", "start", "stop", "mz"])
-
-
-def _mz_batch(keys: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(keys), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys.view(np.int64))], names=["id", "tie", "start", "stop", "mz"])
-
-
-def _edges(p: spans.Piece, r: spans.Runs, k: int) -> spans.Runs:
-    """The single windows of some runs."""
+    order = np.lexsort((x["at"], x["tie"], x["id"], x["check"], x["unit"], x["mz"]))
+    x = {c: x[c][order] for c in KINDS}
+    mz = np.ones(len(order), bool)
+    mz[1:] = x["mz"][1:] != x["mz"][:-1]
+    unit = mz.copy()
+    unit[1:] |= (x["unit"][1:] != x["unit"][:-1]) | (x["check"][1:] != x["check"][:-1])
+    heads = np.flatnonzero(unit)
+    number = np.cumsum(unit) - 1
+    runs = np.bincount(np.cumsum(mz)[heads] - 1)  # different runs of each minimizer
+    alone = np.repeat(runs == 1, runs)  # of each run, whether its minimizer has no other
+    yield from _rows(BRANCHING, unit=x["mz"][mz][runs > 1])
+    many = np.add.reduceat(x["many"].astype(np.int64), heads)
+    left = np.where(np.maximum.reduceat(x["left"], heads) == np.minimum.reduceat(x["left"], heads), x["left"][heads], np.uint64(0))
+    edge = alone & (many > 1)
+    at = heads[edge]
+    yield from _rows(EDGE, unit=x["unit"][at], left=left[edge], many=many[edge], id=x["id"][at], tie=x["tie"][at], at=x["at"][at].astype(np.int64), n=x["n"][at].astype(np.int32))
+    at = np.flatnonzero(edge[number])
+    yield from _rows(OCCURRENCE, unit=x["unit"][at], id=x["id"][at], tie=x["tie"][at], at=x["at"][at].astype(np.int64), n=x["n"][at].astype(np.int32))
+
+
+def _windows(p: spans.Piece, r: spans.Runs, k: int) -> tuple[np.ndarray, ...]:
+    """(doc, at, name, check, name of the window before) of the single windows of some runs."""
     total = int(r.n.sum())
     step = np.arange(total) - np.repeat(np.cumsum(r.n) - r.n, r.n)
     doc, at = np.repeat(r.doc, r.n), np.repeat(r.at, r.n) + step
     begin = at + p.starts[doc - p.first]
-    h = p.hashes(begin, begin + k)
-    half = p.hashes(begin, begin + k // 2) ^ (p.hashes(begin + k // 3, begin + k) * np.uint64(0xD6E8FEB86659FD93))
-    return spans.Runs(doc, at, np.ones(total, np.int64), h, spans.mix(h), spans.mix(half))
+    before = np.maximum(begin - 1, 0)
+    return doc, at, p.hashes(begin, begin + k), p.hashes(begin, begin + k, 1), np.where(at > 0, p.hashes(before, before + k), np.uint64(0))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """(id, tie, start, stop): spans of words that windows with an earlier start elsewhere cover."""
+def repeated_edges(docs: DataFrame, id_col: str, text_col: str, k: int, m: int, name_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of the same columns: edges from runs, and from the windows of branching minimizers."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = spans.keyed(docs, id_col, text_col).select("id", "tie", "text")
     n_buckets = spans.bucket_count(docs)
-    kinds = KINDS | KNOWN
+    kinds, short = KINDS | KNOWN, np.uint64(64 - name_bits)
 
     def read(batch: pa.RecordBatch):
-        text = batch.column(1).to_pylist()
-        return text, *spans.document_keys(batch.column(0), text)
+        return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
 
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, ids, ties = read(b)
-            yield from _ship(_rows([spans.runs_of(p, k, m) for p in spans.word_pieces(text)], ids, ties), n_buckets)
+            ids, ties, text = read(b)
+            found = [spans.runs_of(p, k, m) for p in spans.word_pieces(text)]
+            x = {c: np.concatenate([getattr(r, a) for r in found]) for c, a in (("mz", "mz"), ("unit", "span"), ("check", "check"), ("doc", "doc"), ("at", "at"), ("n", "n"))}
+            unit = x["unit"] >> short
+            left = np.concatenate((np.zeros(1, np.uint64), unit))[: len(unit)]
+            yield from _ship(x | {"unit": unit, "left": np.where(x["at"] > 0, left, np.uint64(0)), "id": ids[x["doc"]], "tie": ties[x["doc"]]}, n_buckets)
 
-    found = written(spans.by_bucket(texts.mapInArrow(compact, spans.shipped(kinds)), kinds, lambda x: _repeats(x, k), FOUND), "runs")
-    branching = docs.sparkSession.sparkContext.broadcast(spans.bit_map(found.where("mz IS NOT NULL"), "mz"))
+    first = written(spans.by_bucket(texts.mapInArrow(runs, spans.shipped(kinds)), kinds, _meet, FOUND), "runs")
+    branching = docs.sparkSession.sparkContext.broadcast(spans.bit_map(first.where(F.col("role") == BRANCHING), "unit"))
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, ids, ties = read(b)
+            ids, ties, text = read(b)
             out = []
             for p in spans.word_pieces(text):
                 r = spans.runs_of(p, k, m)
                 hit = spans.in_map(branching.value, r.mz)
-                out.append(_edges(p, spans.Runs(r.doc[hit], r.at[hit], r.n[hit], None, None, None), k))
-            yield from _ship(_rows(out, ids, ties), n_buckets)
-
-    edges = spans.by_bucket(texts.mapInArrow(single, spans.shipped(kinds)), kinds, lambda x: _repeats(x, k), FOUND)
-    return found.where("id IS NOT NULL").drop("mz").union(edges.where("id IS NOT NULL").drop("mz"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, text: bool = True) -> DataFrame:
-    """For each row of `docs`: doc_id, n_words, n_removed, kept_sha256, the removed spans and, with `text`, what is kept."""
-    joined = spans.with_spans(docs, id_col, text_col, repeated_spans(docs, id_col, text_col, k))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text else "")
+                out.append(_windows(p, spans.Runs(r.doc[hit], r.at[hit], r.n[hit], None, None, None), k))
+            doc, at, name, check, left = (np.concatenate(c) for c in zip(*out))
+            yield from _ship({"mz": name, "unit": name >> short, "check": check, "left": left >> short, "id": ids[doc], "tie": ties[doc], "at": at, "n": np.ones(len(at), np.int64)}, n_buckets)
+
+    # windows of one name are one edge; what differs in the check is told apart in verification
+    second = written(spans.by_bucket(texts.mapInArrow(windows, spans.shipped(kinds)), kinds, _meet, FOUND), "windows")
+    return first, second
+
+
+def paths(edges: DataFrame) -> DataFrame:
+    """(unit, extra, id, tie, at): the heads of the nonbranching paths among `edges` (unit, left, many, n, id, tie, at), the
+    windows that a path has after its head's, and where the head occurs first."""
+    named = written(edges.groupBy("unit").agg(F.count(F.lit(1)).alias("same"), F.min("left").alias("left"), F.min("many").alias("many"), F.min("n").alias("n"), F.min(F.struct("id", "tie", "at")).alias("place")), "edges", narrow=True)
+    sure = named.where("same = 1")  # a name that two edges share by accident is no part of a link
+    before = sure.select(F.col("unit").alias("left"), "many")
+    links = written(sure.select("unit", "left", "many", "n").join(before, ["left", "many"]).select("unit", F.col("left").alias("to"), "n", F.lit(True).alias("moved")), "links", narrow=True)
+    while not links.where("moved").isEmpty():
+        further = links.select(F.col("unit").alias("to"), F.col("to").alias("further"))
+        after = written(links.join(further, "to", "left").select("unit", F.coalesce("further", "to").alias("to"), "n", F.col("further").isNotNull().alias("moved")), "links", narrow=True)
+        drop_written(links)
+        links = after
+    tails = links.groupBy("to").agg(F.sum("n").alias("extra")).withColumnRenamed("to", "unit")
+    heads = named.join(links.select("unit"), "unit", "left_anti").join(tails, "unit", "left")
+    return heads.select("unit", F.coalesce("extra", F.lit(0)).cast("int").alias("extra"), F.col("place.id").alias("first_id"), F.col("place.tie").alias("first_tie"), F.col("place.at").alias("first_at"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = GRAM, name_bits: int = 64) -> DataFrame:
+    """(id, tie, unit, start, stop, again): the words of each occurrence of a repeated path, and whether it is not the first.
+
+    `name_bits` shortens the edges' names, so that tests can let them collide."""
+    tables = repeated_edges(docs, id_col, text_col, k, m, name_bits)
+    whole = tables[0].unionByName(tables[1])
+    heads = written(paths(whole.where(F.col("role") == EDGE).select("unit", "left", "many", "n", "id", "tie", "at")), "heads", narrow=True)
+    occurrences = whole.where(F.col("role") == OCCURRENCE).select("unit", "id", "tie", "at", "n").join(heads, "unit")
+    again = (F.col("id") != F.col("first_id")) | (F.col("tie") != F.col("first_tie")) | (F.col("at") != F.col("first_at"))
+    return occurrences.select("id", "tie", "unit", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.col("extra") - 1 + k).alias("stop"), again.alias("again"))
+
+
+def _removed(joined: DataFrame, text: bool, verify: bool) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, id, tie, kept, paths) of (doc_id, text, id, tie, spans); `paths` is what verification compares."""
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, id long, tie long, kept string, paths array<struct<unit:bigint,start:bigint,stop:bigint,digest:binary>>"
+    path = pa.list_(pa.struct([("unit", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, starts, stops in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+            for t, found in zip(b.column(1).to_pylist(), b.column(4)):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
-                gone = 0
-                kept = words
-                if starts.is_valid:
-                    mask = spans.covered(starts.values.to_numpy(), stops.values.to_numpy(), len(words))
+                gone, kept, seen = 0, words, []
+                if found.is_valid:
+                    unit, start, stop, again = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("unit", "start", "stop", "again"))
+                    mask = spans.covered(start[again], stop[again], len(words))
                     gone = int(mask.sum())
                     kept = list(compress(words, (~mask).tolist()))
+                    if verify:
+                        seen = [{"unit": u, "start": i, "stop": j, "digest": hashlib.blake2b(b" ".join(words[i:j]), digest_size=16).digest()} for u, i, j in zip(unit.tolist(), start.tolist(), stop.tolist())]
                 kept = b" ".join(kept)
-                rows.append((len(words), gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if text else None))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), *([pa.array([r[3] for r in rows])] if text else [])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if text else [])])
+                rows.append((len(words), gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if text else None, seen))
+            n, gone, digest, kept, seen = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), b.column(2), b.column(3), pa.array(kept, pa.string()), pa.array(seen, path)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "id", "tie", "kept", "paths"])
 
     return joined.mapInArrow(run, schema)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, text: bool = True, name_bits: int = 64) -> DataFrame:
+    """For each row of `docs`: doc_id, n_words, n_removed, kept_sha256 and, with `text`, what is kept."""
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if text else [])]
+    out = written(_removed(spans.with_spans(docs, id_col, text_col, repeated_spans(docs, id_col, text_col, k, name_bits=name_bits)), text, True), "removed")
+    seen = out.select("id", "tie", F.explode("paths").alias("p")).select("id", "tie", "p.*")
+    one = ["unit", (F.col("stop") - F.col("start")).alias("length")]
+    if seen.groupBy(*one).agg((F.min("digest") != F.max("digest")).alias("differ")).where("differ").isEmpty():
+        return out.select(*columns)
+    # names that collided: each digest has a first occurrence of its own
+    seen = written(seen, "seen")
+    firsts = seen.groupBy("unit", "digest").agg(F.min(F.struct("id", "tie", "start")).alias("first"))
+    told = seen.join(firsts, ["unit", "digest"]).select("id", "tie", "unit", "start", "stop", (F.struct("id", "tie", "start") != F.col("first")).alias("again"))
+    return _removed(spans.with_spans(docs, id_col, text_col, told), text, False).select(*columns)

@@ -1,17 +1,20 @@
 """Suffix-array deduplication of bytes: every byte that a repeated 200-byte string covers.
 
 Documents are cut into runs of windows that share a minimizer (see spans.py). Runs that occur twice and more
-are told by their hashes. What is left are minimizers with different runs, where repeats begin and end: their
-bytes are gathered, distinct ones once, and a suffix array over them finds each string of 200 bytes that two of
-them share. The array is built in two stages: suffixes smaller than their successors are sorted directly, all others
+are found by two hashes of 64 bits; then each occurrence's bytes are read at its place in the document and a BLAKE2b
+digest is taken of them, and if occurrences of a run disagree, all is done again with other hashes. What is left are
+minimizers with different runs, where repeats begin and end: their bytes are gathered, distinct ones once, and a
+suffix array over them finds each string of 200 bytes that two of them share. The array is built in two stages: suffixes smaller than their successors are sorted directly, all others
 are induced from them by scanning the buckets of first bytes once; then the common prefixes of neighbours show
 the repeats.
 
 Minimizers with very many different runs (`hot` and more) are dealt to blocks by document, and so never meet in one
-task: each block has its suffix array, and what occurs once in a block is compared with the other blocks by hash.
+task: each block has its suffix array, and its distinct strings are compared with those of the other blocks by hash
+and digest, as runs are.
 
 Defined results: a null text is empty; a document shorter than the window keeps all; strings never cross documents;
-rows that repeat are documents of their own, so equal rows of 200 bytes and more lose everything; null ids come last;
+rows that repeat are documents of their own, so equal rows of 200 bytes and more lose everything (if they repeat in id
+too, they count as one document to the suffix arrays, but each is an occurrence to the hashes); null ids come last;
 other columns are not kept.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import mix, prefix_hashes, ship, span_hashes, written
+from .common import prefix_hashes, ship, span_hashes, written
 
 WINDOW, GRAM = 200, 24
 CHUNK_BYTES = 1_000_000  # of text under one suffix array, unless one minimizer has more
 HOT = 8_000  # different runs of one minimizer, from which it is dealt to blocks
-KINDS = {"mz": "u8", "span": "u8", "check": "u4", "id": "i8", "tie": "u4", "at": "u4", "n": "u2", "many": "u1"}
-KNOWN = {"kid": "i8", "ktie": "u4", "kat": "u4", "kn": "u2"}
-SEGMENTS = {"mz": "u8", "block": "u4", "id": "i8", "tie": "u4", "at": "u4", "len": "u4"}
-FOUND = "id long, tie long, start long, stop long, mz long, n long"
+KINDS = {"mz": "u8", "span": "u8", "check": "u8", "id": "i8", "tie": "i8", "at": "u4", "n": "u2", "many": "u1"}
+KNOWN = {"kspan": "u8", "kcheck": "u8", "kid": "i8", "ktie": "i8", "kat": "u4", "kn": "u2"}
+SEGMENTS = {"mz": "u8", "block": "u4", "id": "i8", "tie": "i8", "at": "u4", "len": "u4"}
+#: (span, check) name what digests have to confirm: null for spans whose bytes the suffix array compared. Rows without an
+#: id are minimizers of different runs, in `span`, with their number in `check`.
+FOUND = "id long, tie long, start long, stop long, span long, check long"
 
 
 # ------------------------------------------------------------ suffix array
@@ -135,8 +141,8 @@ class Windows:
     """The strings of `window` bytes in some segments, sorted: `start` in the joined text, and whether the string
     equals that of the place before (`same`)."""
 
-    def __init__(self, segments: list[bytes], window: int):
-        self.window = window
+    def __init__(self, segments: list[bytes], window: int, seed: int = 0):
+        self.window, self.seed = window, seed
         self.offsets = np.concatenate(([0], np.cumsum([len(s) + 1 for s in segments])))
         # bytes go one up, so that zero ends a segment; UTF-8 has no byte 255
         self.text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8) + np.uint8(1)
@@ -154,9 +160,7 @@ class Windows:
 
     def hashes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the strings at `start`."""
-        prefix = prefix_hashes(self.text)
-        third = self.window // 3
-        return span_hashes(prefix, start, start + self.window), mix(span_hashes(prefix, start, start + 2 * third) ^ (span_hashes(prefix, start + third, start + self.window) * np.uint64(0xD6E8FEB86659FD93)))
+        return tuple(span_hashes(prefix_hashes(self.text, lane, self.seed), start, start + self.window, lane, self.seed) for lane in (0, 1))
 
 
 # ------------------------------------------------------------------ corpus
@@ -190,16 +194,16 @@ def _ship(x: dict, n_buckets: int) -> Iterator[pa.RecordBatch]:
         yield filled(spans.pack(bucket, n_buckets, {c: x[c[1:]][again].astype(k) for c, k in KNOWN.items()}))
 
 
-def _found(ids, ties, start, stop) -> Iterator[pa.RecordBatch]:
+def _found(ids, ties, start, stop, span=None, check=None) -> Iterator[pa.RecordBatch]:
     if len(ids):
-        none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)), pa.array(np.asarray(ties, np.int64)), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(stop, np.int64)), none, none], names=["id", "tie", "start", "stop", "mz", "n"])
+        names = [pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (span, check)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (ids, ties, start, stop)), *names], names=["id", "tie", "start", "stop", "span", "check"])
 
 
 def _repeats(x: dict, window: int) -> Iterator[pa.RecordBatch]:
     """A bucket's repeats as spans, and its minimizers that have different runs with their number."""
     start = x["kat"].astype(np.int64)
-    yield from _found(x["kid"], x["ktie"], start, start + x["kn"].astype(np.int64) - 1 + window)
+    yield from _found(x["kid"], x["ktie"], start, start + x["kn"].astype(np.int64) - 1 + window, x["kspan"], x["kcheck"])
     if not len(x["mz"]):
         return
     by_mz = np.argsort(x["mz"], kind="stable")
@@ -212,13 +216,13 @@ def _repeats(x: dict, window: int) -> Iterator[pa.RecordBatch]:
     again = order[np.repeat(count > 1, count)]
     again = again[y["many"][again] == 0]
     start = y["at"][again].astype(np.int64)
-    yield from _found(y["id"][again], y["tie"][again], start, start + y["n"][again].astype(np.int64) - 1 + window)
+    yield from _found(y["id"][again], y["tie"][again], start, start + y["n"][again].astype(np.int64) - 1 + window, y["span"][again], y["check"][again])
     keys, different = np.unique(y["mz"][order[new]], return_counts=True)
     mixed = different > 1
     # a window may also repeat within its own run: only if the run has a minimizer twice, which is two runs
     if mixed.any():
         none = pa.nulls(int(mixed.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys[mixed].view(np.int64)), pa.array(different[mixed].astype(np.int64))], names=["id", "tie", "start", "stop", "mz", "n"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys[mixed].view(np.int64)), pa.array(different[mixed].astype(np.int64))], names=["id", "tie", "start", "stop", "span", "check"])
 
 
 def _pack_segments(x: dict, data: list[bytes], n_buckets: int) -> pa.RecordBatch:
@@ -230,9 +234,9 @@ def _pack_segments(x: dict, data: list[bytes], n_buckets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*fixed.columns, pa.array(texts, pa.binary())], names=[*fixed.schema.names, "data"])
 
 
-def _search(x: dict, window: int, chunk: int) -> Iterator[pa.RecordBatch]:
+def _search(x: dict, window: int, chunk: int, seed: int) -> Iterator[pa.RecordBatch]:
     """The repeats among a bucket's segments by suffix arrays. Of blocks, also each different string once, with
-    its hashes in (mz, n), its place, and -1 for `stop` where it is known to repeat, else -2."""
+    its hashes and its place, and -1 for `stop`."""
     data = x["data"].tobytes()
     offsets = np.concatenate(([0], np.cumsum(x["len"].astype(np.int64))))
     order = np.lexsort((x["block"], x["mz"]))
@@ -245,12 +249,12 @@ def _search(x: dict, window: int, chunk: int) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush():
-        w = Windows(list(held), window)
+        w = Windows(list(held), window, seed)
         rows = np.array(list(held.values()), np.int64)
 
         def places(start):
             k = w.segment(start)
-            return x["id"][rows[k]], x["tie"][rows[k]].astype(np.int64), x["at"][rows[k]].astype(np.int64) + start - w.offsets[k]
+            return x["id"][rows[k]], x["tie"][rows[k]], x["at"][rows[k]].astype(np.int64) + start - w.offsets[k]
 
         # neighbouring starts of a document become one span
         ids, ties, at = places(w.start[w.repeated])
@@ -264,7 +268,7 @@ def _search(x: dict, window: int, chunk: int) -> Iterator[pa.RecordBatch]:
             start = w.start[one]
             h, c = w.hashes(start)
             ids, ties, at = places(start)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in (ids, ties, at, np.where(w.repeated[one], -1, -2), h.view(np.int64), c.view(np.int64))], names=["id", "tie", "start", "stop", "mz", "n"])
+            yield from _found(ids, ties, at, np.full(len(at), -1), h, c)
 
     for a, b in zip(groups[:-1], groups[1:]):
         for i in order[a:b]:
@@ -277,46 +281,53 @@ def _search(x: dict, window: int, chunk: int) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """(id, tie, start, stop): spans of bytes that strings of `window` bytes cover which start elsewhere too."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK_BYTES, hot: int = HOT, seed: int = 0, name_bits: int = 64) -> DataFrame:
+    """(id, tie, start, stop, span, check): bytes that strings of `window` bytes cover which start elsewhere too. Where
+    (span, check) isn't null, all places of that name are still to be compared.
+
+    `name_bits` shortens names, so that tests can let them collide."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = spans.keyed(docs, id_col, text_col).select("id", "tie", "text")
     n_buckets = spans.bucket_count(docs)
 
     def read(batch):
-        text = batch.column(1).to_pylist()
-        return text, *spans.document_keys(batch.column(0), text)
+        return batch.column(2).to_pylist(), *(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+
+    def runs_of(p: spans.Piece) -> spans.Runs:
+        r = spans.runs_of(p, window, gram)
+        r.span, r.check = (x >> np.uint64(64 - name_bits) for x in (r.span, r.check))
+        return r
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, ids, ties = read(b)
-            runs = [spans.runs_of(p, window, gram) for p in spans.byte_pieces(text)]
+            runs = [runs_of(p) for p in spans.byte_pieces(text, seed)]
             doc = np.concatenate([r.doc for r in runs])
             x = {c: np.concatenate([getattr(r, c) for r in runs]) for c in ("mz", "span", "check", "at", "n")}
-            yield from _ship(x | {"check": x["check"].astype("u4"), "id": ids[doc], "tie": ties[doc]}, n_buckets)
+            yield from _ship(x | {"id": ids[doc], "tie": ties[doc]}, n_buckets)
 
     kinds = KINDS | KNOWN
     found = written(spans.by_bucket(texts.mapInArrow(compact, spans.shipped(kinds)), kinds, lambda x: _repeats(x, window), FOUND), "runs")
     context = docs.sparkSession.sparkContext
-    keys = found.where("mz IS NOT NULL")
-    mixed = context.broadcast(spans.bit_map(keys, "mz"))
-    most = keys.agg(F.max("n")).first()[0] or 0
+    keys = found.where("id IS NULL")
+    mixed = context.broadcast(spans.bit_map(keys, "span"))
+    most = keys.agg(F.max("check")).first()[0] or 0
     blocks = -(-most // hot)
-    crowded = context.broadcast(spans.bit_map(keys.where(F.col("n") > hot), "mz") if blocks > 1 else b"")
+    crowded = context.broadcast(spans.bit_map(keys.where(F.col("check") > hot), "span")) if blocks > 1 else None
 
     def dealt(mz, ids, ties):
         """0, or a block from 1 on for runs of crowded minimizers."""
         if blocks < 2:
             return np.zeros(len(mz), np.int64)
-        block = spans.mix(ids.astype(np.uint64) * np.uint64(31) + ties.astype(np.uint64)) % np.uint64(blocks)
+        block = spans.mix(ids.astype(np.uint64) * np.uint64(31) + ties.view(np.uint64)) % np.uint64(blocks)
         return np.where(spans.in_map(crowded.value, mz), block.astype(np.int64) + 1, 0)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, ids, ties = read(b)
             columns, data, seen = [], [], set()
-            for p in spans.byte_pieces(text):
-                r = spans.runs_of(p, window, gram)
+            for p in spans.byte_pieces(text, seed):
+                r = runs_of(p)
                 hit = np.flatnonzero(spans.in_map(mixed.value, r.mz))
                 hit = np.array([i for i in hit.tolist() if (key := (r.mz[i], r.span[i], r.check[i])) not in seen and not seen.add(key)], np.int64)
                 begin = r.at[hit] + p.starts[r.doc[hit] - p.first]
@@ -328,34 +339,53 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield _pack_segments({c: np.concatenate([y[c] for y in columns]) for c in SEGMENTS}, data, n_buckets)
 
     gathered = texts.mapInArrow(gather, spans.shipped(SEGMENTS | {"data": "u1"}))
-    shared = spans.by_bucket(gathered, SEGMENTS | {"data": "u1"}, lambda x: _search(x, window, chunk), FOUND)
-    out = found.where("id IS NOT NULL").drop("mz", "n")
+    shared = spans.by_bucket(gathered, SEGMENTS | {"data": "u1"}, lambda x: _search(x, window, chunk, seed), FOUND)
+    out = found.where("id IS NOT NULL")
     if blocks < 2:
-        return out.union(shared.drop("mz", "n"))
+        return out.union(shared)
     # a string comes at most once from each block, so these lists are short
     shared = written(shared, "shared")
-    across = shared.where("stop < 0").groupBy("mz", "n").agg(F.collect_list(F.struct("id", "tie", "start", "stop")).alias("places")).where(F.size("places") > 1)
-    across = across.select(F.explode("places").alias("p")).select("p.*").where("stop = -2").withColumn("stop", F.col("start") + window)
-    return out.union(shared.where("stop >= 0").drop("mz", "n")).union(across)
+    across = shared.where("stop < 0").groupBy("span", "check").agg(F.collect_list(F.struct("id", "tie", "start")).alias("places")).where(F.size("places") > 1)
+    across = across.select("span", "check", F.explode("places").alias("p")).select("p.*", (F.col("p.start") + window).alias("stop"), "span", "check")
+    return out.union(shared.where("stop >= 0")).union(across)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, text: bool = True) -> DataFrame:
-    """For each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `text`, the bytes that are kept."""
-    joined = spans.with_spans(docs, id_col, text_col, repeated_spans(docs, id_col, text_col, window))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text else "")
+def _removed(joined: DataFrame, text: bool) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, names) of (doc_id, text, id, tie, spans); `names` is what verification compares."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, names array<struct<span:bigint,check:bigint,digest:bigint>>"
+    name = pa.list_(pa.struct([(c, pa.int64()) for c in ("span", "check", "digest")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t, starts, stops in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-                kept = (t or "").encode("utf-8", "surrogatepass")
+            rows, names, lengths = [], [[], [], []], []
+            for t, found in zip(b.column(1).to_pylist(), b.column(4)):
+                raw = kept = (t or "").encode("utf-8", "surrogatepass")
                 n, gone, n_spans = len(kept), 0, 0
-                if starts.is_valid:
-                    mask = spans.covered(starts.values.to_numpy(), stops.values.to_numpy(), n)
+                lengths.append(0)
+                if found.is_valid:
+                    start, stop, span = (found.values.field(c) for c in ("start", "stop", "span"))
+                    mask = spans.covered(start.to_numpy(), stop.to_numpy(), n)
                     gone, n_spans = int(mask.sum()), int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
                     kept = np.frombuffer(kept, np.uint8)[~mask].tobytes()
-                rows.append((n, gone, n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if text else [])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else [])])
+                    named = found.values.filter(span.is_valid())
+                    names[0] += named.field("span").to_pylist()
+                    names[1] += named.field("check").to_pylist()
+                    names[2] += [hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(named.field("start").to_pylist(), named.field("stop").to_pylist())]
+                    lengths[-1] = len(named)
+                rows.append((n, gone, n_spans, hashlib.sha256(kept).hexdigest(), kept if text else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            digests = pa.array(np.frombuffer(b"".join(names[2]), np.int64))
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.StructArray.from_arrays([pa.array(names[0], pa.int64()), pa.array(names[1], pa.int64()), digests], names=["span", "check", "digest"])).cast(name)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)), listed], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "names"])
 
     return joined.mapInArrow(run, schema)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, text: bool = True, name_bits: int = 64, **how) -> DataFrame:
+    """For each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `text`, the bytes that are kept."""
+    for seed in count():
+        found = repeated_spans(docs, id_col, text_col, window, seed=seed, name_bits=64 if seed else name_bits, **how)
+        out = written(_removed(spans.with_spans(docs, id_col, text_col, found), text), "removed")
+        named = out.select(F.explode("names").alias("n")).groupBy("n.span", "n.check")
+        if named.agg((F.min("n.digest") != F.max("n.digest")).alias("differ")).where("differ").isEmpty():
+            return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else []))

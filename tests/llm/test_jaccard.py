@@ -106,3 +106,15 @@ def test_keep_one_under_one_id(spark, same):
     kept = [r.text[:2] for r in jaccard.keep_one(df).collect()]
     assert sorted(kept) == ["a0", "b0", "qu"]
     assert got.select("class_key").distinct().count() == 3
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_patterned_words(spark, n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    line = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*line[:20], x, *line[20:]]) for x in (w, w.translate({97: 98, 98: 97}), w + " end")]
+    rows = list(enumerate(texts))
+    _, got = run(spark, rows)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got.collect()), key=repr) == brute(rows)

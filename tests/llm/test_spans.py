@@ -78,15 +78,51 @@ def test_words(spark, seed):
     assert sorted(map(tuple, got)) == brute_words(rows, 20)
 
 
+def alternating(n):
+    """A word of n letters in the pattern that polynomial hashes modulo 2**64 can't see, and its complement."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w[:n], w[:n].translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_patterned_words(spark, n):
+    one, other = alternating(n)
+    line = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([*line[:15], w, *line[15:20], f"own{k}"])) for k, w in enumerate([one, other, one])]
+    got = substrings.deduplicate(frame(spark, rows), text=False).collect()
+    assert sorted(map(tuple, got)) == brute_words(rows, 20)
+
+
+@pytest.mark.parametrize("bits", [2, 5, 64])
+def test_verification_tells_colliding_names_apart(spark, bits):
+    rows = documents(4, 30)
+    got = substrings.deduplicate(frame(spark, rows), text=False, name_bits=bits).collect()
+    assert sorted(map(tuple, got)) == brute_words(rows, 20)
+
+
+def test_paths(spark):
+    edges = [(1, 0, 3, 17), (2, 1, 3, 1), (3, 2, 3, 1), (4, 3, 2, 1), (5, 4, 2, 9), (6, 9, 2, 1)]
+    df = spark.createDataFrame([(*e, 7, 0, e[0]) for e in edges], "unit long, left long, many long, n int, id long, tie long, at long")
+    assert sorted((r.unit, r.extra) for r in substrings.paths(df).collect()) == [(1, 2), (4, 9), (6, 0)]
+
+
 @pytest.mark.parametrize("seed,hot", [(1, suffixes.HOT), (2, 2)])
-def test_bytes(spark, seed, hot, monkeypatch):
+def test_bytes(spark, seed, hot):
     rows = documents(seed)
-    flags = suffixes.repeated_spans(frame(spark, rows), hot=hot, chunk=3000)
-    monkeypatch.setattr(suffixes, "repeated_spans", lambda *a, **k: flags)
-    got = suffixes.deduplicate(frame(spark, rows), text=False).collect()
+    got = suffixes.deduplicate(frame(spark, rows), text=False, hot=hot, chunk=3000).collect()
     assert sorted(map(tuple, got)) == brute_bytes(rows, 200)
 
 
+def test_patterned_and_colliding_bytes(spark):
+    one, other = alternating(700)
+    rows = documents(5, 24) + [(900, one), (901, other), (902, one[:400] + "z"), (903, "q" + other[:512])]
+    for bits in (64, 3):  # with short names, verification finds collisions and starts again
+        got = suffixes.deduplicate(frame(spark, rows), text=False, name_bits=bits).collect()
+        assert sorted(map(tuple, got)) == brute_bytes(rows, 200)
+
+
 def test_empty_and_repeated_rows(spark):
     assert substrings.deduplicate(frame(spark, []), text=False).count() == 0
     assert suffixes.deduplicate(frame(spark, [])).count() == 0
