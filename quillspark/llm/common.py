@@ -10,7 +10,6 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -236,34 +235,38 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, lane: in
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
-class WordCodes(dict):
-    """Two 64-bit codes a word, the halves of its BLAKE2b digest: words of any length or pattern that differ get different ones.
-
-    A word's place is its number in the table; long words aren't remembered, and the table starts anew at LIMIT."""
-
-    LIMIT, LONGEST = 400_000, 64
-
-    def __init__(self):
-        self._raw = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        place = len(self._raw) >> 4
-        self._raw += hashlib.blake2b(word, digest_size=16).digest()
-        if len(word) <= self.LONGEST:
-            self[word] = place
-        return place
-
-    def codes(self, words: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Both codes of all words of some documents in a row."""
-        if len(self._raw) >> 4 > self.LIMIT:
-            self.clear()
-            self._raw = bytearray()
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
-        both = np.frombuffer(bytes(self._raw), np.uint64).reshape(-1, 2)
-        return both[at, 0], both[at, 1]
-
-
-WORD_CODES = WordCodes()  # one a worker process
+SHORT = 16  # bytes of a word that fit the two halves of its code as they are
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE_CHARS.encode(), np.uint8))
+
+
+def _stir(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bijection on pairs of numbers."""
+    b = b ^ mix(a)
+    return a ^ mix(b + np.uint64(BASES[1])), b
+
+
+def word_codes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit codes of each word of a text, and where the words begin. `raw` starts and ends with white space.
+
+    Words of up to SHORT bytes are stirred by a bijection, so those of one length never get equal pairs; the pair of a longer
+    word is its BLAKE2b digest. So words that differ have different codes, whatever their patterns."""
+    data = np.frombuffer(raw + bytes(16), np.uint8)
+    space = IS_SPACE[data[: len(raw)]]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, end = turns[::2], turns[1::2]
+    size = end - begin
+    eights = np.ndarray(len(raw) + 9, "<u8", buffer=data, strides=(1,))
+    a = eights[begin] & _LOW_BYTES[np.minimum(size, 8)]
+    a, b = _stir(a, size.astype(np.uint64))
+    more = np.flatnonzero(size > 8)
+    a[more] += eights[begin[more] + 8] & _LOW_BYTES[np.minimum(size[more] - 8, 8)]
+    a[more], b[more] = _stir(a[more], b[more])
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        digests = b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(begin[long].tolist(), end[long].tolist())])
+        a[long], b[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return a, b, begin
 
 
 # ------------------------------------------------------------ components

@@ -16,10 +16,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CODES, map_groups, mix, prefix_hashes, span_hashes, written
+from .common import map_groups, mix, prefix_hashes, span_hashes, word_codes, written
 
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
 PIECE_BYTES = 1_500_000
@@ -56,12 +57,12 @@ def word_pieces(texts: list, seed: int = 0) -> Iterator[Piece]:
     while k < len(texts):
         first, parts, size = k, [], 0
         while k < len(texts) and (not parts or size < PIECE_BYTES and len(parts) < PIECE_DOCUMENTS):
-            raw = (texts[k] or "").encode("utf-8", "surrogatepass")
-            parts.append(raw.split())  # of bytes: by ASCII white space
-            size += len(raw) + 1
+            parts.append((texts[k] or "").encode("utf-8", "surrogatepass"))
+            size += len(parts[-1]) + 1
             k += 1
-        ends = np.cumsum([len(p) for p in parts])
-        codes, other = WORD_CODES.codes(parts, int(ends[-1]))
+        codes, other, begin = word_codes(b"\n".join([b"", *parts, b""]))
+        # how many words there are up to each document's end
+        ends = np.searchsorted(begin, np.cumsum([len(p) + 1 for p in parts]))
         yield Piece(codes, np.concatenate(([0], ends[:-1])), ends, first, seed, other)
 
 
@@ -115,6 +116,20 @@ def runs_of(p: Piece, k: int, m: int) -> Runs:
 
 # ---------------------------------------------------------------- shipping
 
+SLICE_BYTES = 12_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE_BYTES in a text column at most (a longer text stands alone), which bounds a task's arrays."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        done = 0
+        while done < b.num_rows:
+            upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + SLICE_BYTES, side="right")))
+            yield b.slice(done, upto - done)
+            done = upto
+
+
 def pack(bucket: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row a bucket that has entries, with each column's bytes."""
     order = np.argsort(bucket, kind="stable")

@@ -103,9 +103,9 @@ def test_verification_tells_colliding_names_apart(spark, bits):
 
 
 def test_paths(spark):
-    edges = [(1, 0, 3, 17), (2, 1, 3, 1), (3, 2, 3, 1), (4, 3, 2, 1), (5, 4, 2, 9), (6, 9, 2, 1)]
-    df = spark.createDataFrame([(*e, 7, 0, e[0]) for e in edges], "unit long, left long, many long, n int, id long, tie long, at long")
-    assert sorted((r.unit, r.extra) for r in substrings.paths(df).collect()) == [(1, 2), (4, 9), (6, 0)]
+    edges = [(1, 1, 0, 3, 17), (2, 8, 1, 3, 1), (3, 3, 8, 3, 1), (4, 4, 3, 2, 1), (5, 5, 4, 2, 9), (6, 6, 9, 2, 1)]
+    df = spark.createDataFrame([(*e, 7, 0, e[0]) for e in edges], "unit long, tail long, left long, many long, n int, id long, tie long, at long")
+    assert sorted((r.unit, r.n) for r in substrings.paths(df).collect()) == [(1, 19), (4, 10), (6, 1)]
 
 
 @pytest.mark.parametrize("seed,hot", [(1, suffixes.HOT), (2, 2)])
