@@ -40,14 +40,38 @@ def test_threshold_algorithm_with_ties(seed, n, d):
     q = rng.integers(-2, 3, d)
     old, topk.FIRST_DEPTH, topk.DEEPER = (topk.FIRST_DEPTH, topk.DEEPER), 1, 2
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    want = sorted((-int(values[j] @ q), int(block.ids[j])) for j in range(1, n))[:5]
+    floor = None if len(want) < 5 or rng.integers(0, 2) else -want[4][0]
     try:
-        s, i, ended = topk.threshold_search(block, q, 0, 5, *none, enough=int(rng.integers(0, 4)))
+        s, i, ended, seen = topk.threshold_search(block, q, 0, 5, *none, floor)
     finally:
         topk.FIRST_DEPTH, topk.DEEPER = old
-    if not ended:
-        ((s, i),) = topk.score_rest(block, q[None, :], [0], 5, [none])
-    want = sorted((-int(values[j] @ q), int(block.ids[j])) for j in range(1, n))[:5]
+    assert ended == "bound" or seen == n - 1
     assert [(-int(a), int(b)) for a, b in zip(s, i)] == want
+    assert (block.bounds(q[None, :])[0] >= values[1:] @ q).all()
+
+
+def test_blocks_without_a_chance_are_not_walked(spark):
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(6, 12)) * 4
+    rows = [(i, [float(x) for x in heads[i % 6] + rng.normal(size=12) * 0.05]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = topk.build_index(df, block=60)
+    assert index.count() >= 6 and index.agg({"n": "sum"}).first()[0] == 600
+    got_rows = sorted((tuple(r) for r in topk.search(index, "vec_id % 20 = 0", 7).collect()), key=repr)
+    assert got_rows == brute(rows, lambda i: i % 20 == 0, 7)
+    blocks = [topk.Block(r.asDict()) for r in index.collect()]
+    skipped = walked = 0
+    for home in blocks:
+        for row in np.flatnonzero(home.ids % 20 == 0):
+            q = home.exact[row]
+            s, i, ended, seen = topk.threshold_search(home, q, home.rows[row], 7, np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for other in blocks:
+                if other is not home:
+                    skip = other.bounds(q[None, :])[0] < s[-1]
+                    skipped, walked = skipped + skip, walked + (not skip)
+                    assert skip or topk.threshold_search(other, q, -1, 7, s, i, s[-1])[2] in ("bound", "lists")
+    assert skipped > walked
 
 
 def test_stops_early():
@@ -55,6 +79,5 @@ def test_stops_early():
     values = np.zeros((4000, 8), np.int64)
     values[np.arange(4000), rng.integers(0, 8, 4000)] = rng.integers(0, 1000, 4000)
     block = topk.Block(topk._pack(np.arange(4000), np.arange(4000), values))
-    count = [0]
-    topk.threshold_search(block, np.array([1, 0, 0, 0, 0, 0, 0, 0]), -1, 5, np.zeros(0, np.int64), np.zeros(0, np.int64), count)
-    assert count[0] < 400
+    *_, ended, seen = topk.threshold_search(block, np.array([1, 0, 0, 0, 0, 0, 0, 0]), -1, 5, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert ended == "bound" and seen < 400
