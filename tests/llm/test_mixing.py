@@ -62,17 +62,55 @@ def test_tree(spark):
     df = frame(spark, documents(1))
     plan = mixing.plan_mix(df, block_words=20, shard_words=1500)
     assert plan.shards >= 4
-    leaves = mixing.leaf_quotas(plan)
-    assert tuple(leaves.sum(axis=0)) == mixing.quotas(plan)
+    leaves = np.zeros((plan.shards, len(plan.sources)), np.int64)
+    for k, (shard, upto) in enumerate(mixing.leaves(plan)):
+        leaves[shard, k] = np.diff(upto, prepend=0)
+        assert (np.diff(shard) > 0).all()
+    assert (leaves.sum(axis=0) == mixing.quotas(plan)).all()
     assert leaves.sum(axis=1).max() - leaves.sum(axis=1).min() <= int(np.log2(plan.shards)) + 1
-    for k, quota in enumerate(mixing.quotas(plan)):
-        assert Counter(mixing.shard_of(plan, k, i) for i in range(quota)) == Counter({i: int(n) for i, n in enumerate(leaves[:, k]) if n})
-    taken = mixing.mixed(df, plan).selectExpr("sum(_repeats)").first()[0]
+    # what the documents take is what the leaves hold
+    got = mixing.mixed(df, plan).collect()
+    held, words = Counter(), Counter()
+    for r in got:
+        assert r.taken == r["size"] * len(r.shards) and len(r.shards) <= 3
+        for shard, i in zip(r.shards, r._instances):
+            held[r._k, i] |= 1 << shard
+            words[shard] += r["size"]
+    for (k, i), mask in held.items():
+        shard, upto = mixing.leaves(plan)[k]
+        assert mask == 1 << int(shard[np.searchsorted(upto, i, side="right")])  # a block instance is in one shard
+    assert sum(words.values()) == sum(r.taken for r in got) and len(words) == plan.shards
     ordered = mixing.write_order(df, plan)
-    assert ordered.count() == taken == mixing.taken_rows(df, plan).count()
+    assert ordered.count() == sum(len(r.shards) for r in got) == mixing.taken_rows(df, plan).count()
+    assert Counter(r.shard for r in ordered.collect()) == Counter(s for r in got for s in r.shards)
     assert mixing.taken_rows(df, plan).columns == df.columns and set(df.columns) <= set(ordered.columns)
 
 
+def test_leaves_follow_the_hypergeometric_distribution():
+    sources = tuple(mixing.Source(str(k), 10, 1, quota=n) for k, n in enumerate((30, 60, 10)))
+    drawn = []
+    for seed in range(800):
+        shard, upto = mixing.leaves(mixing.Plan(sources, seed, 2))[0]
+        drawn.append(int(np.diff(upto, prepend=0)[shard == 0].sum()))
+    # of 50 drawn from 100, 30 of them of the source
+    assert abs(np.mean(drawn) - 15) < 0.4 and abs(np.var(drawn) - 50 * 0.3 * 0.7 * 50 / 99) < 1
+
+
+def test_long_texts_and_a_hot_source(spark):
+    rows = [(i, "w " * 20_000 if i % 50 == 0 else "a b c", "hot" if i % 3 else f"s{i % 40}") for i in range(300)]
+    df = frame(spark, rows)
+    got = mixing.mixed(df, mixing.plan_mix(df, shard_words=50_000)).collect()
+    assert len(got) == 300 and {r["size"] for r in got} == {20_000, 3}
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        left = mine[0].target - sum(r.taken for r in mine)
+        once = Counter()
+        for r in mine:
+            if r.taken < 3 * r["size"]:
+                once[r.doc_id] += r["size"]
+        assert 0 <= left < min(once.values(), default=1) + 1
+
+
 def test_empty(spark):
     df = frame(spark, [])
     plan = mixing.plan_mix(df)
