@@ -6,6 +6,9 @@ either, so the piece is certainly cut there. The fragments between certain cuts
 their ids concatenated; each is encoded once per worker and looked up after that (the table is emptied at a
 fixed size, so memory is bounded).
 
+The pattern's classes of characters depend on a version of Unicode. Each character beyond ASCII is tried once per worker on both
+the pattern and the tokenizers library; texts with one that they class differently are cut by the library's pre-tokenizer.
+
 Defined results: a null text is encoded as the empty one (no ids); very long texts are encoded whole; special
 tokens that stand literally in a text become their id, as the tokenizers library does by default; repeated
 rows and other columns are of no concern, a column named like a result is replaced.
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import free_name, ship
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,10 +55,16 @@ class Codec:
         kinds = (spec["model"]["type"], spec["pre_tokenizer"]["type"], spec["decoder"]["type"], spec.get("normalizer"))
         if kinds != ("BPE", "ByteLevel", "ByteLevel", None) or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError(f"not a plain byte-level BPE tokenizer: {path}")
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if spec["model"].get(k)]
+        odd += [k for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+        if odd or spec["pre_tokenizer"].get("use_regex") is False:
+            raise ValueError(f"options that this encoder doesn't have: {odd or 'use_regex'} in {path}")
         alphabet = byte_alphabet()
         self._chars = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
-        back = {c: b for b, c in enumerate(alphabet)}
-        self._model = Tokenizer.from_file(path).model
+        self._back = back = {c: b for b, c in enumerate(alphabet)}
+        whole = Tokenizer.from_file(path)
+        self._model, self._pre = whole.model, whole.pre_tokenizer
+        self._tried, self._odd = set(map(chr, range(128))), set()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes: dict[int, bytes] = {}
         joined = [bytearray(256) for _ in range(256)]
@@ -83,28 +92,45 @@ class Codec:
         out.append(piece[start:])
         return out
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes, bytes]:
-        ids = [t.id for f in self.fragments(piece.encode("utf-8")) for t in self._model.tokenize(f.decode("latin-1").translate(self._chars))]
+    def _piece(self, piece: bytes) -> tuple[int, str, bytes, bytes]:
+        ids = [t.id for f in self.fragments(piece) for t in self._model.tokenize(f.decode("latin-1").translate(self._chars))]
         return self._entry(ids)
 
     def _entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
         return len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids)), array("i", ids).tobytes()
 
+    def _library_pieces(self, run: str) -> list[bytes]:
+        return [bytes(map(self._back.__getitem__, p)) for p, _ in self._pre.pre_tokenize_str(run)]
+
+    def _has_odd(self, text: str) -> bool:
+        """Whether the text has a character that pattern and library class differently."""
+        characters = set(text)
+        for c in characters - self._tried:
+            self._tried.add(c)
+            if any([p.encode() for p in self._find(x)] != self._library_pieces(x) for x in (f"a{c}a", f"1{c}1", f"!{c}!", f"a {c}", f"a{c} a", f"!{c} {c}{c}")):
+                self._odd.add(c)
+        return bool(self._odd) and not self._odd.isdisjoint(characters)
+
     def _parts(self, text: str | None) -> list[tuple[int, str, bytes, bytes]]:
         """For each piece: how many ids, the ids in decimal with commas, the bytes that they decode to, the ids packed."""
         table, out = self._table, []
         if len(table) > TABLE_LIMIT:
             table.clear()
-        for run in self._special.split(text or "") if self._special and "<" in (text or "") else [text or ""]:
+        text = text or ""
+        odd = not text.isascii() and self._has_odd(text)
+        for run in self._special.split(text) if any(s in text for s in self.special) else [text]:
             if not run:
                 continue
             if run in self.special:
                 out.append(self._entry([self.special[run]]))
                 continue
+            if odd:
+                out += map(self._piece, self._library_pieces(run))
+                continue
             for piece in self._find(run):
                 got = table.get(piece)
                 if got is None:
-                    got = self._piece(piece)
+                    got = self._piece(piece.encode("utf-8"))
                     if len(piece) <= 64:
                         table[piece] = got
                 out.append(got)
@@ -143,7 +169,7 @@ def _map(df: DataFrame, text_col: str, fields: list[T.StructField], fn) -> DataF
     kept = df.drop(*names)
     rest = list(kept.columns)
     schema = T.StructType([*kept.schema.fields, *fields])
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("_text"))
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias(free_name(rest, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -56,6 +56,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+")), F.lit(0)).cast("long")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of `columns` has, whatever the case."""
+    return "_" * (1 + max((len(c) for c in columns), default=0)) + name
+
+
 # ---------------------------------------------------------- shared storage
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,10 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Fitting: document frequencies of hashed character n-grams and the documents per language come from all
-training rows. The weights are learned from a bounded sample (`sample_per_language`, `max_languages`; the rows
-of smallest keyed hash, so reruns agree) by follow-the-regularised-leader, one update a document, with an
-elastic-net penalty: L1 keeps the weights sparse, L2 small. A part of the sample that takes no update sets one
-temperature, which calibrates the probabilities. The model is a fixed-size matrix and is broadcast.
+training rows. The weights are learned from a bounded sample (`sample_per_language` different texts of each language, those
+of smallest keyed hash, so reruns agree and copies count once) by follow-the-regularised-leader, one update a document, with
+an elastic-net penalty: L1 keeps the weights sparse, L2 small. A part of the sample that takes no update sets one
+temperature, which calibrates the probabilities. All languages are learned; with very many of them the buckets
+become fewer, so that the model stays below MODEL_CELLS weights and can be broadcast.
 
 Prediction reads the whole text. Defined results: a null text or one without a letter gives `und` with score
 0; so does every text if nothing was learned; repeated rows get equal results; ties go to the smaller language
@@ -15,14 +16,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, ship
+from .common import free_name, map_groups, mix, ship, written
 
 UNKNOWN = "und"
 
@@ -32,7 +33,6 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     sample_per_language: int = 400  # documents that the weights are learned from
-    max_languages: int = 200
     calibration_every: int = 5  # each fifth sampled document sets the temperature instead
     epochs: int = 3
     alpha: float = 0.5
@@ -42,6 +42,7 @@ class Settings:
 
 
 DEFAULT = Settings()
+MODEL_CELLS, LEAST_BITS = 1 << 25, 8  # buckets times languages
 
 
 def buckets(text: str, s: Settings) -> np.ndarray:
@@ -94,8 +95,9 @@ class Model:
 # ----------------------------------------------------------------- fitting
 
 def document_frequencies(texts: DataFrame, s: Settings, chunk: int = 1024) -> tuple[np.ndarray, int]:
-    """In how many texts each bucket occurs, and how many texts there are. Every task sends one sum a chunk of
-    buckets, whatever the corpus; sums meet by chunk."""
+    """In how many texts each bucket occurs, and how many texts there are. Every task sends one row of sums a chunk of
+    buckets, whatever the corpus; rows meet by chunk."""
+    chunk = min(chunk, 1 << s.bits)
     size = 1 << s.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +110,19 @@ def document_frequencies(texts: DataFrame, s: Settings, chunk: int = 1024) -> tu
             k = size // chunk
             yield pa.RecordBatch.from_arrays([pa.array([-1, *range(k)], pa.int32()), pa.array([[n], *df.reshape(k, chunk)], pa.list_(pa.int64()))], names=["chunk", "sums"])
 
-    # sums of arrays, position by position, without a Python group
-    parts = texts.mapInArrow(run, "chunk int, sums array<bigint>").select("chunk", F.posexplode("sums").alias("i", "n")).groupBy("chunk", "i").agg(F.sum("n").alias("n"))
+    def add(table: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in zip(offsets[:-1], offsets[1:]):
+            rows = table.column("sums").slice(i, j - i).combine_chunks()
+            total = rows.flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([table.column("chunk").slice(i, 1).combine_chunks(), pa.array([total], pa.list_(pa.int64()))], names=["chunk", "sums"])
+
+    schema = "chunk int, sums array<bigint>"
     df, n = np.zeros(size, np.int64), 0
-    for r in parts.collect():  # 2**bits + 1 rows
+    for r in map_groups(texts.mapInArrow(run, schema), ["chunk"], [], add, schema).collect():  # a row a chunk
         if r.chunk < 0:
-            n = r.n
+            n = r.sums[0]
         else:
-            df[r.chunk * chunk + r.i] = r.n
+            df[r.chunk * chunk : (r.chunk + 1) * chunk] = r.sums
     return df, n
 
 
@@ -168,40 +175,59 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
+def drawn(rows: DataFrame, s: Settings) -> DataFrame:
+    """(lang, key): for each language the `sample_per_language` smallest keyed hashes of its different texts. A task passes on
+    as many at most, so neither copies nor large languages gather anywhere."""
+    most = s.sample_per_language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            lang, key = b.column(0).dictionary_encode(), b.column(1).to_numpy(zero_copy_only=False)
+            at = lang.indices.to_numpy(zero_copy_only=False)
+            for i, name in enumerate(lang.dictionary.to_pylist()):
+                both = np.concatenate((held.get(name, np.zeros(0, np.int64)), key[at == i]))
+                held[name] = np.unique(both)[:most]
+        for name, keys in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["lang", "key"])
+
+    least = rows.select("lang", "key").mapInArrow(run, "lang string, key long").distinct()
+    return least.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= most).select("lang", "key")
+
+
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", s: Settings = DEFAULT) -> Model:
     """A model from the rows of `rows` whose text and language aren't null."""
     ship(rows.sparkSession)
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = sorted(((r["count"], r.lang) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()), key=lambda x: x[1])
-    languages = [lang for _, lang in counts]
+    text = F.col(text_col).cast("string")
+    rows = rows.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text, F.lit(17)).alias("key")).where("text IS NOT NULL AND lang IS NOT NULL")
+    chosen = written(drawn(rows, s), "drawn")
+    languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())  # a row a language
+    while s.bits > LEAST_BITS and len(languages) << s.bits > MODEL_CELLS:
+        s = replace(s, bits=s.bits - 1)
     df, n = document_frequencies(rows.select("text"), s)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     model = Model(s, languages, idf, np.zeros((1 << s.bits, len(languages)), np.float32), np.zeros(len(languages)), 1.0)
     if not languages:
         return model
-    # rows below a hash threshold that lets about 1.5 times the quota through, then the smallest hashes
-    key = F.xxhash64("text", F.lit(17))
-    unit = (F.pmod(key, F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    limit = None
-    for count, lang in counts:
-        share = min(1.0, 1.5 * s.sample_per_language / count + 20.0 / count)
-        limit = F.when(F.col("lang") == lang, F.lit(share)) if limit is None else limit.when(F.col("lang") == lang, F.lit(share))
-    near = rows.select("text", "lang", unit, key.alias("key")).where(F.col("u") < F.coalesce(limit, F.lit(0.0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
-            text, lang, key = (b.column(k).to_pylist() for k in range(3))
-            vectors = [np.unique(buckets(t, s), return_counts=True) for t in text]
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(key, pa.int64()), pa.array([v[0] for v in vectors], pa.list_(pa.int32())), pa.array([v[1] for v in vectors], pa.list_(pa.int32()))], names=["lang", "key", "at", "n"])
-
-    # the whole sample is at most sample_per_language x max_languages rows of at most 2**bits entries
+            lang, key, text = (b.column(c).to_pylist() for c in ("lang", "key", "text"))
+            new = [i for i, k in enumerate(zip(lang, key)) if k not in seen and not seen.add(k)]  # one of a text's copies
+            found = [np.unique(buckets(text[i], s), return_counts=True) for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in new], pa.string()), pa.array([key[i] for i in new], pa.int64()), pa.array([v[0] for v in found], pa.list_(pa.int32())), pa.array([v[1] for v in found], pa.list_(pa.int32()))], names=["lang", "key", "at", "n"])
+
+    wanted = F.broadcast(chosen) if len(languages) * s.sample_per_language <= 1_000_000 else chosen
+    sample = rows.join(wanted, ["lang", "key"]).select("lang", "key", "text").mapInArrow(vectors, "lang string, key long, at array<int>, n array<int>")
+    # sample_per_language rows a language of at most 2**bits entries
+    sample = sample.groupBy("lang", "key").agg(F.min(F.struct("at", "n")).alias("v")).select("lang", "key", "v.*")
     taken: dict[str, list] = {}
-    for r in near.select("text", "lang", "key").mapInArrow(run, "lang string, key long, at array<int>, n array<int>").toLocalIterator():
+    for r in sample.toLocalIterator():
         taken.setdefault(r.lang, []).append((r.key, np.array(r.at, np.int64), np.array(r.n, np.int64)))
     train, held = [], []
     for k, lang in enumerate(languages):
-        chosen = sorted(taken.get(lang, []), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))[: s.sample_per_language]
-        for i, (_, at, c) in enumerate(chosen):
+        for i, (_, at, c) in enumerate(sorted(taken[lang], key=lambda x: x[0])):
             (held if i % s.calibration_every == s.calibration_every - 1 else train).append((k, at, tf_idf(at, c, idf)))
     model.weights, model.bias = learn(train, len(languages), s)
     logits = np.array([x @ model.weights[at] + model.bias for _, at, x in held]).reshape(len(held), len(languages))
@@ -213,8 +239,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`df` with lang_pred and score; reads no other column than the text."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")], F.col(f"`{text_col}`").alias("_text"))
-    schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    text = free_name(df.columns, "text")
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")], F.col(f"`{text_col}`").alias(text))
+    schema = kept.drop(text).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -11,8 +11,8 @@ generalised template, that recurs. Lines of recurring templates are dropped from
 
 Hashes stand for templates in all shuffles; texts of lines move only for leaves with something to generalise.
 Defined results: a null text has no lines and stays null; blank lines are kept and are no template; rows that
-repeat are documents of their own, judged alike; null ids count as the largest; an empty table stays empty; other
-columns pass through.
+repeat in id and text count as one document and are all kept or changed alike; null ids count as the largest; an
+empty table stays empty; other columns pass through, only `deduplicate` replaces columns named like its counts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, written
+from .common import SPACE_CLASS, free_name, written
 
 DEPTH = 3
 MIN_DOCS = 5
@@ -81,6 +81,8 @@ def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, l
     rare = tokens.where((F.col("docs") < min_docs) & (F.col("token") != VARIABLE)).join(holders, ["leaf", "t", "u"])
     shared = rare.select("leaf", "at", "token", "_k", "_l").distinct().groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     support = tokens.where((F.col("docs") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "at", "token").union(shared.select("leaf", "at", "token")).distinct().withColumn("support", F.lit(True))
+    # the leading tokens of a leaf are in all its templates: two plain shuffles, of which adaptive execution can split hot keys
+    support = written(support, "support")
     rare = tokens.where(F.col("docs") < min_docs).join(support, ["leaf", "at", "token"], "left")
     stays = F.col("support").isNotNull()
     general = rare.groupBy("leaf", "t", "u", "docs", "first").agg(
@@ -93,11 +95,11 @@ def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, l
     return found.groupBy("t", "u").agg(F.min("first").alias("first")) if long_docs else found
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
-    """`docs` with the text that is left, and n_lines and n_dropped (lines with a word).
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, long_docs: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """`docs` with the text that is left, and two `counts`: lines with a word, and those of them that were dropped.
 
     Without `long_docs`, long templates need `min_docs` documents like others."""
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if c not in counts]
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col])
     keyed = _keyed(docs.select(F.col(f"`{id_col}`").alias("_doc"), row.alias("_row"), F.col(f"`{text_col}`").alias("_text")), "_doc", "_text")
     lines = _exploded(keyed, "_text")
@@ -111,10 +113,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.coalesce(F.size(F.filter(all_lines, lambda x: x.rlike(f"[^{SPACE_CLASS}]"))), F.lit(0)).cast("long")
     n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(n)
     parts = [text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns]
-    return out.select(*parts, n.alias("n_lines"), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*parts, n.alias(counts[0]), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias(counts[1]))
 
 
 def keep(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = LONG_DOCS) -> DataFrame:
     """`docs` with recurring lines dropped, without the documents that have nothing left because of it."""
-    out = deduplicate(docs, min_docs=min_docs, long_docs=long_docs)
-    return out.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines"))).select(*docs.columns)
+    n_lines, n_dropped = free_name(docs.columns, "lines"), free_name(docs.columns, "dropped")
+    out = deduplicate(docs, min_docs=min_docs, long_docs=long_docs, counts=(n_lines, n_dropped))
+    return out.where((F.col(n_dropped) == 0) | (F.col(n_dropped) < F.col(n_lines))).select(*[F.col(f"`{c}`") for c in docs.columns])

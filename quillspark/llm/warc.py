@@ -247,21 +247,23 @@ def read_records(f, first: int = 0, last: int | None = None, span: int = 1 << 22
         k = j
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = True, records_a_task: int = 10_000) -> DataFrame:
-    """The records of all archives of a manifest; a large archive is read by many tasks."""
+def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = True, records_a_task: int = 10_000, bytes_a_task: int = 16 << 20) -> DataFrame:
+    """The records of all archives of a manifest, a task for each slice of about `bytes_a_task`, or `records_a_task` if that is less."""
     ship(spark)
-    parts = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_records") - 1, F.lit(0)), F.lit(records_a_task).cast("long"))).alias("first"))
+    step = F.greatest(F.lit(1), F.least(F.lit(records_a_task), F.floor(F.col("n_records") * bytes_a_task / F.greatest("n_bytes", F.lit(1))))).cast("long")
+    parts = manifest.withColumn("step", step).select("path", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_records") - 1, F.lit(0)), F.col("step"))).alias("first"))
+    n_tasks = max(1, parts.count())
     schema = RECORDS if payloads else RECORDS.replace(", payload binary", "")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     types = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.strip().split(" ")[1]]) for n, x in zip(names, schema.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, step, first in zip(*(c.to_pylist() for c in batch.columns)):
                 disk, name = _file_system(path)
                 with disk.open_input_file(name) as f:
                     rows = []
-                    for r in read_records(f, first, first + records_a_task):
+                    for r in read_records(f, first, first + step):
                         rows.append({n: r[n] for n in names})
                         if len(rows) == 1000:
                             yield pa.RecordBatch.from_pylist(rows, types)
@@ -269,4 +271,5 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, types)
 
-    return parts.repartition("path", "first").mapInArrow(run, schema)
+    # slices are dealt out by number, which adaptive execution leaves as it is however few bytes their rows have
+    return parts.repartition(n_tasks).mapInArrow(run, schema)

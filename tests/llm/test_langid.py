@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from quillspark.llm import langid
@@ -61,3 +63,78 @@ def test_empty(spark):
     model = langid.fit(empty)
     assert langid.predict(empty, model).count() == 0
     assert langid.predict(frame(spark, [(1, "words", None)]), model).first().lang_pred == "und"
+
+
+def test_learning_and_prediction_against_plain_loops():
+    """Every coordinate in plain Python: FTRL with elastic net, then the softmax at the temperature."""
+    rng = np.random.default_rng(3)
+    s = langid.Settings(bits=8, epochs=2)
+    rows = [(int(k % 3), np.unique(rng.integers(0, 256, 6)), None) for k in range(40)]
+    rows = [(k, at, rng.random(len(at)) + 0.1) for k, at, _ in rows]
+    z, n = [[0.0] * 3 for _ in range(257)], [[0.0] * 3 for _ in range(257)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= s.l1:
+            return 0.0
+        return -(z[i][c] - math.copysign(s.l1, z[i][c])) / ((s.beta + math.sqrt(n[i][c])) / s.alpha + s.l2)
+
+    for epoch in range(s.epochs):
+        for k in np.argsort(langid.mix(np.arange(len(rows), dtype=np.uint64) + np.uint64(epoch << 32))):
+            label, at, x = rows[k]
+            pairs = [*zip(at.tolist(), x.tolist()), (256, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in pairs for c in range(3)}
+            logits = [sum(v * w[i, c] for i, v in pairs) for c in range(3)]
+            e = [math.exp(v - max(logits)) for v in logits]
+            for i, v in pairs:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == label))
+                    sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / s.alpha
+                    z[i][c] += g - sigma * w[i, c]
+                    n[i][c] += g * g
+    weights, bias = langid.learn(rows, 3, s)
+    assert np.allclose(weights, [[weight(i, c) for c in range(3)] for i in range(256)], atol=1e-6)
+    assert np.allclose(bias, [weight(256, c) for c in range(3)])
+    idf = rng.random(256) + 1
+    model = langid.Model(s, ["x", "y", "z"], idf, weights, bias, 1.7)
+    text = "Aé b"
+    counts = {}
+    padded = " aé b "
+    for size in (1, 2, 3):
+        for i in range(len(padded) - size + 1):
+            h = ord(padded[i])
+            for c in padded[i + 1 : i + size]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            b = int(langid.mix(np.array([(h + (size << 56)) % 2**64], np.uint64))[0]) >> 56
+            counts[b] = counts.get(b, 0) + 1
+    x = {b: (1 + math.log(c)) * idf[b] for b, c in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    logits = [(sum(v / norm * float(weights[b, c]) for b, v in x.items()) + bias[c]) / 1.7 for c in range(3)]
+    e = [math.exp(v - max(logits)) for v in logits]
+    lang, score = model.predict(text)
+    assert lang == "xyz"[int(np.argmax(logits))] and abs(score - max(e) / sum(e)) < 1e-6
+
+
+def test_copies_count_once_and_every_language_is_learned(spark):
+    rows = documents(90) + [(1000 + i, "the same text over and over", "en") for i in range(3000)] + [(5000 + i, f"zz{i} yy xx", f"l{i:03}") for i in range(230)]
+    s = langid.Settings(sample_per_language=20, epochs=1)
+    df = frame(spark, rows).repartition(4)
+    text = langid.F.col("text")
+    keyed = df.select("lang", langid.F.xxhash64(text, langid.F.lit(17)).alias("key"))
+    got = langid.drawn(keyed, s).collect()
+    want = {}
+    for r in keyed.distinct().collect():
+        want.setdefault(r.lang, []).append(r.key)
+    assert sorted(map(tuple, got)) == sorted((k, x) for k, v in want.items() for x in sorted(v)[:20])
+    model = langid.fit(df, s=s)
+    assert len(model.languages) == 233
+    again = langid.fit(df.unionByName(df.where("lang = 'en'")), s=langid.replace(s, bits=10))
+    assert again.languages == model.languages
+
+
+def test_accuracy_on_held_out_documents(spark):
+    from quillspark.llm import queries_langid
+
+    got = queries_langid.op10_language_id(spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = got.where("held_out").join(truth, "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97

@@ -62,3 +62,19 @@ def test_variants_of_one_document_count_once(spark):
     out = {r.doc_id: r for r in lines.deduplicate(spark.createDataFrame(data + five, "doc_id long, text string")).collect()}
     assert {i: out[i].text for i, _ in data} == dict(data)
     assert [out[i].n_dropped for i, _ in five] == [0, 1, 1, 1, 1]
+
+
+def test_repeated_rows_are_one_document(spark):
+    line = "this very line stands in all of these rows"
+    once = spark.createDataFrame([(1, line)] * 5 + [(7, line)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_dropped) for r in lines.deduplicate(once).collect()} == {(1, 0), (7, 0)}
+    own = spark.createDataFrame([(i, line) for i in range(6)] + [(3, line)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_dropped) for r in lines.deduplicate(own).collect())
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 1)]
+
+
+def test_own_counts_pass_through(spark):
+    rows = [(i, t, 5, "d", 1) for i, t in documents()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped string, _id int")
+    kept = lines.keep(df)
+    assert kept.columns == df.columns and {(r.n_lines, r.n_dropped, r._id) for r in kept.collect()} == {(5, "d", 1)}

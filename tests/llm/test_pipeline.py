@@ -17,3 +17,59 @@ def test_stages(spark, tmp_path):
     again = pipeline.run(spark, "/root/testdata/sf0.001")
     key = lambda d: sorted((r.doc_id, r.ids_sha256, r.n_tokens) for r in d.collect())
     assert key(again) == key(kept)
+
+
+CLASHES = "size string, n_lines int, node string, component int, shard string, epoch int, ids string, n_tokens int, _row int, _text string, _key int, words string"
+
+
+def run_stages(spark, pipeline, docs, folder):
+    kept, out = docs, []
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, kept, None).write.parquet(str(folder / name))
+        kept = spark.read.parquet(str(folder / name))
+        out.append(kept)
+        if k < len(pipeline.STAGES) - 1:
+            assert kept.columns == docs.columns, name
+    return out
+
+
+def test_odd_input(spark, tmp_path):
+    """Null texts, ids, languages and sources; empty, repeated and very long rows; columns with the stages' own names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    prose = lambda tag, n=90: " ".join(f"{tag}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}o" for i in range(n))
+    own = ("s", 1, "n", 2, "h", 3, "i", 4, 5, "t", 6, "w")
+    rows = [(i, prose(f"d{chr(97 + i)}"), "en", f"src{i % 3}", 1, *own) for i in range(12)]
+    rows += [(50, None, "en", "src0", 1, *own), (51, "", None, None, 1, *own), (None, prose("nul"), None, None, None, *own), (52, prose("lng", 676 * 30), "en", "src1", 1, *own)]
+    rows += [rows[0], rows[0], (None, prose("nul"), "fr", None, 7, *own)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}")
+    out = run_stages(spark, pipeline, docs, tmp_path)
+    ids = [sorted((r.doc_id for r in x.collect()), key=str) for x in out]
+    good = sorted([*range(12), None], key=str)  # all but the null, the empty and the repetitive text
+    assert ids[0] == ids[1] == sorted([*good, 0, 0, None], key=str) and ids[2] == good
+    assert set(ids[3]) <= set(good) and ids[4] == ids[3] and len(ids[3]) > 6
+    assert {c for c, _ in out[4].dtypes} >= {"n_tokens", "ids", "ids_sha256", "decoded_sha256", "size", "node"}
+    empty = run_stages(spark, pipeline, docs.limit(0), tmp_path / "empty")
+    assert all(x.count() == 0 for x in empty)
+
+
+def test_tables_are_freed(spark, monkeypatch):
+    import os
+
+    from quillspark.llm import common
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    before = len(common._written)
+    out = pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [p for _, p in common._written[before:] if os.path.exists(p.replace("file://", ""))]
+    assert out.count() > 0 and len(left) <= 2
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Thing
+
+    from quillspark.llm import common
+
+    none = Thing(get=lambda *a: None)
+    spark = Thing(sparkContext=Thing(getConf=lambda: none, master="spark://host:7077"), conf=none)
+    with pytest.raises(ValueError):
+        common.shared_dir(spark)

@@ -25,6 +25,18 @@ def test_round_trip_and_revisits(spark):
     assert by[4][0].payload == b"" and by[7][0].payload == b"a\r\n\r\nb" * 5000
 
 
+def test_reading_tasks_grow_with_the_archives(spark):
+    from pyspark.sql import functions as F
+
+    for n in (12, 120):
+        pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(n)], "page_id long, url string, html string").repartition(3)
+        manifest = warc.write_archives(pages, max_records=20)
+        read = warc.read_archives(spark, manifest, records_a_task=4)
+        assert read.count() == n and read.select(F.spark_partition_id()).distinct().count() >= n // 8
+        read = warc.read_archives(spark, manifest, bytes_a_task=400)
+        assert read.count() == n and read.select(F.spark_partition_id()).distinct().count() >= n // 8
+
+
 def test_empty(spark):
     assert rows(spark, spark.createDataFrame([], "page_id long, url string, html string")) == []
 
