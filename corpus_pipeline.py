@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.written_alone(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        if k:
+            common.drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
