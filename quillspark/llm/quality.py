@@ -83,10 +83,10 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), "4 * n_symbols > n_words"),
     Rule("repeated_lines", ("n_dup_lines",), "5 * n_dup_lines > 3 * n_lines"),
     Rule("digits", ("word_chars",), f"10 * {_length_without('[^0-9]++')} > 3 * word_chars"),
-    Rule("letters", ("word_chars",), f"2 * {_length_without('[^A-Za-z\\x{80}-\\x{10FFFF}]++')} < word_chars"),
+    Rule("letters", ("word_chars",), f"2 * (length({TEXT}) - {_length_without('[A-Za-z\\x{80}-\\x{10FFFF}]++')}) < word_chars"),
     Rule("capitals", ("word_chars",), f"10 * {_length_without('[^A-Z]++')} > 7 * word_chars"),
-    Rule("long_words", ("word_chars",), f"5 * (length({TEXT}) - {_length_without(f'[^{SPACE_CLASS}]{{40,}}+')}) > word_chars"),
-    Rule("leaders", ("word_chars",), f"10 * (length({TEXT}) - {_length_without('[.]{4,}+|-{4,}+|_{4,}+|={4,}+|~{4,}+|!{4,}+|[?]{4,}+')}) > word_chars"),
+    Rule("long_words", ("word_chars",), f"5 * (length({TEXT}) - {_length_without(f'(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}]{{40,}}+')}) > word_chars"),
+    Rule("leaders", ("word_chars",), f"10 * (length({TEXT}) - {_length_without('([.=~!?_-])\\1{3,}+')}) > word_chars"),
     Rule("cut_lines", ("n_dup_lines",), rf"2 * regexp_count({TEXT}, r'(?:[.][.][.]|…)[\x20\x09]*+(?:\n|\z)') > n_lines"),
     Rule("bullets", ("n_dup_lines",), rf"10 * regexp_count({TEXT}, r'(?:\A|\n)[\x20\x09]*+[-*•–][\x20\x09]') > 9 * n_lines"),
 )
