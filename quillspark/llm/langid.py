@@ -192,7 +192,10 @@ def drawn(rows: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["lang", "key"])
 
     least = rows.select("lang", "key").mapInArrow(run, "lang string, key long").distinct()
-    return least.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= most).select("lang", "key")
+    # the smallest of each of 64 slots, then the smallest of a language: no task gets all tasks' rows of one
+    for by in (["lang", F.pmod("key", F.lit(64))], ["lang"]):
+        least = least.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("n") <= most).select("lang", "key")
+    return least
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", s: Settings = DEFAULT) -> Model:
