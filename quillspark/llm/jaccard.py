@@ -10,9 +10,10 @@ What moves: equal sets are one node, told by a digest, from the first map on, so
 there are. A first pass counts the nodes of each bucket; bit maps of fixed size say which buckets have company and
 which are large; a second pass ships (bucket, node, size, sketch) for those only. Within buckets, two sketches (128
 minima of two bits) rule pairs out that are far from the threshold, and what is left becomes stars of candidates,
-never all pairs. Each connected group of candidates is then gathered once with its sets, in blocks where it is
-large, and every pair in it is decided by exact set sizes. Of these pairs only sums leave a task: links a node, and
-a spanning star.
+never all pairs. Each connected group of candidates is then gathered once with its sets, and every pair in it is decided
+by exact set sizes; a large group is dealt to blocks by classes of set size, of which only the same and neighbouring
+ones can hold similar sets, and blocks meet in pairs. Of these pairs only sums leave a task: links a node, and a spanning
+star.
 
 Defined results: a null text and one without words has no set, no link, and a class of its own; one of one to four
 words has itself as its only shingle; repeated rows are copies of each other; null ids come last among the members of
@@ -37,7 +38,7 @@ LAMBDA, DEPTH, SMALL = 0.7, 3, 64
 TARGET_RECALL = 0.9999
 BINS = 128  # of a sketch, two bits each
 TOKEN_BITS = np.uint64(52)  # a shingle's hash; the document within a piece fills the rest
-BLOCK = 512  # sets that are compared in one matrix product
+BLOCK = 256  # sets that are compared in one matrix product, with as many others
 NODES = {"key": "u8", "node": "u8"}
 #: Documents with their nodes pass through the first shuffle, by document.
 DOCUMENTS = {"id": "i8", "tie": "i8", "second": "i8", "own": "u8", "n": "i8"}
@@ -362,10 +363,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
     clusters = components(edges)
 
     # third pass: the sets of all nodes that have a candidate, each group of candidates together
-    weights = members.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    weights = members.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"))
     clusters = written(clusters.join(weights, "node"), "clusters", narrow=True)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = written(clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed", narrow=True)
+    # sets at the threshold differ in size by 1 / threshold at most: one class of sizes, or the next (a little wider, for rounding)
+    width = -math.log(threshold) * (1 + 1e-6)
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("whole"))
+    clusters = written(clusters.join(sizes, "component").withColumn("class", F.when(F.col("whole") > block, F.floor(F.log("n") / width)).otherwise(0).cast("int")), "classes", narrow=True)
+    classes = clusters.groupBy("component", "class").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    code = F.col("class").cast("long") * (1 << 40)
+    placed = written(clusters.join(classes, ["component", "class"]).select("component", "class", "node", "weight", (code + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "placed", narrow=True)
+    beside = classes.withColumn("others", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: code + i))
+    beside = beside.withColumn("near", F.array(*[F.col("class") + d for d in (-1, 0, 1)])).select("component", "others", F.explode("near").alias("class"))
+    beside = written(beside.groupBy("component", "class").agg(F.flatten(F.collect_list("others")).alias("others")), "beside", narrow=True)
     wanted = context.broadcast(spans.bit_map(placed, "node"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,13 +387,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
                     raw = [s.token[s.edge[d] : s.edge[d + 1]].tobytes() for d in at]
                     yield pa.RecordBatch.from_arrays([pa.array(s.node[at].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "tokens"])
 
-    rows = texts.mapInArrow(gather, "node long, tokens binary").join(placed, "node")
-    # a set meets every block of its group: groups of up to BLOCK sets have one
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    # a set meets every block of the classes beside its own: groups of up to BLOCK sets have one block
+    meeting = placed.join(beside, ["component", "class"]).select("component", "block", "node", "weight", F.explode("others").alias("other"))
+    rows = texts.mapInArrow(gather, "node long, tokens binary").join(meeting, "node").withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     rows = rows.select("component", "left", "right", "block", "node", "weight", "tokens")
     decided = written(map_groups(rows, ["component", "left", "right"], [], _verified(ratio), "node long, links long, label long", min_rows=1_000), "links")
     linked = decided.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
-    if placed.where("blocks > 1").isEmpty():
+    if clusters.where(F.col("whole") > block).isEmpty():
         groups = linked.select("node", "links", F.col("label").alias("component"))
     else:
         whole = components(decided.select(F.col("node").alias("a"), F.col("label").alias("b")))
