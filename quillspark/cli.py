@@ -1,4 +1,4 @@
-"""Score files or stdin and fail a build on flagged ones: `python -m quillspark [--json] [--ml] PATH... | -`."""
+"""Score files or stdin and fail a build on flagged ones: `python -m quillspark [--json] [--ml --reference PATH...] PATH... | -`."""
 
 from __future__ import annotations
 
@@ -18,7 +18,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser = argparse.ArgumentParser(prog="quillspark", description=__doc__)
     parser.add_argument("paths", nargs="*")
     parser.add_argument("--json", action="store_true", help="an array with a result a text")
-    parser.add_argument("--ml", action="store_true", help="add the combiner's probability where likelihood columns can be had")
+    parser.add_argument("--ml", action="store_true", help="add the combiner's probability; needs --reference")
+    parser.add_argument("--reference", nargs="+", default=[], metavar="PATH", help="text files on which the n-gram pair of --ml is fitted")
+    parser.add_argument("--model", help="a combiner's JSON file")
     parser.add_argument("--threshold", type=float, default=3.0)
     parser.add_argument("--prob", type=float, default=0.5)
     parser.add_argument("--quiet", action="store_true")
@@ -31,7 +33,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     texts = readers.read_texts(spark, files)
     if "-" in args.paths:
         texts = texts.union(readers.literal_text(spark, sys.stdin.read()))
-    scored = gate(lint(texts, ml=args.ml), args.threshold, args.prob).persist()
+    scored = gate(lint(texts, ml=args.ml, model=args.model, reference=readers.read_texts(spark, args.reference) if args.reference else None), args.threshold, args.prob).persist()
     try:
         if args.json:
             print("[" + ",\n".join(r[0] for r in scored.select(readers.result_json(scored, ["name", "flagged"])).toLocalIterator()) + "]")

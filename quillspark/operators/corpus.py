@@ -97,11 +97,11 @@ def sample_cells(df: DataFrame, per_cell: int = 60, min_words: int = 50, max_wor
     rows = rows.where((words >= min_words) & (words <= max_words)).withColumn("_h", shuffled(F.col("id"), seed))
     ai = capped(rows.where("model <> 'human'"), ["domain", "model"], F.col("_h"), "id", per_cell)
     human = rows.where("model = 'human'")
-    n_ai = ai.agg(F.count(F.lit(1)).alias("_n"))
-    n_domains = human.agg(F.countDistinct("domain").alias("_d"))
-    share = human.withColumn("_rank", F.row_number().over(Window.partitionBy("domain").orderBy("_h", "id"))).join(F.broadcast(n_ai)).join(F.broadcast(n_domains)).where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest(F.lit(1), F.col("_d")))))
+    # two numbers, so that the ranks below have literal limits and each task passes on so many rows a domain at most
+    n_ai, n_domains = ai.count(), human.select("domain").distinct().count()
+    share = capped(human, ["domain"], F.col("_h"), "id", max(1, n_ai // max(1, n_domains)))
     # at most one row a domain is over the target, where there are fewer machine rows than domains
-    share = share.withColumn("_all", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", "id"))).where(F.col("_all") <= F.col("_n"))
+    share = share.orderBy("_h", "id").limit(n_ai)
     out = share.select(*rows.columns, F.lit("human").alias("label")).union(ai.select(*rows.columns, F.lit("ai").alias("label")))
     source = F.coalesce(F.nullif(F.col("source_id").cast("string"), F.lit("")), F.col("id").cast("string"))
     return out.select(F.concat_ws("-", F.lit("raid"), "domain", "model", F.col("id").cast("string")).alias("id"), "text", "label", "domain", F.lit("RAID").alias("source"), "model", F.lit("2023-24").alias("era"), F.nullif(F.col("decoding"), F.lit("")).alias("decoding"), F.concat_ws(":", F.lit("raid"), "domain", source).alias("question"))

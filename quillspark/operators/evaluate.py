@@ -53,6 +53,14 @@ def write_report(metrics: dict, folder: str) -> None:
     for name, values in metrics.items():
         if name.endswith("_auc") and name != "feature_auc":
             lines += ["", f"## {name}", "", *(f"- {k}: {v}" for k, v in sorted(values.items()))]
+    for title, name in (("At the operating threshold", "operating_threshold"), ("At the best F1 of these very rows, which flatters", "leaky_best_f1")):
+        r = metrics[name]
+        lines += ["", f"## {title}", "", "| threshold | true + | false + | false - | true - | accuracy | precision | recall | F1 |", "|" + "---|" * 9, f"| {r['threshold']} | {r['tp']} | {r['fp']} | {r['fn']} | {r['tn']} | {r['accuracy']:.3f} | {r['precision']:.3f} | {r['recall']:.3f} | {r['f1']:.3f} |"]
+    if metrics["paired"].get("pairs"):
+        r = metrics["paired"]
+        lines += ["", "## Questions with both sides", "", f"Machine side higher in {r['wins']} of {r['pairs']}, equal in {r['ties']}, lower in {r['losses']}: {r['paired_auc']:.3f}. Mean difference {r['mean_delta']:.3f}."]
+    lines += ["", "## Scores", "", "| label | n | mean | median | p25 | p75 | min | max |", "|" + "---|" * 8]
+    lines += [f"| {k} | {r['n']} | {r['mean']:.3f} | {r['median']} | {r['p25']} | {r['p75']} | {r['min']} | {r['max']} |" for k, r in sorted(metrics["score_dist"].items())]
     (out / "report.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
     wrong = ["# Misclassified", ""]
     for kind in ("false_positives", "false_negatives"):

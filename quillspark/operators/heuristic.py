@@ -136,7 +136,7 @@ def score(df: DataFrame, text_col: str = "text", w: Weights = DEFAULT, keep_pars
         ai = p > 0
         signals.append(F.when(p.isNotNull(), F.struct(F.lit(r.feature).alias("name"), rounded(r.value.cast("double"), 3).alias("value"), F.when(ai, "ai").otherwise("neutral").alias("leaning"), rounded(p, 2).alias("contribution"), F.when(ai, ADVICE[r.feature]).alias("advice"))))
         notes.append(F.when(p.isNotNull(), r.note))
-    notes.append(F.when(F.col("low_confidence") & (F.col("word_count") > 0), F.lit("low confidence: too few sentences for the structural signals")))
+    notes.append(F.when(F.col("low_confidence") & (F.col("word_count") > 0), F.lit("few sentences: what depends on their rhythm says little here")))
     notes.append(F.when(F.col("word_count") == 0, F.lit("empty text")))
     out = out.withColumn("score_raw", total)
     shown = rounded(F.col("score_raw"), 1)

@@ -7,15 +7,18 @@ pair, and a combiner for them is trained on them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..sources.storage import settled, small
 
-MAX_TOKENS = 384
 LL_SCHEMA = ("ll_perplexity", "ll_mean_logprob", "ll_surprisal_stdev", "ll_binoculars")
 
 
@@ -25,8 +28,9 @@ class Scorer(Protocol):
     def score(self, df: DataFrame, text_col: str = "text") -> DataFrame: ...
 
 
-def bigrams(df: DataFrame, key: list[str], text_col: str = "text", limit: int | None = MAX_TOKENS) -> DataFrame:
-    """(key, at, prev, word): each word but the first of a text with the one before; in-row, without a shuffle."""
+def bigrams(df: DataFrame, key: list[str], text_col: str = "text", limit: int | None = None) -> DataFrame:
+    """(key, at, prev, word): each word but the first of a text with the one before, up to `limit` words if it is given; in-row,
+    without a shuffle."""
     words = tx.tokens(tx.plain(F.col(text_col)))
     if limit:
         words = F.slice(words, 1, limit)
@@ -43,17 +47,29 @@ class NgramPair:
     pairs: DataFrame  # prev, word, o, p
     add: float = 1.0
     share: float = 0.5  # weight of the bigram where its context is known
+    _ready: list = field(default_factory=list, repr=False)
 
     @classmethod
     def fit(cls, observer: DataFrame, performer: DataFrame, text_col: str = "text", add: float = 1.0, share: float = 0.5) -> NgramPair:
-        """Counts over whole texts. One pass a table: both models are the same aggregate with conditions."""
+        """Counts over whole texts, computed here and now. One pass a table: both models are the same aggregate with conditions."""
         both = observer.select(F.col(text_col).alias("text"), F.lit(1).alias("o")).union(performer.select(F.col(text_col).alias("text"), F.lit(0).alias("o")))
         count = [F.sum("o").alias("o"), F.sum(1 - F.col("o")).alias("p")]
         words = both.select("o", F.explode(tx.tokens(tx.plain(F.col("text")))).alias("word"))
-        return cls(words.groupBy("word").agg(*count), bigrams(both, ["o"], "text", None).groupBy("prev", "word").agg(*count), add, share)
+        return cls(settled(words.groupBy("word").agg(*count)), settled(bigrams(both, ["o"], "text").groupBy("prev", "word").agg(*count)), add, share)
+
+    @classmethod
+    def fit_halves(cls, corpus: DataFrame, text_col: str = "text", **how) -> NgramPair:
+        """Both models from one corpus, each from the half that a hash of the text deals it."""
+        side = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2))
+        return cls.fit(corpus.where(side == 0), corpus.where(side == 1), text_col, **how)
 
     def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Unigram probabilities; pair probabilities; and for each context what scoring needs of it."""
+        """Unigram probabilities; pair probabilities; and for each context what scoring needs of it. Once a model."""
+        if not self._ready:
+            self._ready = [small(settled(t)) for t in self._computed()]
+        return tuple(self._ready)
+
+    def _computed(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         lam, k = self.share, self.add
         totals = self.vocabulary.agg(F.sum("o").alias("no"), F.sum("p").alias("np"), F.count(F.lit(1)).alias("v"))
         # one row; the size of the vocabulary counts unknown words as one more
@@ -73,22 +89,25 @@ class NgramPair:
         contexts = seen.join(F.broadcast(base)).select("prev", "co", (F.col("direct") + known * (F.col("base") + shift + F.col("shift"))).alias("xent"))
         return uni, pairs.select("prev", "word", "lo"), contexts
 
-    def score(self, df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """`df` with the four features, null for texts of fewer than two words.
 
-        Occurrences are first summed to (text, prev, word), so joins carry each pair of a text once."""
+        They are functions of the text, so rows need no id: equal texts are scored together. Occurrences are first summed
+        to (text, prev, word), so joins carry each pair of a text once; tables of a checked size are broadcast."""
         uni, pairs, contexts = self._tables()
-        lam = self.share
-        spots = bigrams(df, [key], text_col).groupBy(key, "prev", "word").agg(F.count(F.lit(1)).alias("n"))
+        lam, key = self.share, ["_text_a", "_text_b"]
+        text = F.col(f"`{text_col}`")
+        df = df.drop(*LL_SCHEMA).withColumns({"_text_a": F.xxhash64(text), "_text_b": F.xxhash64(F.lit(7), text)})
+        spots = bigrams(df, key, text_col).groupBy(*key, "prev", "word").agg(F.count(F.lit(1)).alias("n"))
         constants = self._constants(uni)
-        x = spots.join(pairs, ["prev", "word"], "left").join(contexts.select("prev", "co", "xent"), "prev", "left").join(uni.select("word", "uo"), "word", "left").join(F.broadcast(constants))
+        x = spots.join(pairs, ["prev", "word"], "left").join(contexts, "prev", "left").join(uni.select("word", "uo"), "word", "left").join(F.broadcast(constants))
         floor = F.when(F.coalesce("co", F.lit(0)) > 0, F.lit(1 - lam)).otherwise(F.lit(1.0)) * F.coalesce("uo", "xo")
         x = x.withColumn("nll", F.coalesce("lo", -F.log(floor))).withColumn("xe", F.coalesce("xent", "base"))
         n = F.sum("n")
-        sums = x.groupBy(key).agg(n.alias("n"), F.sum(F.col("n") * F.col("nll")).alias("s"), F.sum(F.col("n") * F.col("nll") * F.col("nll")).alias("q"), F.sum(F.col("n") * F.col("xe")).alias("e"))
+        sums = x.groupBy(*key).agg(n.alias("n"), F.sum(F.col("n") * F.col("nll")).alias("s"), F.sum(F.col("n") * F.col("nll") * F.col("nll")).alias("q"), F.sum(F.col("n") * F.col("xe")).alias("e"))
         mean = F.col("s") / F.col("n")
-        found = sums.select(key, F.exp(F.least(mean, F.lit(50.0))).alias("ll_perplexity"), (-mean).alias("ll_mean_logprob"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("ll_surprisal_stdev"), F.when(F.col("e") / F.col("n") > 1e-6, F.col("s") / F.col("e")).alias("ll_binoculars"))
-        return df.drop(*LL_SCHEMA).join(found, key, "left")
+        found = sums.select(*key, F.exp(F.least(mean, F.lit(50.0))).alias("ll_perplexity"), (-mean).alias("ll_mean_logprob"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("ll_surprisal_stdev"), F.when(F.col("e") / F.col("n") > 1e-6, F.col("s") / F.col("e")).alias("ll_binoculars"))
+        return df.join(found, key, "left").drop(*key)
 
     def _constants(self, uni: DataFrame) -> DataFrame:
         k = self.add
@@ -97,6 +116,44 @@ class NgramPair:
         return uni.agg(F.sum(F.col("up") * -F.log("uo")).alias("b")).join(unknown).select("xo", (F.coalesce("b", F.lit(0.0)) + F.col("xp") * -F.log("xo")).alias("base"))
 
 
+_loaded: dict[str, Callable] = {}  # one a worker process and name
+
+
+@dataclass
+class BatchScorer:
+    """Any model that scores lists of texts, over Arrow batches.
+
+    `load` gives the model, once a worker process and `name`: a function from a list of texts to a tuple of the four features
+    (or None) for each. Texts go to it in lists of `size`; blank ones and those of one word don't. A list holds texts of
+    one Arrow batch only, and the results must not depend on what else is in it."""
+
+    name: str
+    load: Callable[[], Callable[[list[str]], list[tuple | None]]]
+    size: int = 16
+
+    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        df = df.drop(*LL_SCHEMA)
+        schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in LL_SCHEMA)])
+        text_at, name, load, size = df.columns.index(text_col), self.name, self.load, self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if name not in _loaded:
+                    _loaded[name] = load()
+                texts = b.column(text_at).to_pylist()
+                found: list[tuple | None] = [None] * len(texts)
+                # those of like length together, so that a model pads little
+                wanted = sorted((i for i, t in enumerate(texts) if t and len(t.split()) > 1), key=lambda i: len(texts[i]))
+                for at in range(0, len(wanted), size):
+                    some = wanted[at : at + size]
+                    for i, values in zip(some, _loaded[name]([texts[i] for i in some]), strict=True):
+                        found[i] = values
+                added = [pa.array([None if f is None else f[k] for f in found], pa.float64()) for k in range(len(LL_SCHEMA))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *added], names=schema.names)
+
+        return df.mapInArrow(run, schema)
+
+
 def resume(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """The rows of `df` whose key the cache `done` doesn't have."""
     return df.join(done.select(key).distinct(), key, "left_anti")

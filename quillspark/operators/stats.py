@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pinned
+from ..sources.storage import settled
 
 
 def histogram(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
@@ -23,32 +24,41 @@ def histogram(df: DataFrame, score: str, label: str, by: list[str] = ()) -> Data
     return rows.groupBy(*by, "score").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def running(h: DataFrame, column: str, out: str, by: list[str] = (), descending: bool = False, inclusive: bool = False, ranges: int = 64) -> DataFrame:
-    """Add the sum of `column` over lower (or higher) scores of the group.
-
-    Scores are cut into `ranges` intervals of equal width a group; each interval sums within itself and adds the
-    totals of the intervals before it, of which there are few."""
-    by = list(by)
-    # all branches read the same columns of the histogram, so that its shuffle is planned once and reused
+def _cut(h: DataFrame, by: list[str], ranges: int) -> tuple[DataFrame, list, Column]:
+    """`h` with `_bin`, one of `ranges` intervals of its group's scores that hold about as many cells each; the sums of all its
+    columns; and a condition that names them all, so that every branch reads the same columns and the histogram's
+    shuffle is planned once and reused."""
     values = [c for c in h.columns if c not in (*by, "score")]
+    sums = [F.sum(c).alias(f"_all_{c}") for c in values]
     whole = F.lit(True)
     for c in values:
         whole = whole & (F.col(f"_all_{c}") >= 0)
-    sums = [F.sum(c).alias(f"_all_{c}") for c in values]
-    edges = h.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), *sums).where(whole).select(*by, "_lo", "_hi")
-    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(ranges - 1), F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges))).otherwise(F.lit(0)).cast("int")
-    binned = (h.join(edges, by) if by else h.join(F.broadcast(edges))).withColumn("_bin", bin_of).drop("_lo", "_hi")
+    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    edges = h.groupBy(*by).agg(F.percentile_approx("score", points, 1_000).alias("_edges"), *sums).where(whole).select(*by, "_edges")
+    cut = (h.join(edges, by) if by else h.join(F.broadcast(edges))).withColumn("_bin", F.size(F.filter("_edges", lambda x: x < F.col("score"))))
+    return cut.drop("_edges"), sums, whole
+
+
+def running(h: DataFrame, columns: dict[str, str], by: list[str] = (), descending: bool = False, inclusive: bool = False, ranges: int = 64) -> DataFrame:
+    """Add, for each name in `columns`, the sum of its column over lower (or higher) scores of the group.
+
+    Scores are cut at their quantiles, so one far-off score doesn't fill one range with all others; each range sums within
+    itself and adds the totals of the ranges before it, of which there are few."""
+    by = list(by)
+    binned, sums, whole = _cut(h, by, ranges)
     order = F.desc("_bin") if descending else F.asc("_bin")
     # one row a bin and group
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = binned.groupBy(*by, "_bin").agg(*sums).where(whole).select(*by, "_bin", F.coalesce(F.sum(f"_all_{column}").over(w), F.lit(0)).alias("_before"))
+    before = binned.groupBy(*by, "_bin").agg(*sums).where(whole).select(*by, "_bin", *[F.coalesce(F.sum(f"_all_{c}").over(w), F.lit(0)).alias(f"_before_{out}") for out, c in columns.items()])
     inner = Window.partitionBy(*by, "_bin").orderBy(F.desc("score") if descending else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return binned.join(F.broadcast(before) if not by else before, [*by, "_bin"]).withColumn(out, (F.col("_before") + F.coalesce(F.sum(column).over(inner), F.lit(0))).cast("long")).drop("_before", "_bin")
+    joined = binned.join(F.broadcast(before) if not by else before, [*by, "_bin"])
+    joined = joined.withColumns({out: (F.col(f"_before_{out}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).cast("long") for out, c in columns.items()})
+    return joined.drop("_bin", *(f"_before_{out}" for out in columns))
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
     """(by, n_pos, n_neg, auc): the chance that a positive scores above a negative, ties for half; null with one class."""
-    h = running(histogram(df, score, label, by), "neg", "below", by)
+    h = running(histogram(df, score, label, by), {"below": "neg"}, by)
     pos, neg = F.sum("pos"), F.sum("neg")
     wins = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)")).cast("double")
     return h.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(wins, 2.0 * F.nullif(pos * neg, F.lit(0))).alias("auc"))
@@ -66,36 +76,42 @@ def feature_auc(long: DataFrame, label: str, directions: DataFrame, least: int =
     found = auc(long.where(F.col("value").isNotNull() & ~F.isnan("value")), "value", label, ["feature"])
     a = F.when(F.col("direction") == "low=AI", 1 - F.col("auc")).otherwise(F.col("auc"))
     n = F.coalesce(F.col("n_pos") + F.col("n_neg"), F.lit(0))
-    return F.broadcast(directions).join(found, "feature", "left").select("feature", "direction", n.alias("coverage"), F.when(n >= least, a).alias("auc"))
+    return directions.join(found, "feature", "left").select("feature", "direction", n.alias("coverage"), F.when(n >= least, a).alias("auc"))
 
 
-def bootstrap_auc_ci(df: DataFrame, score: str, label: str, reps: int = 2000, seed: int = 13, tasks: int = 32) -> DataFrame:
+def bootstrap_auc_ci(df: DataFrame, score: str, label: str, reps: int = 2000, seed: int = 13, cells: int = 200_000) -> DataFrame:
     """(lo, hi, reps_used): the 2.5 and 97.5 % points of AUC over resamples of all rows.
 
-    A resample of rows is a multinomial draw over the histogram's cells; scores are on a grid of tenths or the like,
-    so the histogram, not the rows, goes to every task. Its size is checked."""
-    h = histogram(df, score, label).orderBy("score").limit(1_000_001).toPandas()
-    if len(h) > 1_000_000:
-        raise ValueError("more than a million distinct scores: round the score first")
-    pos, neg = h["pos"].to_numpy(np.float64), h["neg"].to_numpy(np.float64)
-    n = int(pos.sum() + neg.sum())
+    A resample of rows is a multinomial draw over the histogram's cells. It is drawn in two steps, which is the same
+    distribution: how many rows fall into each range of scores, then within a range, in the task that holds its
+    cells (about `cells`). Ranges send three sums a resample, so the number of distinct scores has no bound."""
     spark = df.sparkSession
-    share = np.concatenate((pos, neg)) / max(n, 1)
-
-    def draw(batches):
-        for b in batches:
-            values = []
-            for rep in b["rep"]:
-                x = np.random.default_rng([seed, int(rep)]).multinomial(n, share)
-                p, q = x[: len(pos)], x[len(pos) :]
-                total = float(p.sum()) * float(q.sum())
-                if total:
-                    values.append(float((p * (np.cumsum(q) - q + q / 2)).sum()) / total)
-            yield pd.DataFrame({"auc": values})
-
+    h = settled(histogram(df, score, label))
+    cut, *_ = _cut(h, [], max(2, -(-h.count() // cells)))
+    cut = settled(cut)
+    totals = sorted((r._bin, r.n) for r in cut.groupBy("_bin").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect())  # a row a range
+    n = sum(x for _, x in totals)
     if n == 0:
         return spark.createDataFrame([(None, None, 0)], "lo double, hi double, reps_used long")
-    drawn = spark.range(0, reps, 1, tasks).withColumnRenamed("id", "rep").mapInPandas(draw, "auc double")
+    drawn = np.random.default_rng(seed).multinomial(n, np.array([x for _, x in totals]) / n, reps)
+    held = spark.sparkContext.broadcast({b: drawn[:, k].copy() for k, (b, _) in enumerate(totals)})
+
+    def draw(key, x: pd.DataFrame) -> pd.DataFrame:
+        bin_ = int(key[0])
+        x = x.sort_values("score")
+        share = np.concatenate((x["pos"], x["neg"])).astype(np.float64)
+        share /= share.sum()
+        rows = []
+        for rep, size in enumerate(held.value[bin_]):
+            both = np.random.default_rng([seed, bin_, rep]).multinomial(size, share)
+            p, q = both[: len(x)], both[len(x) :]
+            rows.append((rep, bin_, int(p.sum()), int(q.sum()), float((p * (np.cumsum(q) - q + q / 2)).sum())))
+        return pd.DataFrame(rows, columns=["rep", "bin", "p", "q", "wins"])
+
+    parts = cut.groupBy("_bin").applyInPandas(draw, "rep long, bin int, p long, q long, wins double")
+    lower = F.coalesce(F.sum("q").over(Window.partitionBy("rep").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.withColumn("wins", F.col("wins") + F.col("p") * lower).groupBy("rep").agg(F.sum("wins").alias("w"), (F.sum("p").cast("double") * F.sum("q")).alias("all"))
+    drawn = sums.where(F.col("all") > 0).select((F.col("w") / F.col("all")).alias("auc"))
     ranked = drawn.withColumn("r", F.row_number().over(Window.orderBy("auc")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))  # reps rows
     at = lambda q: F.max(F.when(F.col("r") == F.floor(F.col("m") * q), F.round("auc", 4)))
     return ranked.agg(at(0.025).alias("lo"), at(0.975).alias("hi"), F.count(F.lit(1)).alias("reps_used"))
@@ -128,7 +144,7 @@ def confusion_at(df: DataFrame, score: str, label: str, threshold: float | Colum
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """The confusion at each distinct score: reverse prefix sums over the histogram, not a pass for each threshold."""
     h = histogram(df, score, label)
-    h = running(running(h, "pos", "tp", descending=True, inclusive=True), "neg", "fp", descending=True, inclusive=True)
+    h = running(h, {"tp": "pos", "fp": "neg"}, descending=True, inclusive=True)
     totals = h.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return _ratios(h.join(F.broadcast(totals)).withColumns({"fn": F.col("np") - F.col("tp"), "tn": F.col("nn") - F.col("fp")}))
 
@@ -148,7 +164,7 @@ def dist(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
 
 def _dist(h: DataFrame, by: list[str]) -> DataFrame:
     """`dist` from (by, score, c)."""
-    h = running(h, "c", "upto", by)
+    h = running(h, {"upto": "c"}, by)
     n = h.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("score") * F.col("c")).alias("s"), F.min("score").alias("min"), F.max("score").alias("max"))
     h = h.join(n, list(by)) if by else h.join(F.broadcast(n))
     at = lambda place: F.max(F.when((F.col("upto") <= place) & (place < F.col("upto") + F.col("c")), F.col("score")))
@@ -157,12 +173,17 @@ def _dist(h: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, "n", (F.col("s") / n).alias("mean"), ((F.col("_a") + F.col("_b")) / 2).alias("median"), "p25", "p75", "min", "max")
 
 
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Each column's median over the values that are there, 0 if there is none: from one histogram of all columns."""
+    long = df.select(*[pinned(F.col(c).cast("double")).alias(c) for c in columns]).unpivot([], list(columns), "feature", "score").where("score IS NOT NULL AND NOT isnan(score)")
+    found = _dist(long.groupBy("feature", "score").agg(F.count(F.lit(1)).alias("c")), ["feature"])
+    return {c: 0.0 for c in columns} | {r.feature: r.median for r in found.select("feature", "median").collect()}  # a row a column
+
+
 def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """`df` with missing values as the column's median over present ones, 0 if there is none."""
-    df = df.withColumns({c: pinned(F.col(c)) for c in columns})
-    present = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
-    medians = df.agg(*[F.coalesce(F.median(present[c]), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
-    return df.join(F.broadcast(medians)).withColumns({c: F.coalesce(present[c], F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
+    found = medians(df, columns)
+    return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.lit(found[c])) for c in columns})
 
 
 def misclassified(df: DataFrame, key: str, score: str, label: str, threshold: float, text_col: str = "text", limit: int = 15) -> DataFrame:
@@ -188,7 +209,7 @@ def drift(df: DataFrame, label: str, metrics: dict[str, bool]) -> DataFrame:
     groups = cells.where("pos > 0 AND neg >= 0").select("grp", "metric", "score", "pos")
     names = groups.select("grp", "metric").distinct()
     both = groups.select("grp", "metric", "score", "pos", F.lit(0).cast("long").alias("neg")).union(names.join(pooled, "metric").select("grp", "metric", "score", F.lit(0).cast("long"), "neg"))
-    h = running(both.groupBy("grp", "metric", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "neg", "below", ["grp", "metric"])
+    h = running(both.groupBy("grp", "metric", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), {"below": "neg"}, ["grp", "metric"])
     wins = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("double")
     a = h.groupBy("grp", "metric").agg(F.try_divide(wins, 2.0 * F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     low = F.col("metric").isin([m for m, x in metrics.items() if x] or [""])

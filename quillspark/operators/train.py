@@ -18,7 +18,7 @@ def train(df: DataFrame, label: str = "label", names: list[str] | None = None, c
     deviation (0 counts as 1) and clipped. The L2 penalty 1/(c n) on the mean loss is the usual 1/2 |w|^2 + c x loss."""
     names = names or COMBINER_FEATURES
     x = df.select(F.col(label).cast("double").alias("label"), *[F.when(F.isnan(F.col(n).cast("double")), None).otherwise(F.col(n).cast("double")).alias(n) for n in names]).where("label IS NOT NULL")
-    medians = x.agg(*[F.coalesce(F.median(n), F.lit(0.0)).alias(n) for n in names]).first()
+    medians = stats.medians(x, names)
     x = x.fillna({n: medians[n] for n in names})
     numbers = x.agg(F.count(F.lit(1)).alias("_n"), *[f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
     n = numbers["_n"]

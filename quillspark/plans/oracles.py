@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions.lexicons import ABBREVIATIONS, BRIDGES, FUNCTION_WORDS, HEDGES, LIMITERS, VOCABULARY
-from ..operators.combine import MODEL
-from ..operators.features import REGISTRY
+from ..operators.combine import COMBINER_DIRECTION, MODEL
+from ..operators.features import LOW, REGISTRY
 from .queries import GENRES, TOPICS
 from .seasoned import SEASONED
 
@@ -143,7 +143,7 @@ cx AS (SELECT prev, co, sum(CASE WHEN cp > 0 THEN CAST(0.5 AS DOUBLE) * p / cp E
      + CASE WHEN cp > 0 THEN CAST(0.5 AS DOUBLE) ELSE 1 END * (max(base) + CASE WHEN co > 0 THEN -ln(CAST(0.5 AS DOUBLE)) ELSE 0 END + sum(up * (lo - l0))) AS xent
    FROM lp, base GROUP BY prev, co, cp),
 src AS ({SEASONED}),
-dt AS (SELECT doc_id, ({TOKENS})[1:384] AS w FROM src),
+dt AS (SELECT doc_id, ({TOKENS}) AS w FROM src),
 d2 AS (SELECT doc_id, w[i] AS prev, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 1))) AS i FROM dt)),
 x AS (SELECT d2.doc_id, coalesce(lp.lo, -ln(CASE WHEN coalesce(cx.co, 0) > 0 THEN CAST(0.5 AS DOUBLE) ELSE 1 END * coalesce(uu.uo, xo))) AS nll, coalesce(cx.xent, base) AS xe
    FROM d2 LEFT JOIN lp ON lp.prev = d2.prev AND lp.word = d2.word LEFT JOIN cx ON cx.prev = d2.prev LEFT JOIN uu ON uu.word = d2.word CROSS JOIN base),
@@ -185,6 +185,7 @@ def build() -> dict[str, str]:
         "q_features_long": f"WITH {seas} " + " UNION ALL ".join(f"SELECT doc_id, {i} AS feature_no, '{x.name}' AS feature, '{x.direction}' AS direction, round({x.name}, 6) AS value FROM f" for i, x in enumerate(REGISTRY)),
         "q_signals": f"WITH {SCORED}, g AS ({SIGNALS}) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS pos, name, {half_even('value', 3)} AS value, CASE WHEN points > 0 THEN 'ai' ELSE 'neutral' END AS leaning, {half_even('points', 2)} AS points FROM g",
         "q_heuristic_score": f"WITH {SCORED}, g AS ({SIGNALS}), k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) SELECT z.doc_id, round(score_raw, 6) AS score_raw, {VERDICT.format('score_raw')} AS verdict, CAST(wc AS INTEGER) AS word_count, low AS low_confidence, CAST(coalesce(n, 0) AS INTEGER) AS n_signals, CAST(coalesce(n, 0) + CASE WHEN wc = 0 OR low THEN 1 ELSE 0 END AS INTEGER) AS n_notes FROM z LEFT JOIN k ON k.doc_id = z.doc_id",
+        "q_layers": f"WITH {SCORED} SELECT doc_id, 'heuristic' AS layer, CAST(format('{{:.1f}}', score_raw) AS DOUBLE) AS value FROM z WHERE wc > 0",
         "q_verdict_counts": f"WITH {SCORED} SELECT lang, {VERDICT.format('score_raw')} AS verdict, count(*) AS n, count(*) FILTER (WHERE low) AS n_low FROM z GROUP BY 1, 2",
         "q_top_issues": f"WITH {SCORED}, g AS ({SIGNALS}), o AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY round(points * 100 - 0.000001, 0) DESC, ord) AS rank FROM g WHERE points > 0) SELECT doc_id, CAST(rank AS INTEGER) AS rank, name FROM o WHERE rank <= 3",
         "q_gate": f"WITH {SCORED}, g AS (SELECT source, wc >= 20 AND score_raw >= 2.95 AS hit FROM z) SELECT source, count(*) AS n, count(*) FILTER (WHERE hit) AS n_flagged, bool_or(hit) AS any_flagged FROM g GROUP BY source",
@@ -212,8 +213,11 @@ def build() -> dict[str, str]:
         "q_clean": f"SELECT conv_id, turn, md5(trim(regexp_replace(text, '[{WS}]+', ' ', 'g'))) AS clean_md5 FROM conversations",
     }
     likelihood = LIKELIHOOD.replace(f"src AS ({SEASONED}),", "")
-    full = logit(zs([*NAMES, "ll_mean_logprob", "ll_surprisal_stdev", "ll_binoculars"]))
-    out["q_augment"] = f"WITH {SCORED},{likelihood}, j AS (SELECT z.*, ll_mean_logprob, ll_surprisal_stdev, ll_binoculars FROM z LEFT JOIN ll ON ll.doc_id = z.doc_id), l AS (SELECT doc_id, wc, {full} AS x FROM j), s AS (SELECT doc_id, wc, {SIGMOID} AS p FROM l) SELECT doc_id, {half_even('p', 4)} AS probability, {P_VERDICT} AS verdict, wc >= 20 AND p >= 0.49995 AS flagged, CAST(17 AS INTEGER) AS n_signals FROM s"
+    all_z = zs([*NAMES, "ll_mean_logprob", "ll_surprisal_stdev", "ll_binoculars"])
+    full = logit(all_z)
+    # leaning by the value's side, and only where it moves the logit
+    n_ai = " + ".join(f"CASE WHEN CAST({all_z[n]} AS DOUBLE) {'< -0.4' if COMBINER_DIRECTION[n] == LOW else '> 0.4'} AND abs(CAST({c!r} AS DOUBLE) * CAST({all_z[n]} AS DOUBLE)) > 0.05 THEN 1 ELSE 0 END" for n, c in zip(MODEL["features"], MODEL["coef"]))
+    out["q_augment"] = f"WITH {SCORED},{likelihood}, j AS (SELECT z.*, ll_mean_logprob, ll_surprisal_stdev, ll_binoculars FROM z LEFT JOIN ll ON ll.doc_id = z.doc_id), l AS (SELECT doc_id, wc, {full} AS x, {n_ai} AS n_ai FROM j), s AS (SELECT doc_id, wc, n_ai, {SIGMOID} AS p FROM l) SELECT doc_id, CAST(n_ai AS INTEGER) AS n_ai, {half_even('p', 4)} AS probability, {P_VERDICT} AS verdict, wc >= 20 AND p >= 0.49995 AS flagged, CAST(17 AS INTEGER) AS n_signals FROM s"
     out["q_qa_flatten"] = _QA
     out["q_flat_cells"] = _FLAT
     return out

@@ -117,6 +117,10 @@ def q_heuristic_score(spark, sf):
     return scored(spark, sf).select("doc_id", F.round("score_raw", 6).alias("score_raw"), "verdict", "word_count", "low_confidence", F.size("signals").alias("n_signals"), F.size("notes").alias("n_notes"))
 
 
+def q_layers(spark, sf):
+    return scored(spark, sf).select("doc_id", pinned(F.col("layers")).alias("all")).select("doc_id", F.explode("all").alias("layer", "value"))
+
+
 def q_verdict_counts(spark, sf):
     return scored(spark, sf).groupBy("lang", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if("low_confidence").alias("n_low"))
 
@@ -253,7 +257,7 @@ def q_clean(spark, sf):
 def q_augment(spark, sf):
     pair, _ = _with_likelihood(spark, sf)
     a = gate.gate(combine.augment(pair.score(scored(spark, sf))))
-    return a.select("doc_id", "probability", "verdict", "flagged", F.size("signals").alias("n_signals"))
+    return a.select("doc_id", "probability", "verdict", "flagged", F.size("signals").alias("n_signals"), F.size(F.filter("signals", lambda s: s["leaning"] == "ai")).alias("n_ai"))
 
 
 def q_bootstrap_ci(spark, sf):

@@ -62,9 +62,9 @@ def read_layer2(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
-    """Questions with human and machine answers, numbered."""
+    """Questions with human and machine answers; `rec_no` is a hash of the record, so it doesn't follow the file's splits."""
     df = spark.read.schema("question string, human_answers array<string>, chatgpt_answers array<string>").json(path)
-    return df.withColumn("rec_no", F.monotonically_increasing_id())
+    return df.withColumn("rec_no", F.xxhash64("question", "human_answers", "chatgpt_answers"))
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
@@ -88,15 +88,9 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def console_lines(row: dict) -> list[str]:
-    """What the command prints for one text."""
-    head = f"score: {row['score']}  ({row['verdict']})"
-    if row.get("probability") is not None:
-        head += f"  ·  P(AI)={row['probability']}"
+    """What the command prints for one text: a line of its own for each finding, tab-separated after the name."""
+    facts = {"score": row["score"], "verdict": row["verdict"], "probability": row.get("probability"), "words": row["word_count"], "sentence_cv": row["sentence_cv"], "mattr": row["type_token_ratio"]}
+    shown = [f"{k}={round(v, 3) if isinstance(v, float) else v}" for k, v in facts.items() if v is not None]
     if row["low_confidence"]:
-        head += "  ·  [low confidence: short text]"
-    cv = "n/a" if row["sentence_cv"] is None else f"{row['sentence_cv']:.2f}"
-    out = ["", f"=== {row['name']} ===", head, f"words: {row['word_count']}  ·  cv: {cv}  ·  ttr: {round(row['type_token_ratio'], 2)}"]
-    issues = [s for s in json.loads(row["top"])]
-    if issues:
-        out += ["issues to revise:", *(f"  - {s['name']} (+{s['contribution']}) → {s['advice']}" for s in issues)]
-    return [*out, *([] if issues else ["  no AI-leaning signals"])]
+        shown.append("too short to be sure")
+    return ["\t".join([row["name"], *shown]), *(f"\t{k}. {x['name']} adds {x['contribution']}: {x['advice']}" for k, x in enumerate(json.loads(row["top"]), 1))]

@@ -120,12 +120,59 @@ def test_likelihood(spark, tmp_path):
     cache = str(tmp_path / "cache")
     ids = df.withColumnRenamed("doc_id", "id")
 
-    class ById:
-        def score(self, d, text_col="text"):
-            return pair.score(d, text_col, key="id")
+    assert likelihood.score_pending(ids.limit(2), pair, cache).count() == 2
+    assert likelihood.score_pending(ids, pair, cache).count() == 5
+    # features follow the text: rows without an id, and rows of one id, keep their own
+    odd = spark.createDataFrame([(None, "the cat sat"), (7, "the cat sat"), (7, "zebra quantum flux")], "doc_id int, text string")
+    got = sorted((str(x.doc_id), x.text, round(x.ll_mean_logprob, 9)) for x in pair.score(odd).collect())
+    one, two = round(r[1].ll_mean_logprob, 9), round(r[2].ll_mean_logprob, 9)
+    assert got == [("7", "the cat sat", one), ("7", "zebra quantum flux", two), ("None", "the cat sat", one)]
 
-    assert likelihood.score_pending(ids.limit(2), ById(), cache).count() == 2
-    assert likelihood.score_pending(ids, ById(), cache).count() == 5
+
+def test_batch_scorer(spark):
+    def load():
+        import os
+
+        calls = []
+
+        def model(texts):
+            assert 0 < len(texts) <= 3 and all(len(t.split()) > 1 for t in texts)
+            calls.append(os.getpid())
+            return [(float(len(t)), float(t.count(" ")), None, 1.0) for t in texts]
+
+        return model
+
+    texts = ["", "   ", None, "one", *(f"text number {i} " * (i + 1) for i in range(10))]
+    df = spark.createDataFrame([(t, "own") for t in texts], "text string, ll_perplexity string")
+    got = {r.text: r for r in likelihood.BatchScorer("lengths", load, size=3).score(df).collect()}
+    assert len(got) == 14 and all(got[t].ll_perplexity is None for t in texts[:4])
+    assert all(got[t].ll_perplexity == len(t) and got[t].ll_surprisal_stdev is None for t in texts[4:])
+
+
+def test_far_off_scores_and_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(0, 1) + (i % 2), i % 2) for i in range(400)] + [(999, 1e12, 0), (998, -1e12, 1)]
+    df = spark.createDataFrame(rows, "id int, s double, y int")
+    assert stats.auc(df, "s", "y").first().auc == pytest.approx(pairwise(df.collect()))
+    cut, *_ = stats._cut(stats.histogram(df, "s", "y"), [], 8)
+    assert max(r["count"] for r in cut.groupBy("_bin").count().collect()) < 100
+    few, many = (stats.bootstrap_auc_ci(df, "s", "y", reps=400, cells=c).first() for c in (1_000_000, 20))
+    assert abs(few.lo - many.lo) < 0.02 and abs(few.hi - many.hi) < 0.02 and many.reps_used == 400
+    x = df.select("id", F.when(F.col("id") % 3 > 0, F.col("s")).alias("s"))
+    import statistics
+
+    assert stats.medians(x, ["s"])["s"] == pytest.approx(statistics.median(r.s for r in x.collect() if r.s is not None))
+
+
+def test_cli_with_a_reference(spark, tmp_path, capsys):
+    text, ref = tmp_path / "t.txt", tmp_path / "r.txt"
+    text.write_text("plain text about boats and the sea and a dog that was sick on the way home from the pier one day last year. " * 2)
+    for i in range(4):
+        (tmp_path / f"r{i}.txt").write_text(f"a dog and a boat near the sea {i} were there all day")
+    refs = [str(tmp_path / f"r{i}.txt") for i in range(4)]
+    assert main([str(text), "--json", "--ml", "--prob", "0.0", "--reference", *refs], spark) == 1
+    assert "probability" in json.loads(capsys.readouterr().out)[0]
+    assert main([str(text), "--ml", "--prob", "1.1", "--reference", *refs], spark) == 0
 
 
 def test_train_and_evaluate(spark, tmp_path):
@@ -145,7 +192,7 @@ def test_train_and_evaluate(spark, tmp_path):
     metrics = evaluate.evaluate(scored, scored, reps=50)
     evaluate.write_report(metrics, str(tmp_path))
     assert json.loads((tmp_path / "metrics.json").read_text())["auc"] == metrics["auc"]
-    assert set(FEATURE_NAMES) <= set(metrics["feature_auc"]) and (tmp_path / "report.md").exists()
+    assert set(FEATURE_NAMES) <= set(metrics["feature_auc"]) and all(x in (tmp_path / "report.md").read_text() for x in ("operating threshold", "best F1", "both sides", "| 1 |"))
     rows = scored.withColumns({"era": F.lit("2022"), "model": F.lit("m")})
     table = evaluate.drift_report(rows, str(tmp_path / "drift.md"))
     assert "· human | " in table and "· m | " in table and (tmp_path / "drift.md").read_text() == table
