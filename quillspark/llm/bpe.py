@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, ship
+from .common import free_name, ship, tidy
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_LIMIT = 200_000
+TABLE_LIMIT = 100_000
 ROWS = 256  # texts that are encoded before their results leave the worker
 
 
@@ -178,7 +178,7 @@ def _map(df: DataFrame, text_col: str, fields: list[T.StructField], fn) -> DataF
                 b = whole.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *fn(b.column(b.num_columns - 1).to_pylist())], names=[*rest, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 IDS = T.ArrayType(T.IntegerType())

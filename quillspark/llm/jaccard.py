@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import components, map_groups, mix, ship, written
+from .common import components, map_groups, mix, ship, tidy, written
 
 SHINGLE = 5
 LAMBDA, DEPTH, SMALL = 0.7, 3, 64
@@ -301,7 +301,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
 
     # first pass: each document's node, and how many nodes each bucket of the first level has
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slices(batches, 1):
             ids, ties = spans.document_keys(b.column(0), b.column(1).to_pylist())
             keys, owners, node, size, second = [], [], [], [], [b.column(2).to_numpy(zero_copy_only=False)]
             for s in _arrays(b):
@@ -333,14 +333,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), none, none, none, none, pa.array(n[n > 1].astype(np.int64))], names=["key", "id", "tie", "second", "node", "n"])
 
     kinds = NODES | DOCUMENTS
-    first = written(spans.by_bucket(texts.withColumn("second", F.xxhash64("text")).mapInArrow(buckets, spans.shipped(kinds)), kinds, count, FIRST), "first")
+    first = written(spans.by_bucket(texts.withColumn("second", F.xxhash64("text")).mapInArrow(tidy(buckets), spans.shipped(kinds)), kinds, count, FIRST), "first")
     members = first.where("key IS NULL").select(F.nullif(F.col("id"), F.lit(spans.LAST_ID)).alias("doc_id"), "id", "tie", "second", "node", "n")
     counted = first.where("key IS NOT NULL").select("key", "n")
     company, large = (context.broadcast(spans.bit_map(counted.where(c), "key")) for c in ("n > 1", f"n > {small}"))
 
     # second pass: members of buckets with company, those of large ones at the deepest level
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slices(batches, 1):
             parts = []
             for s in _arrays(b):
                 once = np.zeros(len(s.size), bool)
@@ -359,7 +359,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
                 if len(x["key"]):
                     yield spans.pack((x["key"] % np.uint64(n_buckets)).astype(np.int64), n_buckets, x)
 
-    edges = spans.by_bucket(texts.mapInArrow(paths, spans.shipped(MEMBERS)), MEMBERS, lambda x: _candidates(x, threshold, most, small), "a long, b long")
+    edges = spans.by_bucket(texts.mapInArrow(tidy(paths), spans.shipped(MEMBERS)), MEMBERS, lambda x: _candidates(x, threshold, most, small), "a long, b long")
     clusters = components(edges)
 
     # third pass: the sets of all nodes that have a candidate, each group of candidates together
@@ -378,7 +378,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
     wanted = context.broadcast(spans.bit_map(placed, "node"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slices(batches, 1):
             for s in _arrays(b):
                 hit = np.zeros(len(s.size), bool)
                 hit[np.unique(s.node, return_index=True)[1]] = True
@@ -389,7 +389,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
 
     # a set meets every block of the classes beside its own: groups of up to BLOCK sets have one block
     meeting = placed.join(beside, ["component", "class"]).select("component", "block", "node", "weight", F.explode("others").alias("other"))
-    rows = texts.mapInArrow(gather, "node long, tokens binary").join(meeting, "node").withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    rows = texts.mapInArrow(tidy(gather), "node long, tokens binary").join(meeting, "node").withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     rows = rows.select("component", "left", "right", "block", "node", "weight", "tokens")
     decided = written(map_groups(rows, ["component", "left", "right"], [], _verified(ratio), "node long, links long, label long", min_rows=1_000), "links")
     linked = decided.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))

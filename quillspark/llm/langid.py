@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_groups, mix, ship, written
+from .common import free_name, map_groups, mix, ship, tidy, written
 
 UNKNOWN = "und"
 
@@ -118,7 +118,7 @@ def document_frequencies(texts: DataFrame, s: Settings, chunk: int = 1024) -> tu
 
     schema = "chunk int, sums array<bigint>"
     df, n = np.zeros(size, np.int64), 0
-    for r in map_groups(texts.mapInArrow(run, schema), ["chunk"], [], add, schema).collect():  # a row a chunk
+    for r in map_groups(texts.mapInArrow(tidy(run), schema), ["chunk"], [], add, schema).collect():  # a row a chunk
         if r.chunk < 0:
             n = r.sums[0]
         else:
@@ -191,7 +191,7 @@ def drawn(rows: DataFrame, s: Settings) -> DataFrame:
         for name, keys in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["lang", "key"])
 
-    least = rows.select("lang", "key").mapInArrow(run, "lang string, key long").distinct()
+    least = rows.select("lang", "key").mapInArrow(tidy(run), "lang string, key long").distinct()
     # the smallest of each of 64 slots, then the smallest of a language: no task gets all tasks' rows of one
     for by in (["lang", F.pmod("key", F.lit(64))], ["lang"]):
         least = least.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("n") <= most).select("lang", "key")
@@ -222,7 +222,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", s: Sett
             yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in new], pa.string()), pa.array([key[i] for i in new], pa.int64()), pa.array([v[0] for v in found], pa.list_(pa.int32())), pa.array([v[1] for v in found], pa.list_(pa.int32()))], names=["lang", "key", "at", "n"])
 
     wanted = F.broadcast(chosen) if len(languages) * s.sample_per_language <= 1_000_000 else chosen
-    sample = rows.join(wanted, ["lang", "key"]).select("lang", "key", "text").mapInArrow(vectors, "lang string, key long, at array<int>, n array<int>")
+    sample = rows.join(wanted, ["lang", "key"]).select("lang", "key", "text").mapInArrow(tidy(vectors), "lang string, key long, at array<int>, n array<int>")
     # sample_per_language rows a language of at most 2**bits entries
     sample = sample.groupBy("lang", "key").agg(F.min(F.struct("at", "n")).alias("v")).select("lang", "key", "v.*")
     taken: dict[str, list] = {}
@@ -252,4 +252,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)

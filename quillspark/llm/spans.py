@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_groups, mix, prefix_hashes, span_hashes, word_codes, written
+from .common import map_groups, mix, prefix_hashes, span_hashes, tidy, word_codes, written
 
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
 PIECE_BYTES = 1_500_000
@@ -202,9 +202,9 @@ def bit_map(keys: DataFrame, column: str) -> BitMap:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
 
-    placed = keys.select(F.col(column)).mapInArrow(place, "chunk int, at binary")
+    placed = keys.select(F.col(column)).mapInArrow(tidy(place), "chunk int, at binary")
     out = bytearray((1 << bits) // 8)
-    for r in placed.repartition("chunk").mapInArrow(union, "chunk int, bits binary").collect():
+    for r in placed.repartition("chunk").mapInArrow(tidy(union), "chunk int, bits binary").collect():
         out[r.chunk * size : (r.chunk + 1) * size] = r.bits
     return BitMap(bits, bytes(out))
 

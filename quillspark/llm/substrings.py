@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import drop_written, ship, written
+from .common import drop_written, ship, tidy, written
 
 WINDOW, GRAM = 20, 4
 #: A run or window: its minimizer, name and second hash, the name of the one before it (0: none), its place, windows, occurrences.
@@ -158,7 +158,7 @@ def repeated_edges(docs: DataFrame, id_col: str, text_col: str, k: int, m: int,
             left = np.concatenate((np.zeros(1, np.uint64), unit))[: len(unit)]
             yield from _ship(x | {"unit": unit, "left": np.where(x["at"] > 0, left, np.uint64(0)), "id": ids[x["doc"]], "tie": ties[x["doc"]]}, n_buckets)
 
-    first = written(spans.by_bucket(texts.mapInArrow(runs, spans.shipped(kinds)), kinds, lambda x: _meet(x, False, compact), FOUND), "runs")
+    first = written(spans.by_bucket(texts.mapInArrow(tidy(runs), spans.shipped(kinds)), kinds, lambda x: _meet(x, False, compact), FOUND), "runs")
     branching = docs.sparkSession.sparkContext.broadcast(spans.bit_map(first.where(F.col("role") == BRANCHING), "unit"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def repeated_edges(docs: DataFrame, id_col: str, text_col: str, k: int, m: int,
             mz, doc, at, name, check, left = (np.concatenate(c) for c in zip(*out))
             yield from _ship({"mz": mz, "unit": name >> short, "check": check, "left": left >> short, "id": ids[doc], "tie": ties[doc], "at": at, "n": np.ones(len(at), np.int64)}, n_buckets)
 
-    second = written(spans.by_bucket(texts.mapInArrow(windows, spans.shipped(kinds)), kinds, lambda x: _meet(x, True, compact), FOUND), "windows")
+    second = written(spans.by_bucket(texts.mapInArrow(tidy(windows), spans.shipped(kinds)), kinds, lambda x: _meet(x, True, compact), FOUND), "windows")
     return first, second
 
 
@@ -239,7 +239,7 @@ def _removed(joined: DataFrame, text: bool, verify: bool) -> DataFrame:
             n, gone, digest, kept, seen = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), b.column(2), b.column(3), pa.array(kept, pa.string()), pa.array(seen, path)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "id", "tie", "kept", "paths"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, text: bool = True, name_bits: int = 64) -> DataFrame:

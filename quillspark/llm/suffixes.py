@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import prefix_hashes, ship, span_hashes, written
+from .common import prefix_hashes, ship, span_hashes, tidy, written
 
 WINDOW, GRAM = 200, 24
 CHUNK_BYTES = 1_000_000  # of text under one suffix array, unless one minimizer has more
@@ -299,7 +299,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return r
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slices(batches, 2):
             text, ids, ties = read(b)
             runs = [runs_of(p) for p in spans.byte_pieces(text, seed)]
             doc = np.concatenate([r.doc for r in runs])
@@ -307,7 +307,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from _ship(x | {"id": ids[doc], "tie": ties[doc]}, n_buckets)
 
     kinds = KINDS | KNOWN
-    found = written(spans.by_bucket(texts.mapInArrow(compact, spans.shipped(kinds)), kinds, lambda x: _repeats(x, window), FOUND), "runs")
+    found = written(spans.by_bucket(texts.mapInArrow(tidy(compact), spans.shipped(kinds)), kinds, lambda x: _repeats(x, window), FOUND), "runs")
     context = docs.sparkSession.sparkContext
     keys = found.where("id IS NULL")
     mixed = context.broadcast(spans.bit_map(keys, "span"))
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.where(spans.in_map(crowded.value, mz), block.astype(np.int64) + 1, 0)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slices(batches, 2):
             text, ids, ties = read(b)
             columns, data, seen = [], [], set()
             for p in spans.byte_pieces(text, seed):
@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if data:
                 yield _pack_segments({c: np.concatenate([y[c] for y in columns]) for c in SEGMENTS}, data, n_buckets)
 
-    gathered = texts.mapInArrow(gather, spans.shipped(SEGMENTS | {"data": "u1"}))
+    gathered = texts.mapInArrow(tidy(gather), spans.shipped(SEGMENTS | {"data": "u1"}))
     shared = spans.by_bucket(gathered, SEGMENTS | {"data": "u1"}, lambda x: _search(x, window, chunk, seed), FOUND)
     out = found.where("id IS NOT NULL")
     if blocks < 2:
@@ -378,7 +378,7 @@ def _removed(joined: DataFrame, text: bool) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.StructArray.from_arrays([pa.array(names[0], pa.int64()), pa.array(names[1], pa.int64()), digests], names=["span", "check", "digest"])).cast(name)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)), listed], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "names"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, text: bool = True, name_bits: int = 64, **how) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, written
+from .common import new_path, ship, tidy, written
 
 BLOCK = 8_192
 CHUNK = 4_096
@@ -98,7 +98,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 cell = np.argmax(x @ shared.value[:, : x.shape[1]].T, axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["row", "vec_id", "q", "cell"])
 
-    placed = written(whole.mapInArrow(near, "row long, vec_id long, q array<bigint>, cell int"), "cells")
+    placed = written(whole.mapInArrow(tidy(near), "row long, vec_id long, q array<bigint>, cell int"), "cells")
     # one row a cell; a large cell is dealt to as many blocks as it needs
     dealt = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     placed = placed.join(F.broadcast(dealt), "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
@@ -128,7 +128,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             yield from flush()
 
     dealt_out = placed.select("row", "vec_id", "q", "cell", "part").repartition("cell", "part").sortWithinPartitions("cell", "part", "row")
-    return written(dealt_out.mapInArrow(run, INDEX), "index")
+    return written(dealt_out.mapInArrow(tidy(run), INDEX), "index")
 
 
 class Block:
@@ -241,9 +241,9 @@ def search(index: DataFrame, query: str, k: int = 20, chunk: int = CHUNK) -> Dat
         if rows:
             yield pa.RecordBatch.from_pydict({"chunk": [pickle.dumps((rows, ids, vectors))]})
 
-    wanted = index.mapInArrow(unpack, "row long, vec_id long, q array<bigint>").where(query)
+    wanted = index.mapInArrow(tidy(unpack), "row long, vec_id long, q array<bigint>").where(query)
     n_queries = wanted.count()
-    chunks = wanted.repartition(max(1, -(-n_queries // chunk))).mapInArrow(pack, "chunk binary")
+    chunks = wanted.repartition(max(1, -(-n_queries // chunk))).mapInArrow(tidy(pack), "chunk binary")
 
     def job(shared, home: bool):
         """Queries against blocks: each against its own block only (`home`), or against all with the floors found so."""
@@ -273,10 +273,10 @@ def search(index: DataFrame, query: str, k: int = 20, chunk: int = CHUNK) -> Dat
     for r in chunks.toLocalIterator():
         queries = pickle.loads(r.chunk)
         first = spark.sparkContext.broadcast(pickle.dumps((queries, [None] * len(queries[0]))))
-        at_home = index.mapInArrow(job(first, True), schema).groupBy("query_row").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+        at_home = index.mapInArrow(tidy(job(first, True)), schema).groupBy("query_row").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
         floors = {x.query_row: x.floor for x in at_home.where(F.col("n") == k).collect()}  # a row a query of the chunk
         shared = spark.sparkContext.broadcast(pickle.dumps((queries, [floors.get(i) for i in queries[0]])))
-        ranked = index.mapInArrow(job(shared, False), schema).withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= k)
+        ranked = index.mapInArrow(tidy(job(shared, False)), schema).withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= k)
         ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(path)
         some = True
     result = "query_id long, rank int, vec_id long, score long"

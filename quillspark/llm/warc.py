@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, written
+from .common import new_path, ship, tidy, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the formats: signatures, and a plain instant so that reruns write the same bytes.
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
         if archive is not None:
             yield close()
 
-    return written(plan_records(pages, min_revisit).mapInArrow(run, MANIFEST), "manifest")
+    return written(plan_records(pages, min_revisit).mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
 # ----------------------------------------------------------------- reading
@@ -272,4 +272,4 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
                         yield pa.RecordBatch.from_pylist(rows, types)
 
     # slices are dealt out by number, which adaptive execution leaves as it is however few bytes their rows have
-    return parts.repartition(n_tasks).mapInArrow(run, schema)
+    return parts.repartition(n_tasks).mapInArrow(tidy(run), schema)
