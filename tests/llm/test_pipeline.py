@@ -73,3 +73,68 @@ def test_no_local_folder_on_a_cluster():
     spark = Thing(sparkContext=Thing(getConf=lambda: none, master="spark://host:7077"), conf=none)
     with pytest.raises(ValueError):
         common.shared_dir(spark)
+
+
+def brute_lines(rows):
+    """Exact templates of five documents, or of two where eight words are no variable field; the first document keeps its line."""
+    def template(line):
+        return tuple("<*>" if any(c in "0123456789" for c in w) else w for w in line.split())
+
+    holders = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            if line.split():
+                holders.setdefault(template(line), set()).add(i)
+    gone = {t: min(ids) for t, ids in holders.items() if len(ids) >= 5 or len(ids) >= 2 and sum(w != "<*>" for w in t) >= 8}
+    out = []
+    for i, t in rows:
+        left = [x for x in t.split("\n") if not x.split() or gone.get(template(x), i) == i]
+        if len(left) == len(t.split("\n")) or any(x.split() for x in left):
+            out.append((i, "\n".join(left)))
+    return out
+
+
+def test_against_brute_force(spark, tmp_path):
+    from collections import Counter
+
+    import numpy as np
+    import test_bpe
+    import test_jaccard
+    import test_mixing
+    import test_quality
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    footer, passage, base = "share this page with friends", prose(12), [word() for _ in range(120)]
+    rows = [(i, prose(int(rng.integers(55, 140)))) for i in range(60)]
+    rows += [(100 + i, prose(70) + "\n" + footer + (f" 20{i}" if i % 2 else "")) for i in range(14)]
+    rows += [(200 + i, prose(60) + "\n" + passage + "\n" + prose(20)) for i in range(3)] + [(210, passage + "\n" + passage)]
+    for i in range(8):  # near copies
+        w = list(base)
+        w[int(rng.integers(0, 120))] = f"x{word()}"
+        rows.append((300 + i, " ".join(w)))
+    rows += [(400, rows[5][1]), (401, prose(20)), (402, "12 34 " * 60), (403, prose(60).upper()), (404, "a b c " * 40)]
+    sources = {i: "abc"[i % 3] for i, _ in rows}
+    docs = spark.createDataFrame([(i, t, "en", sources[i], len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = run_stages(spark, pipeline, docs, tmp_path)
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    want = sorted((i, t) for i, t in rows if test_quality.brute(t)[-1])
+    assert texts(out[0]) == want and len(want) < len(rows)
+    before, want = len(want), brute_lines(want)
+    assert texts(out[1]) == sorted(want) and sum(t.count("\n") for _, t in want) < sum(t.count("\n") for _, t in rows) and len(want) <= before
+    first = {c for _, c, _ in test_jaccard.brute(want)}
+    before, want = len(want), [(i, t) for i, t in want if i in first]
+    assert texts(out[2]) == sorted(want) and len(want) == before - 7  # one of the near copies stays
+    # the mix: whole documents, three times at most, as many words as each source's target leaves room for
+    taken, kept = Counter(r.doc_id for r in out[3].collect()), dict(want)
+    assert set(taken) <= set(kept) and max(taken.values()) <= 3 and {t for t in texts(out[3])} <= set(want)
+    sizes = Counter()
+    for i, t in want:
+        sizes[sources[i]] += len(t.split())
+    for s, target in test_mixing.brute_targets(dict(sizes)).items():
+        room = target - sum(n * len(kept[i].split()) for i, n in taken.items() if sources[i] == s)
+        assert 0 <= room < min((len(t.split()) for i, t in want if sources[i] == s and taken[i] < 3), default=1)
+    got = Counter((r.doc_id, tuple(r.ids), r.n_tokens) for r in out[4].collect())
+    assert got == Counter({(i, tuple(ids), len(ids)): n for i, n in taken.items() for ids in [test_bpe.LIB.encode(kept[i], add_special_tokens=False).ids]})
