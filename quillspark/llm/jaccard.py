@@ -258,9 +258,7 @@ def _verified(ratio: tuple[int, int]):
         data = table.column("tokens").to_pylist()
         out = []
         for a, b in zip(offsets[:-1], offsets[1:]):
-            # equal sets come once from each task that has one
-            _, first = np.unique(node_all[a:b], return_index=True)
-            rows = a + first
+            rows = a + np.argsort(node_all[a:b])
             across = left_all[a] != right_all[a]
             if across:
                 rows = rows[np.argsort(block_all[rows] != left_all[a], kind="stable")]
@@ -389,7 +387,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio:
 
     # a set meets every block of the classes beside its own: groups of up to BLOCK sets have one block
     meeting = placed.join(beside, ["component", "class"]).select("component", "block", "node", "weight", F.explode("others").alias("other"))
-    rows = texts.mapInArrow(tidy(gather), "node long, tokens binary").join(meeting, "node").withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    # each slice that has a set sends it: one row is left before it is dealt to groups, in the shuffle that the join needs
+    sets = texts.mapInArrow(tidy(gather), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    rows = sets.join(meeting, "node").withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     rows = rows.select("component", "left", "right", "block", "node", "weight", "tokens")
     decided = written(map_groups(rows, ["component", "left", "right"], [], _verified(ratio), "node long, links long, label long", min_rows=1_000), "links")
     linked = decided.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
