@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_quality", "queries_tokens", "queries_warc", "queries_langid", "queries_mixing", "queries_search", "queries_lines", "queries_spans", "queries_join")
+MODULES = ("queries_quality", "queries_tokens", "queries_warc", "queries_langid", "queries_mixing", "queries_search", "queries_lines", "queries_spans", "queries_join", "queries_centroids", "queries_whitening", "queries_merges")
 
 
 def queries() -> dict:
