@@ -15,7 +15,7 @@ WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 WORD = r"[\p{L}\p{N}_]"
 BEFORE, AFTER = rf"(?<!{WORD})", rf"(?!{WORD})"
 TOKEN = r"[A-Za-z]+(?:'[A-Za-z]+)?"
-MARK = "\u0001"  # stands between sentences while a text is split; taken out of texts first
+MARK, VETO = "\u0001", "\u0002"  # stand between sentences, and behind what ends none, while a text is split; taken out of texts first
 
 
 def _java(text: str) -> str:
@@ -23,34 +23,65 @@ def _java(text: str) -> str:
     return rf"[{WS}]+".join(re.sub(r"([.\\+*?\[^\]$(){}|])", r"\\\1", part) for part in text.split(" "))
 
 
-def _boundary() -> str:
-    """The pattern of a sentence's end: a run of .!? with its closers, unless an abbreviation, an initial or a
-    lower-case continuation says otherwise. The lookahead in front keeps the costly lookbehind from most places."""
-    known = "|".join(_java(a) for a in sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))
-    closers = "".join("\\" + c if c in "])" else c for c in CLOSERS)
-    token = rf"(?<!(?:^|[^\p{{L}}\p{{N}}.'’])[.'’]{{0,6}}(?:(?iu:{known})|\p{{L}})[.'’]{{0,6}})"
-    return rf"(?=[.!?])(?<![.!?]){token}[.!?]++[{closers}]*+(?=\p{{IsUppercase}}|[{WS}]++(?!\p{{IsLowercase}})|\z)"
+#: What a token before a sentence's end is made of; VETO is put behind a token that ends no sentence.
+IN_TOKEN = r"\p{L}\p{N}.'’"
 
 
-BOUNDARY = _boundary()
+def _vetoes(known: list[str]) -> str:
+    """The pattern of a token, from its start up to a run of .!?, that is one of `known` or a single letter but for dots and
+    quotes around it. A further match goes on from the last one, over dots and quotes to the next run. Matches end where a veto belongs."""
+    words = "|".join(re.sub(r"([.])", VETO + r"\\\1", a) for a in sorted(known, key=lambda a: (-len(a), a)))
+    letter = "" if VETO in words else r"|\p{L}"
+    return rf"(?:(?<![{IN_TOKEN}{VETO}])[.'’]*+(?:(?iu:{words}){letter})['’]*+|(?!\A)\G[.]++['’]++)(?=[.!?])"
+
+
+#: Plain tokens first; those with dots within them, such as u.s, have a veto behind their first letter by then.
+VETOES = [_vetoes([a for a in ABBREVIATIONS if "." not in a]), _vetoes([a.strip(".") for a in ABBREVIATIONS if "." in a.strip(".")])]
+#: A sentence's end: a run of .!? with its closers, unless vetoed or followed by a lower-case letter or, at once, by anything but an upper-case one.
+BOUNDARY = rf"(?=[.!?])(?<![.!?{VETO}])[.!?]++[{''.join(chr(92) + c if c in '])' else c for c in CLOSERS)}]*+(?=\p{{IsUppercase}}|[{WS}]++(?!\p{{IsLowercase}})|\z)"
 NOT_JUST = rf"(?iu){BEFORE}not[{WS}]+(?:{'|'.join(LIMITERS)}){AFTER}[^.!?]{{1,80}}{BEFORE}but{AFTER}"
 TRIAD = rf"(?iu){BEFORE}{WORD}+,[{WS}]+{WORD}+,[{WS}]+and[{WS}]+{WORD}+{AFTER}"
 HEDGE = rf"(?iu){BEFORE}it[{WS}]+is[{WS}]+(?:{'|'.join(_java(h) for h in HEDGES).replace('well-known', f'well[-{WS}]known')}){AFTER}"
 BRIDGE = rf"(?iu){BEFORE}(?:{'|'.join(map(_java, BRIDGES))}){AFTER}"
 
 
-def vocabulary_pattern(terms: list[str]) -> str:
-    """All terms in one alternation. Counts equal those of the terms one by one as long as no term contains
-    another at word level and no term's end begins another; user lists are checked for that."""
-    split = [t.split(" ") for t in terms]
-    for i, a in enumerate(split):
-        for j, b in enumerate(split):
-            if i != j and (any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1)) or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + 1))):
-                raise ValueError(f"vocabulary terms overlap: {terms[i]!r} and {terms[j]!r}")
-    return rf"(?iu){BEFORE}(?:{'|'.join(re.sub(r'([.\\+*?\[^\]$(){}|])', r'\\\1', t) for t in sorted(terms, key=lambda t: (-len(t), t)))}){AFTER}"
+def _overlap(a: list[str], b: list[str]) -> bool:
+    """Whether a hit of one word list can share words with a hit of the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    inside = any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+    return inside or any(x[-k:] == y[:k] for x, y in ((a, b), (b, a)) for k in range(1, len(a) + 1))
+
+
+def vocabulary_groups(terms: list[str]) -> list[list[str]]:
+    """The terms in as few groups as a greedy colouring of their overlaps finds: within a group no two hits share a word, so one
+    alternation counts all of its terms as if each were alone. Terms that overlap, nested ones and repeated ones fall to different groups."""
+    words = {t: re.findall(r"\w+", t.casefold()) or [t] for t in terms}
+    groups: list[list[str]] = []
+    held: list[dict[str, list[str]]] = []  # of each group, the terms by word
+    for t in sorted(terms, key=lambda t: (-len(t), t)):
+        for group, by_word in zip(groups, held):
+            if not any(_overlap(words[t], words[o]) for o in {o for w in words[t] for o in by_word.get(w, ())}):
+                break
+        else:
+            groups.append(group := [])
+            held.append(by_word := {})
+        group.append(t)
+        for w in words[t]:
+            by_word.setdefault(w, []).append(t)
+    return groups
+
+
+def _alternation(terms: list[str]) -> str:
+    return rf"(?iu){BEFORE}(?:{'|'.join(re.sub(r'([.\\+*?\[^\]$(){}|])', r'\\\1', t) for t in terms)}){AFTER}"
+
+
+def vocabulary_patterns(terms: list[str]) -> list[str]:
+    """Patterns that together have each hit of each term once."""
+    return [_alternation(g) for g in vocabulary_groups(terms)]
 
 
-VOCABULARY_PATTERN = vocabulary_pattern(VOCABULARY)
+VOCABULARY_PATTERNS = vocabulary_patterns(VOCABULARY)
 
 
 def pinned(x: Column) -> Column:
@@ -84,7 +115,10 @@ def tokens(text: Column) -> Column:
 
 
 def _marked(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, BOUNDARY, "$0" + MARK), MARK)
+    text = F.translate(text, VETO, "")
+    for pattern in VETOES:
+        text = F.regexp_replace(text, pattern, "$0" + VETO)
+    return F.split(F.translate(F.regexp_replace(text, BOUNDARY, "$0" + MARK), VETO, ""), MARK)
 
 
 def strip(text: Column) -> Column:
@@ -108,9 +142,10 @@ def smart_quotes(text: Column) -> Column:
     return count(text, f"[{SMART_QUOTES}]")
 
 
-def vocabulary_hits(text: Column, pattern: str = VOCABULARY_PATTERN) -> Column:
-    """Every hit as the term that it is."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda t: F.translate(F.lower(t), "ſ", "s"))
+def vocabulary_hits(text: Column, patterns: list[str] = VOCABULARY_PATTERNS) -> Column:
+    """Every hit as the term that it is, those of a pattern in the order of the text."""
+    hits = [F.transform(F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(0)), lambda t: F.translate(F.lower(t), "ſ", "s")) for p in patterns]
+    return hits[0] if len(hits) == 1 else F.concat(*hits)
 
 
 def mattr(tokens_col: Column, window: int = MATTR_WINDOW) -> Column:
@@ -135,6 +170,29 @@ def shown(x: Column, pattern: str) -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, ties to even, as Python does it; Spark's own rounds the decimal
-    text. The one known difference are values of which half a unit of the last digit is all, such as 0.0005."""
-    return shown(x, "0." + "0" * digits).cast("double")
+    """Rounding of the exact binary value, ties to even, as Python does it; Spark's own rounds the decimal text.
+
+    x times 10**digits is rounded once, to y; what that leaves out is found without error from the halves of both factors
+    (Dekker's product), and says on which side of a half the exact product lies where y is one. Beyond 2**52 units of the last
+    digit, where y has no halves, the number's own text is rounded."""
+    m = float(10**digits)
+    high, low = _halves(m)
+
+    def exact(v: Column) -> Column:
+        y = v * m
+        split = v * float((1 << 27) + 1)
+        v_high = split - (split - v)
+        v_low = v - v_high
+        error = ((v_high * high - y) + v_high * low + v_low * high) + v_low * low
+        whole = F.floor(y).cast("double")
+        up = (y - whole > 0.5) | ((y - whole == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+        return F.when(F.abs(y) < float(1 << 52), (whole + F.when(up, 1.0).otherwise(0.0)) / m).otherwise(shown(v, "0." + "0" * digits).cast("double"))
+
+    return F.get(F.transform(F.array(x), exact), F.lit(0))  # x is mentioned once, however often the formula needs it
+
+
+def _halves(x: float) -> tuple[float, float]:
+    """Two numbers of at most 26 digits each whose sum is x."""
+    split = x * float((1 << 27) + 1)
+    high = split - (split - x)
+    return high, x - high

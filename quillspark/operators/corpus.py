@@ -113,8 +113,26 @@ def counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def job_grid(spark, genres: list[str], topics: list[str], n: int, seed: int = 13) -> DataFrame:
-    """(job, genre, topic): genres in turn, topics drawn by the seed."""
-    job = F.col("job")
+def jobs_for(df: DataFrame, number: str, genres: list[str], topics: list[str], seed: int = 13) -> DataFrame:
+    """`df` with a genre and a topic for each row: genres in turn by the row's number, topics drawn by the seed."""
+    job = F.col(number)
     topic = (F.conv(F.substring(shuffled(job, seed), 1, 8), 16, 10).cast("long") % len(topics)).cast("int")
-    return spark.range(n).select(F.col("id").alias("job")).select(job, F.element_at(F.array(*map(F.lit, genres)), (job % len(genres)).cast("int") + 1).alias("genre"), F.element_at(F.array(*map(F.lit, topics)), topic + 1).alias("topic"))
+    turn = F.pmod(job, F.lit(len(genres))).cast("int")
+    return df.withColumns({"genre": F.element_at(F.array(*map(F.lit, genres)), turn + 1), "topic": F.element_at(F.array(*map(F.lit, topics)), topic + 1)})
+
+
+def job_grid(spark, genres: list[str], topics: list[str], n: int, seed: int = 13) -> DataFrame:
+    """(job, genre, topic) for n jobs."""
+    return jobs_for(spark.range(n).select(F.col("id").alias("job")), "job", genres, topics, seed)
+
+
+def answers(talk: DataFrame, group: str, turn: str, role: str, text: str, min_words: int = 50, most: int = 3) -> DataFrame:
+    """Conversations as questions with arrays of answers, which is what `flatten_qa` takes: (group, question, human_answers, chatgpt_answers).
+
+    The question is the first user turn; answers are the texts of enough words, in order, the first `most` of each side: more than a
+    flattening will take aren't gathered, so the arrays are bounded however long a conversation is."""
+    rows = talk.select(F.col(group), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.col(text).alias("_text")).where("_role IN ('user', 'assistant')")
+    questions = rows.where("_role = 'user'").groupBy(group).agg(F.min_by("_text", "_turn").alias("question"))
+    good = capped(rows.where(word_count(clean(F.col("_text"))) >= min_words), [group, "_role"], F.col("_turn"), "_text", most)
+    side = lambda who: F.transform(F.array_sort(F.collect_list(F.when(F.col("_role") == who, F.struct("_turn", "_text")))), lambda x: x["_text"])
+    return questions.join(good.groupBy(group).agg(side("user").alias("human_answers"), side("assistant").alias("chatgpt_answers")), group, "left")

@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..sources.storage import settled, small
+from ..sources.storage import file_system, fresh_path, remove, settled, small
 
 LL_SCHEMA = ("ll_perplexity", "ll_mean_logprob", "ll_surprisal_stdev", "ll_binoculars")
 
@@ -159,14 +159,54 @@ def resume(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
-def score_pending(df: DataFrame, scorer: Scorer, cache: str, key: str = "id", text_col: str = "text") -> DataFrame:
-    """Score what the Parquet cache lacks, append it, and give the whole cache: can be stopped and run again."""
+# ------------------------------------------------------------------ cache
+
+def committed(spark: SparkSession, cache: str) -> list[str]:
+    """The waves of a cache that were written to their end, in order. Spark's marker is what says so: it is the last file of a write."""
+    fs, pattern = file_system(spark, f"{cache.rstrip('/')}/run=*/wave=*/_SUCCESS")
+    return sorted(x.getPath().getParent().toString() for x in fs.globStatus(pattern) or [])
+
+
+def read_cache(spark: SparkSession, cache: str, schema: str | T.StructType) -> DataFrame:
+    """The rows of a cache's committed waves; none if there is no cache yet."""
+    found = committed(spark, cache)
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def score_pending(df: DataFrame, scorer: Scorer, cache: str, key: str = "id", text_col: str = "text", wave_rows: int = 100_000) -> DataFrame:
+    """Score what the cache lacks in waves of about `wave_rows` rows, each of which is kept as soon as it is written, and give the whole cache.
+
+    The run may stop at any point: what a rerun finds committed it doesn't score again, and a wave that was being written
+    counts for nothing. Pending rows are first written dealt to waves by a hash of their key, so each wave reads its own
+    rows only. A wave's folder is named by run and wave, and a run takes the first number above all that are there, committed or not; so no
+    two writes meet in a folder. Rows with the same key are scored once; a null key is one key. One run at a time may write to a cache."""
     spark = df.sparkSession
+    schema = T.StructType([df.schema[key], *(T.StructField(c, T.DoubleType()) for c in LL_SCHEMA)])
+    done = read_cache(spark, cache, schema).select(F.col(f"`{key}`").alias("_done"))
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    pending = rows.join(done, F.col("_key").eqNullSafe(F.col("_done")), "left_anti")
+    n = pending.select("_key").distinct().count()
+    if not n:
+        return read_cache(spark, cache, schema)
+    waves = -(-n // wave_rows)
+    staged_at, run = fresh_path(spark, "pending"), _next_run(spark, cache)
+    once = pending.groupBy("_key").agg(F.min("_text").alias("_text")).withColumn("_wave", F.pmod(F.xxhash64("_key"), F.lit(waves)).cast("int"))
+    once.repartition("_wave", F.pmod(F.hash("_key"), F.lit(_parts(spark, waves)))).write.partitionBy("_wave").parquet(staged_at)
     try:
-        pending = resume(df, spark.read.parquet(cache), key)
-    except Exception as e:  # only a cache that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        pending = df
-    scorer.score(pending, text_col).select(key, *LL_SCHEMA).write.mode("append").parquet(cache)
-    return spark.read.parquet(cache)
+        staged = spark.read.schema(once.schema).parquet(staged_at)
+        for wave in range(waves):
+            some = staged.where(F.col("_wave") == wave).select(F.col("_key").alias(key), F.col("_text").alias(text_col))
+            scorer.score(some, text_col).select(key, *LL_SCHEMA).write.parquet(f"{cache.rstrip('/')}/run={run:06d}/wave={wave:06d}")
+    finally:
+        remove(spark, staged_at)
+    return read_cache(spark, cache, schema)
+
+
+def _parts(spark: SparkSession, waves: int) -> int:
+    """How many files a wave is staged in: as many as there are tasks for it."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // waves)
+
+
+def _next_run(spark: SparkSession, cache: str) -> int:
+    fs, pattern = file_system(spark, f"{cache.rstrip('/')}/run=*")
+    return 1 + max((int(x.getPath().getName().removeprefix("run=")) for x in fs.globStatus(pattern) or []), default=0)

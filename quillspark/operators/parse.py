@@ -15,23 +15,30 @@ COLUMNS = (
 )
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of `columns` has, whatever the case."""
+    return "_" * (1 + max(map(len, columns), default=0)) + name
+
+
 def parse(df: DataFrame, text_col: str = "text", vocabulary: list[str] | None = None) -> DataFrame:
-    """`df` with the parse columns; all native and within a row. A null text parses as the empty one."""
-    pattern = tx.vocabulary_pattern(vocabulary) if vocabulary else tx.VOCABULARY_PATTERN
-    df = df.drop(*COLUMNS).withColumn("_text", tx.plain(F.col(f"`{text_col}`")))
-    t = F.col("_text")
+    """`df` with the parse columns; all native and within a row. A null text parses as the empty one. Columns named
+    like a parse column are replaced; all others pass untouched."""
+    patterns = tx.vocabulary_patterns(vocabulary) if vocabulary else tx.VOCABULARY_PATTERNS
+    own, squares_name = (unused(df.columns, c) for c in ("text", "squares"))
+    df = df.withColumn(own, tx.plain(F.col(f"`{text_col}`"))).drop(*(c for c in COLUMNS if c != text_col))
+    t = F.col(own)
     df = df.withColumns({
         "word_count": tx.word_count(t), "tokens": tx.tokens(t), "sent_lengths": tx.sentence_lengths(t), "n_em": tx.em_dashes(t), "n_smart": tx.smart_quotes(t),
-        "vocab": tx.vocabulary_hits(t, pattern), "n_not_just": tx.count(t, tx.NOT_JUST), "n_triads": tx.count(t, tx.TRIAD), "n_hedges": tx.count(t, tx.HEDGE), "n_bridges": tx.count(t, tx.BRIDGE), "n_commas": tx.count(t, ","),
+        "vocab": tx.vocabulary_hits(t, patterns), "n_not_just": tx.count(t, tx.NOT_JUST), "n_triads": tx.count(t, tx.TRIAD), "n_hedges": tx.count(t, tx.HEDGE), "n_bridges": tx.count(t, tx.BRIDGE), "n_commas": tx.count(t, ","),
     })
     n = F.size("sent_lengths")
     total = F.aggregate("sent_lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     squares = F.aggregate("sent_lengths", F.lit(0).cast("long"), lambda a, x: a + x * x.cast("long"))
-    df = df.withColumns({"per_1k": tx.per_1k(F.col("word_count")), "sentence_count": n, "sum_length": total, "_squares": squares, "ttr": tx.mattr(F.col("tokens"))})
+    df = df.withColumns({"per_1k": tx.per_1k(F.col("word_count")), "sentence_count": n, "sum_length": total, squares_name: squares, "ttr": tx.mattr(F.col("tokens"))})
     # integers under the root: the order of the sentences can't change the result
-    spread = F.sqrt((F.col("sentence_count") * F.col("_squares") - F.col("sum_length") * F.col("sum_length")).cast("double"))
+    spread = F.sqrt((F.col("sentence_count") * F.col(squares_name) - F.col("sum_length") * F.col("sum_length")).cast("double"))
     df = df.withColumn("cv", F.when((F.col("sentence_count") >= 2) & (F.col("sum_length") > 0), spread / F.col("sum_length"))).withColumn("low_confidence", F.col("sentence_count") < 4)
-    return df.drop("_text", "_squares")
+    return df.drop(own, squares_name)
 
 
 def vocab_hits(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -7,6 +7,9 @@ without groups over ranges of the score, so that no single task holds all of it.
 
 from __future__ import annotations
 
+import operator
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pinned
+from ..sources.executors import ship
 from ..sources.storage import settled
+from . import resample
 
 
 def histogram(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
@@ -82,36 +87,30 @@ def feature_auc(long: DataFrame, label: str, directions: DataFrame, least: int =
 def bootstrap_auc_ci(df: DataFrame, score: str, label: str, reps: int = 2000, seed: int = 13, cells: int = 200_000) -> DataFrame:
     """(lo, hi, reps_used): the 2.5 and 97.5 % points of AUC over resamples of all rows.
 
-    A resample of rows is a multinomial draw over the histogram's cells. It is drawn in two steps, which is the same
-    distribution: how many rows fall into each range of scores, then within a range, in the task that holds its
-    cells (about `cells`). Ranges send three sums a resample, so the number of distinct scores has no bound."""
+    A resample weighs each row by a Poisson number of mean 1, which is what drawing with replacement comes to where rows are many; the numbers are
+    drawn a cell of the histogram at a time, by a function of cell and resample (see resample.py), so any partitioning and any engine
+    draws the same. Each range of scores (about `cells` cells) draws in its task and sends three sums a resample, so the number of
+    distinct scores has no bound. Resamples with one class don't count."""
     spark = df.sparkSession
+    ship(spark)
     h = settled(histogram(df, score, label))
     cut, *_ = _cut(h, [], max(2, -(-h.count() // cells)))
-    cut = settled(cut)
-    totals = sorted((r._bin, r.n) for r in cut.groupBy("_bin").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect())  # a row a range
-    n = sum(x for _, x in totals)
-    if n == 0:
-        return spark.createDataFrame([(None, None, 0)], "lo double, hi double, reps_used long")
-    drawn = np.random.default_rng(seed).multinomial(n, np.array([x for _, x in totals]) / n, reps)
-    held = spark.sparkContext.broadcast({b: drawn[:, k].copy() for k, (b, _) in enumerate(totals)})
 
     def draw(key, x: pd.DataFrame) -> pd.DataFrame:
-        bin_ = int(key[0])
-        x = x.sort_values("score")
-        share = np.concatenate((x["pos"], x["neg"])).astype(np.float64)
-        share /= share.sum()
-        rows = []
-        for rep, size in enumerate(held.value[bin_]):
-            both = np.random.default_rng([seed, bin_, rep]).multinomial(size, share)
-            p, q = both[: len(x)], both[len(x) :]
-            rows.append((rep, bin_, int(p.sum()), int(q.sum()), float((p * (np.cumsum(q) - q + q / 2)).sum())))
+        x, rows = x.sort_values("score"), []
+        sides = [(resample.code(x["score"].to_numpy(), side), x[c].to_numpy()) for side, c in ((1, "pos"), (0, "neg"))]
+        for rep in range(reps):
+            p, q = (resample.weights(codes, counts, rep, seed) for codes, counts in sides)
+            below = 2 * (np.cumsum(q) - q) + q
+            wins = int(p @ below) if int(p.sum()) * int(2 * q.sum()) < 1 << 63 else sum(map(operator.mul, p.tolist(), below.tolist()))
+            rows.append((rep, int(key[0]), int(p.sum()), int(q.sum()), Decimal(wins)))  # twice the wins, in whole numbers
         return pd.DataFrame(rows, columns=["rep", "bin", "p", "q", "wins"])
 
-    parts = cut.groupBy("_bin").applyInPandas(draw, "rep long, bin int, p long, q long, wins double")
+    parts = cut.groupBy("_bin").applyInPandas(draw, "rep long, bin int, p long, q long, wins decimal(38,0)")
     lower = F.coalesce(F.sum("q").over(Window.partitionBy("rep").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = parts.withColumn("wins", F.col("wins") + F.col("p") * lower).groupBy("rep").agg(F.sum("wins").alias("w"), (F.sum("p").cast("double") * F.sum("q")).alias("all"))
-    drawn = sums.where(F.col("all") > 0).select((F.col("w") / F.col("all")).alias("auc"))
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    sums = parts.withColumn("_lower", lower).groupBy("rep").agg(F.sum(F.col("wins") + 2 * exact("p") * exact("_lower")).cast("double").alias("w"), F.sum("p").cast("double").alias("n_p"), F.sum("q").cast("double").alias("n_q"))
+    drawn = sums.where("n_p > 0 AND n_q > 0").select((F.col("w") / (2.0 * F.col("n_p") * F.col("n_q"))).alias("auc"))
     ranked = drawn.withColumn("r", F.row_number().over(Window.orderBy("auc")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))  # reps rows
     at = lambda q: F.max(F.when(F.col("r") == F.floor(F.col("m") * q), F.round("auc", 4)))
     return ranked.agg(at(0.025).alias("lo"), at(0.975).alias("hi"), F.count(F.lit(1)).alias("reps_used"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..functions.lexicons import ABBREVIATIONS, BRIDGES, FUNCTION_WORDS, HEDGES, LIMITERS, VOCABULARY
+from ..operators import resample
 from ..operators.combine import COMBINER_DIRECTION, MODEL
 from ..operators.features import LOW, REGISTRY
-from .queries import GENRES, TOPICS
+from .queries import GENRES, REPS, TOPICS
 from .seasoned import SEASONED
 
 WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
@@ -156,9 +157,8 @@ RATIOS = """coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0)
 
 
 def half_even(x: str, digits: int) -> str:
-    """Python's rounding: exact ties go to the even digit."""
-    m = 10**digits
-    return f"CASE WHEN {x} * {m} - floor({x} * {m}) = 0.5 THEN floor({x} * {m}) + CAST(floor({x} * {m}) AS BIGINT) % 2 ELSE floor({x} * {m} + 0.5) END / CAST({m} AS DOUBLE)"
+    """Python's rounding: of the exact value, ties to the even digit. Printing does the same."""
+    return f"CAST(format('{{:.{digits}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
 def rounded(*names: str, digits: int = 6) -> str:
@@ -208,7 +208,9 @@ def build() -> dict[str, str]:
         "q_misclassified": f"WITH {LABELLED}, k AS (SELECT CASE WHEN y = 0 AND s >= 2500000 THEN 'fp' WHEN y = 1 AND s < 2500000 THEN 'fn' END AS kind, doc_id, CAST(s AS DOUBLE) AS score, substring(text, 1, 280) AS snippet FROM y), o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'fp' THEN -score ELSE score END, doc_id) AS rank FROM k WHERE kind IS NOT NULL) SELECT kind, CAST(rank AS INTEGER) AS rank, doc_id, score, snippet FROM o WHERE rank <= 15",
         "q_impute": f"WITH {seas}, m AS (SELECT median(cv) AS m FROM f) SELECT doc_id, round(coalesce(cv, m), 6) AS sentence_cv FROM f, m",
         "q_counts": "SELECT 'lang' AS key, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source",
-        "q_job_grid": "SELECT i AS job, [" + ", ".join(map(q, GENRES)) + "][CAST(i % 3 AS INTEGER) + 1] AS genre, [" + ", ".join(map(q, TOPICS)) + f"][CAST(CAST(concat('0x', substring(md5(concat(i, ':13')), 1, 8)) AS BIGINT) % {len(TOPICS)} AS INTEGER) + 1] AS topic FROM (SELECT unnest(range(50)) AS i)",
+        "q_job_grid": "SELECT doc_id, [" + ", ".join(map(q, GENRES)) + "][CAST(doc_id % 3 AS INTEGER) + 1] AS genre, [" + ", ".join(map(q, TOPICS)) + f"][CAST(CAST(concat('0x', substring(md5(concat(doc_id, ':13')), 1, 8)) AS BIGINT) % {len(TOPICS)} AS INTEGER) + 1] AS topic FROM documents",
+        "q_csv_scan": "SELECT doc_id, lang, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
+        "q_union": "SELECT CAST(doc_id AS VARCHAR) AS id, source, lang AS label, NULL AS model FROM documents UNION ALL SELECT concat_ws('-', conv_id, turn), NULL, NULL, role FROM conversations",
         "q_generated_filter": f"SELECT lang, count(*) AS n FROM documents WHERE len(regexp_extract_all(text, '[^{WS}]+')) >= 30 GROUP BY lang",
         "q_clean": f"SELECT conv_id, turn, md5(trim(regexp_replace(text, '[{WS}]+', ' ', 'g'))) AS clean_md5 FROM conversations",
     }
@@ -218,37 +220,92 @@ def build() -> dict[str, str]:
     # leaning by the value's side, and only where it moves the logit
     n_ai = " + ".join(f"CASE WHEN CAST({all_z[n]} AS DOUBLE) {'< -0.4' if COMBINER_DIRECTION[n] == LOW else '> 0.4'} AND abs(CAST({c!r} AS DOUBLE) * CAST({all_z[n]} AS DOUBLE)) > 0.05 THEN 1 ELSE 0 END" for n, c in zip(MODEL["features"], MODEL["coef"]))
     out["q_augment"] = f"WITH {SCORED},{likelihood}, j AS (SELECT z.*, ll_mean_logprob, ll_surprisal_stdev, ll_binoculars FROM z LEFT JOIN ll ON ll.doc_id = z.doc_id), l AS (SELECT doc_id, wc, {full} AS x, {n_ai} AS n_ai FROM j), s AS (SELECT doc_id, wc, n_ai, {SIGMOID} AS p FROM l) SELECT doc_id, CAST(n_ai AS INTEGER) AS n_ai, {half_even('p', 4)} AS probability, {P_VERDICT} AS verdict, wc >= 20 AND p >= 0.49995 AS flagged, CAST(17 AS INTEGER) AS n_signals FROM s"
+    out["q_score_waves"] = out["q_likelihood"]
+    out["q_bootstrap_ci"] = _bootstrap()
+    out["q_lr_model"] = _learned() + " " + _LR_MODEL
+    out["q_train_lr"] = _learned() + f""",
+s_ AS (SELECT y, {SIGMOID} AS p, h FROM (SELECT y, h, list_dot_product(z, b) AS x FROM zv, b{STEPS} WHERE doc_id % 10 >= 7)),
+{auc_sql("SELECT 'combiner' AS which, p AS s, y FROM s_ UNION ALL SELECT 'heuristic', h, y FROM s_", "which")}
+SELECT which, n_pos, n_neg, round(auc, 6) AS auc FROM auc"""
     out["q_qa_flatten"] = _QA
     out["q_flat_cells"] = _FLAT
     return out
 
 
+def _bootstrap() -> str:
+    """The same draws as resample.py's, one row a cell, digit and replicate."""
+    digits = [(d, *resample.ladder(d)) for d in range(12)]
+    ladders = ", ".join(f"({d}, {below}, {steps.tolist()})" for d, below, steps in digits)
+    p, seed = resample.PRIME, 13
+    return f"""WITH {LABELLED},
+cell AS (SELECT s, y AS side, count(*) AS n FROM y GROUP BY s, y),
+ladder(d, below, steps) AS (VALUES {ladders}),
+dg AS (SELECT s, side, d, below, steps, ((s % {p}) * {resample.OF_WHOLE} + side * {resample.OF_SIDE}) % {p} AS code FROM cell JOIN ladder ON (n >> d) & 1 = 1),
+{resample.fifth_sql('f1', 'dg', f'(code + d * {resample.OF_DIGIT}) % {p}', 'c')},
+rp AS (SELECT f1.*, rep, (rep * {resample.OF_REPLICATE} + {seed * resample.OF_SEED + 1}) % {p} AS r FROM f1, (SELECT unnest(range({REPS})) AS rep)),
+{resample.fifth_sql('f2', 'rp', f'(c + r) % {p}', 'x')},
+{resample.fifth_sql('f3', 'f2', f'(x + r * {resample.AGAIN} + 1) % {p}', 'u')},
+wt AS (SELECT rep, s, CAST(sum(CASE WHEN side = 1 THEN w ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN side = 0 THEN w ELSE 0 END) AS BIGINT) AS q
+       FROM (SELECT rep, s, side, below + len(list_filter(steps, lambda t: t <= u)) AS w FROM f3) GROUP BY rep, s),
+cm AS (SELECT rep, p, q, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM wt),
+ac AS (SELECT CAST(sum(p * (2 * lower + q)) AS DOUBLE) / nullif(CAST(2 AS DOUBLE) * sum(p) * sum(q), 0) AS auc FROM cm GROUP BY rep),
+o AS (SELECT auc, row_number() OVER (ORDER BY auc) - 1 AS i, count(*) OVER () AS m FROM ac WHERE auc IS NOT NULL)
+SELECT max(round(auc, 4)) FILTER (WHERE i = floor(m * 0.025)) AS lo, max(round(auc, 4)) FILTER (WHERE i = floor(m * 0.975)) AS hi, count(*) AS reps_used FROM o"""
+
+
+STEPS = 9  # of Newton's method
+
+
+def _learned() -> str:
+    """CTEs up to zv (doc_id, y, h, z with a leading 1) and b0, b1, ..., the coefficients after each step. A step solves its equations by elimination."""
+    k = len(NAMES) + 1
+    out = f"""WITH RECURSIVE {LABELLED},
+xv AS (SELECT doc_id, y, CAST(format('{{:.1f}}', score_raw) AS DOUBLE) AS h, [{', '.join(f'CAST({n} AS DOUBLE)' for n in NAMES)}] AS x FROM y),
+md AS (SELECT list(coalesce(m, 0) ORDER BY i) AS m FROM (SELECT i, median(x[i]) AS m FROM xv, (SELECT unnest(range(1, {k})) AS i) WHERE doc_id % 10 < 7 GROUP BY i)),
+im AS (SELECT doc_id, y, h, list_transform(x, lambda v, i: coalesce(v, m[i])) AS x FROM xv, md),
+ms AS (SELECT list(a ORDER BY i) AS a, list(CASE WHEN d = 0 THEN 1 ELSE d END ORDER BY i) AS d
+       FROM (SELECT i, avg(x[i]) AS a, stddev_pop(x[i]) AS d FROM im, (SELECT unnest(range(1, {k})) AS i) WHERE doc_id % 10 < 7 GROUP BY i)),
+zv AS MATERIALIZED (SELECT doc_id, y, h, list_concat([CAST(1 AS DOUBLE)], list_transform(x, lambda v, i: greatest(-6, least(6, (v - a[i]) / d[i])))) AS z FROM im, ms),
+b0 AS (SELECT list_transform(range({k}), lambda i: CAST(0 AS DOUBLE)) AS b)"""
+    for n in range(1, STEPS + 1):
+        out += f""",
+p{n} AS (SELECT z, y, b, 1 / (1 + exp(-list_dot_product(z, b))) AS p FROM zv, b{n - 1} WHERE doc_id % 10 < 7),
+h{n} AS (SELECT i, j, CASE WHEN j > {k} THEN sum(z[i] * (p - y)) + CASE WHEN i > 1 THEN any_value(b[i]) ELSE 0 END
+                           ELSE sum(z[i] * z[j] * p * (1 - p)) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END END AS v
+         FROM p{n}, (SELECT unnest(range(1, {k + 1})) AS i), (SELECT unnest(range(1, {k + 2})) AS j) GROUP BY i, j),
+m{n} AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM h{n} GROUP BY i)),
+e{n} AS (SELECT 1 AS k, m FROM m{n} UNION ALL
+         SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)
+         FROM e{n} WHERE k <= {k}),
+b{n} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v - m[i][{k + 1}]) AS b FROM b{n - 1}, e{n} WHERE k = {k + 1})"""
+    return out
+
+
+_LR_MODEL = "SELECT f.feature, round(a[i], 6) AS mean, round(d[i], 6) AS std, round(b[i + 1], 6) AS coef, round(m[i], 6) AS impute FROM (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate([*NAMES, "intercept"], 1)) + f") AS f(feature, i), ms, md, b{STEPS} WHERE f.feature <> 'intercept' UNION ALL SELECT 'intercept', NULL, NULL, round(b[1], 6), NULL FROM b{STEPS}"
+
+
+
+
+def _clean(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[{WS}]+', ' ', 'g'))"
+
+
 _QA = f"""
-WITH t(rec_no, domain, question, h, a) AS (VALUES
- (1, 'd1', 'Why   is it so?', [repeat('word ', 60), repeat('more ', 10)], [repeat('machine ', 55), repeat('second ', 70)]),
- (2, 'd1', 'Only humans', [repeat('word ', 60)], NULL),
- (3, 'd1', 'All short', [repeat('word ', 20)], [repeat('machine ', 20)]),
- (4, 'd2', repeat('long question ', 40), [concat('  ', repeat('spaced   out ', 30))], [repeat('machine ', 50)]),
- (5, 'd2', NULL, [repeat('w ', 50), repeat('v ', 51)], [repeat('m ', 52)]),
- (6, 'd2', 'third', [repeat('t ', 50)], [repeat('u ', 50)])),
-e AS (SELECT rec_no, domain, question, 'human' AS label, i, h[i] AS ans FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM t WHERE h IS NOT NULL)
-  UNION ALL SELECT rec_no, domain, question, 'ai', i, a[i] FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM t WHERE a IS NOT NULL)),
-c AS (SELECT rec_no, domain, label, i, substring(trim(regexp_replace(coalesce(question, ''), '[{WS}]+', ' ', 'g')), 1, 300) AS question, trim(regexp_replace(ans, '[{WS}]+', ' ', 'g')) AS text FROM e),
-g AS (SELECT *, row_number() OVER (PARTITION BY rec_no, label ORDER BY i) AS j FROM c WHERE len(regexp_extract_all(text, '[^{WS}]+')) >= 50),
-k AS (SELECT rec_no, domain FROM g GROUP BY rec_no, domain HAVING count(DISTINCT label) = 2),
-l AS (SELECT rec_no FROM (SELECT rec_no, row_number() OVER (PARTITION BY domain ORDER BY md5(concat(rec_no, ':13')), rec_no) AS r FROM k) WHERE r <= 2)
-SELECT concat('hc3-', domain, '-', rec_no, '-', label, '-', j - 1) AS id, label, domain, CASE WHEN label = 'ai' THEN 'chatgpt-2022' ELSE 'human' END AS model, question, md5(text) AS text_md5
-FROM g WHERE rec_no IN (SELECT rec_no FROM l) AND j <= CASE WHEN label = 'ai' THEN 2 ELSE 1 END
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'human' ELSE 'ai' END AS label, {_clean('text')} AS text FROM conversations WHERE role <> 'system'),
+u AS (SELECT conv_id, substring(arg_min(text, turn), 1, 300) AS question FROM t WHERE label = 'human' GROUP BY conv_id),
+g AS (SELECT *, concat('d', conv_id % 5) AS domain, row_number() OVER (PARTITION BY conv_id, label ORDER BY turn) AS j FROM t WHERE len(regexp_extract_all(text, '[^{WS}]+')) >= 20),
+k AS (SELECT conv_id, domain FROM g GROUP BY conv_id, domain HAVING count(DISTINCT label) = 2),
+l AS (SELECT conv_id FROM (SELECT conv_id, row_number() OVER (PARTITION BY domain ORDER BY md5(concat(conv_id, ':13')), conv_id) AS r FROM k) WHERE r <= 12)
+SELECT concat('hc3-', domain, '-', g.conv_id, '-', label, '-', j - 1) AS id, label, domain, CASE WHEN label = 'ai' THEN 'chatgpt-2022' ELSE 'human' END AS model, question, md5(text) AS text_md5
+FROM g JOIN u ON u.conv_id = g.conv_id WHERE g.conv_id IN (SELECT conv_id FROM l) AND j <= CASE WHEN label = 'ai' THEN 2 ELSE 1 END
 """
 _FLAT = f"""
-WITH t AS (SELECT concat('r', id) AS id, concat('s', id % 11) AS source_id,
-  CASE WHEN id % 5 = 0 THEN 'recipes' WHEN id % 2 = 0 THEN 'news' ELSE 'wiki' END AS domain,
-  CASE WHEN id % 7 = 0 THEN 'gpt2' WHEN id % 4 = 0 THEN 'human' WHEN id % 4 = 1 THEN 'm1' ELSE 'm2' END AS model,
-  CASE WHEN id % 2 = 0 THEN NULL ELSE 'greedy' END AS decoding,
-  concat(trim(repeat('word ', CAST(20 + (id * 37) % 700 AS INTEGER))), ' end') AS text, 21 + (id * 37) % 700 AS wc
-  FROM (SELECT unnest(range(400)) AS id)),
-r AS (SELECT *, md5(concat(id, ':13')) AS h FROM t WHERE domain <> 'recipes' AND model <> 'gpt2' AND wc BETWEEN 50 AND 600),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, model ORDER BY h, id) AS k FROM r WHERE model <> 'human') WHERE k <= 9),
+WITH t AS (SELECT concat('r', doc_id) AS id, source AS source_id,
+  CASE WHEN doc_id % 5 = 0 THEN 'recipes' WHEN doc_id % 2 = 0 THEN 'news' ELSE 'wiki' END AS domain,
+  CASE WHEN doc_id % 7 = 0 THEN 'gpt2' WHEN doc_id % 4 = 0 THEN 'human' WHEN doc_id % 4 = 1 THEN 'm1' ELSE 'm2' END AS model,
+  CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'greedy' END AS decoding, {_clean("coalesce(text, '')")} AS text FROM documents),
+r AS (SELECT *, md5(concat(id, ':13')) AS h FROM t WHERE domain <> 'recipes' AND model <> 'gpt2' AND len(regexp_extract_all(text, '[^{WS}]+')) BETWEEN 50 AND 600),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, model ORDER BY h, id) AS k FROM r WHERE model <> 'human') WHERE k <= 25),
 n AS (SELECT count(*) AS n FROM a), d AS (SELECT count(DISTINCT domain) AS d FROM r WHERE model = 'human'),
 m AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY domain ORDER BY h, id) AS k FROM r WHERE model = 'human') WHERE k <= greatest(1, (SELECT n FROM n) // greatest(1, (SELECT d FROM d)))),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, id) AS x FROM m) WHERE x <= (SELECT n FROM n)),

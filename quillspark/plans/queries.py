@@ -11,26 +11,19 @@ from ..operators.features import FEATURE_NAMES, dimension, features, features_lo
 from ..operators.parse import parse, vocab_hits
 from ..operators.heuristic import score, top_issues
 from ..sources.readers import spread
+from ..sources.split_csv import read_csv
+from ..sources.storage import fresh_path, settled
 from .seasoned import SEASONED
 
-QA = """
-SELECT * FROM VALUES
- (1, 'd1', 'Why   is it so?', array(repeat('word ', 60), repeat('more ', 10)), array(repeat('machine ', 55), repeat('second ', 70))),
- (2, 'd1', 'Only humans', array(repeat('word ', 60)), CAST(NULL AS ARRAY<STRING>)),
- (3, 'd1', 'All short', array(repeat('word ', 20)), array(repeat('machine ', 20))),
- (4, 'd2', repeat('long question ', 40), array(concat('  ', repeat('spaced   out ', 30))), array(repeat('machine ', 50))),
- (5, 'd2', CAST(NULL AS STRING), array(repeat('w ', 50), repeat('v ', 51)), array(repeat('m ', 52))),
- (6, 'd2', 'third', array(repeat('t ', 50)), array(repeat('u ', 50)))
-AS t(rec_no, domain, question, human_answers, chatgpt_answers)
-"""
+#: Documents as rows of a benchmark of generations.
 FLAT = """
-SELECT concat('r', id) AS id, concat('s', id % 11) AS source_id,
-  CASE WHEN id % 5 = 0 THEN 'recipes' WHEN id % 2 = 0 THEN 'news' ELSE 'wiki' END AS domain,
-  CASE WHEN id % 7 = 0 THEN 'gpt2' WHEN id % 4 = 0 THEN 'human' WHEN id % 4 = 1 THEN 'm1' ELSE 'm2' END AS model,
-  CASE WHEN id % 2 = 0 THEN '' ELSE 'greedy' END AS decoding,
-  concat(repeat('word ', CAST(20 + (id * 37) % 700 AS INT)), chr(10), ' end') AS generation
-FROM range(400)
+SELECT concat('r', doc_id) AS id, source AS source_id,
+  CASE WHEN doc_id % 5 = 0 THEN 'recipes' WHEN doc_id % 2 = 0 THEN 'news' ELSE 'wiki' END AS domain,
+  CASE WHEN doc_id % 7 = 0 THEN 'gpt2' WHEN doc_id % 4 = 0 THEN 'human' WHEN doc_id % 4 = 1 THEN 'm1' ELSE 'm2' END AS model,
+  CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'greedy' END AS decoding, text AS generation
+FROM {documents}
 """
+REPS = 400  # resamples of q_bootstrap_ci
 TOPICS, GENRES = ["tides", "bread", "maps", "clocks"], ["essay", "email", "story"]
 
 
@@ -218,15 +211,38 @@ def q_resume_anti(spark, sf):
 
 
 def q_qa_flatten(spark, sf):
-    out = corpus.flatten_qa(spark.sql(QA), "domain", 1, 2, limit=2)
+    talk = corpus.answers(_texts(spark, sf, "conversations"), "conv_id", "turn", "role", "text", 20, 3).withColumn("domain", F.concat(F.lit("d"), F.col("conv_id") % 5))
+    out = corpus.flatten_qa(talk, "domain", 1, 2, min_words=20, limit=12, order="conv_id")
     return out.select("id", "label", "domain", "model", "question", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def q_flat_cells(spark, sf):
-    out = corpus.sample_cells(spark.sql(FLAT), per_cell=9)
+    out = corpus.sample_cells(spark.sql(FLAT, documents=_texts(spark, sf)), per_cell=25)
     return out.select("id", "label", "domain", "model", "decoding", "question", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def q_csv_scan(spark, sf):
+    path = fresh_path(spark, "csv")
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def q_score_waves(spark, sf):
+    pair, docs = _with_likelihood(spark, sf)
+    cache = fresh_path(spark, "cache")
+    likelihood.score_pending(docs.where("doc_id % 2 = 0"), pair, cache, "doc_id", wave_rows=100_000)
+    out = likelihood.score_pending(docs, pair, cache, "doc_id", wave_rows=100_000)
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in likelihood.LL_SCHEMA])
+
+
+def q_union(spark, sf):
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("lang").alias("label"))
+    talk = _table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("model"))
+    return corpus.union_corpora(docs, talk)
+
+
 def q_misclassified(spark, sf):
     rows = labelled(spark, sf).withColumn("s", F.col("s").cast("double"))
     return stats.misclassified(rows, "doc_id", "s", "y", 2_500_000.0, limit=15)
@@ -242,7 +258,7 @@ def q_counts(spark, sf):
 
 
 def q_job_grid(spark, sf):
-    return corpus.job_grid(spark, GENRES, TOPICS, 50)
+    return corpus.jobs_for(_table(spark, sf, "documents").select("doc_id"), "doc_id", GENRES, TOPICS)
 
 
 def q_generated_filter(spark, sf):
@@ -261,13 +277,24 @@ def q_augment(spark, sf):
 
 
 def q_bootstrap_ci(spark, sf):
-    return stats.bootstrap_auc_ci(labelled(spark, sf), "s", "y", reps=400)
+    return stats.bootstrap_auc_ci(labelled(spark, sf), "s", "y", reps=REPS)
+
+
+def _model(spark, sf):
+    rows = settled(labelled(spark, sf).select("doc_id", "y", "score", *FEATURE_NAMES))
+    return rows, train.train(rows.where("doc_id % 10 < 7"), "y", FEATURE_NAMES)
 
 
 def q_train_lr(spark, sf):
-    rows = labelled(spark, sf)
-    model = train.train(rows.where("doc_id % 10 < 7"), "y", FEATURE_NAMES)
-    return train.evaluate_model(rows.where("doc_id % 10 >= 7"), model, "y")
+    rows, model = _model(spark, sf)
+    return train.evaluate_model(rows.where("doc_id % 10 >= 7"), model, "y").select("which", "n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+
+
+def q_lr_model(spark, sf):
+    _, model = _model(spark, sf)
+    each = zip(model["features"], model["mean"], model["std"], model["coef"], (model["impute"][n] for n in model["features"]))
+    rows = [(n, *(float(x) for x in numbers)) for n, *numbers in each] + [("intercept", None, None, model["intercept"], None)]
+    return spark.createDataFrame(rows, "feature string, mean double, std double, coef double, impute double").select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "coef", "impute")])
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import CORPUS_SCHEMA
 from ..operators.heuristic import top_issues_column
+from .split_csv import read_csv
 
 LL_CACHE_SCHEMA = "id string, features struct<ll_perplexity:double,ll_mean_logprob:double,ll_surprisal_stdev:double,ll_binoculars:double>, ll_perplexity double, ll_mean_logprob double, ll_surprisal_stdev double, ll_binoculars double"
 
+FLAT_COLUMNS = ("id", "source_id", "domain", "model", "decoding", "title", "generation")
+
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that are there; each missing one is told on stderr. Any file system that Spark knows."""
@@ -68,10 +71,9 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of generations: a header, quoted fields with line ends, fields of any length."""
-    names = "id string, source_id string, domain string, model string, decoding string, title string, generation string"
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).csv(path)
-    return df.select(*[(F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in (x.strip().split(" ")[0] for x in names.split(","))])
+    """A CSV of generations: a header, quoted fields with line ends, fields of any length, in as many tasks as the file has splits."""
+    df = read_csv(spark, path)
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in FLAT_COLUMNS])
 
 
 def result_json(scored: DataFrame, extra: list[str] = ()) -> Column:

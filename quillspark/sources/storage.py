@@ -1,22 +1,50 @@
-"""Tables that are computed once and read many times."""
+"""Tables that are computed once and read many times, and the shared folder that they lie in."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+_made: list[tuple[SparkSession, str]] = []
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only on a local master."""
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+@atexit.register
+def _remove_made() -> None:
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone at exit
+            return
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the context was given, or spark.checkpoint.dir as the cluster names it; a
+    temporary one only on a local master. Checkpoints in it go when no frame reads them any more."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    # tables are removed once nothing refers to them; a setting of the user's stays
+    conf = context._jsc.sc().conf()
+    if not conf.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+        conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
         if not context.master.startswith("local"):
@@ -24,11 +52,19 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         named = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has, removed when the driver's process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
     """`df` as a checkpoint: whatever reads it, and however often, it is computed once and outlives executors."""
-    _checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
