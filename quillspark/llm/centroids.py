@@ -13,7 +13,7 @@ the centroids and their sums: clusters times components, both parameters.
 Defined results: vectors that are null, hold a null, NaN or infinite component or have another number of components
 than `length` take no part and have no row; components beyond 2**27 on either side count as 2**27 (so that every distance
 fits a long); repeated rows each have a row and weigh in the sums; ties go to the smaller number of a centroid. Seeds are
-the rows with the smallest digests of their ids, a null id after all others, equal digests in the order of the vectors;
+the rows with the smallest digests of their ids, a null id after all others, equal digests in the order of the packed vectors;
 fewer rows than clusters make fewer clusters; an empty table gives no rows. Other columns are of no concern.
 """
 

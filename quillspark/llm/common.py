@@ -25,6 +25,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 # ------------------------------------------------------------- executors
@@ -84,6 +85,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _remove_all() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session may be gone at exit
+            break
     for spark, path in _written:
         try:
             _remove(spark, path)
@@ -120,6 +126,17 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+def written_in_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """`df` as a table in the shared folder, bucketed by a column: what is joined to it by that column comes to it, and it stays where it is.
+    Buckets need a name in the session's catalogue, which is dropped with the table when the driver's process ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "quillspark_" + path.rsplit("/", 2)[1].rsplit("-", 1)[1]
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    _tables.append((spark, table))
+    return spark.table(table)
+
+
 def drop_written(df: DataFrame) -> None:
     release(df.sparkSession, df._quillspark_path)
 

@@ -3,16 +3,18 @@
 A pattern cuts texts into words that never merge with each other, so a word has the same ids wherever it stands, and
 each different word of the corpus needs to be encoded once.
 
-1. Tasks cut their texts into slices of a fixed number of characters. A slice numbers its words as they come first; each of
-   its documents becomes the row of its words' numbers, and each different word a row of the slice. Both are written.
-2. The slices' words meet by word. There, all words of a chunk lie one after the other, and an index says for each
+1. Tasks cut their texts into slices of a fixed number of characters. A slice ranks its words by how often it has them; its
+   documents become rows of ranks, and its different words go to as many rows as there are buckets, each word by its checksum,
+   but for those that are tokens as they are. All is written.
+2. The slices' words meet by bucket. There, all words of a chunk lie one after the other, and an index says for each
    pair of neighbouring tokens that can merge at which positions it stands. Merges are applied in the order of their ranks,
    each at all its positions; only the pairs that a merge's neighbours form are entered anew. Should such a pair have a lower
    rank than the merge at work, it goes first, so that each word sees its merges in its own order of ranks, leftmost first.
-3. The ids go back to the slices that asked for them, and documents are put together from their words' ids.
+3. The ids go back to the slices that asked for them, which lie in a table bucketed by slice and don't move; documents are put together
+   from their words' ids.
 
-A word of a third of all texts is one row a slice. Words need not stand in one chunk: a chunk's limit only means
-that a word may be encoded twice. No document leaves its slice, and a slice's words are bounded by its texts.
+A word of a third of all texts is in one row a slice, as any other. Rows of a bucket need not stand in one chunk: a chunk's limit only
+means that a word may be encoded twice. No document leaves its slice, and a slice's words are bounded by its texts.
 
 Which characters are letters, digits or spaces depends on a version of Unicode. Each character is tried once a worker on
 the library's own classes; texts with one that this pattern engine classes differently are cut as if it were another of its class.
@@ -32,6 +34,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count, islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, give_back, map_groups, ship, tidy, written
+from .common import free_name, give_back, ship, tidy, written_in_buckets
 
-SLICE = 16_000_000  # characters whose words are numbered together
+SLICE = 32_000_000  # characters whose words are numbered together
 CHUNK = 2_000_000  # bytes of different words whose merges are replayed together
 AT_ONCE = 24  # positions from which a merge is applied in numpy
 STRETCH = 1_000_000  # words of a document that are worked on at a time
@@ -223,7 +226,7 @@ def ranks(path: str, pattern: str) -> Ranks:
 # ------------------------------------------------------------------- steps
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, compressed: most words have small numbers, so most planes are all but empty."""
+    """Numbers byte plane by byte plane, compressed: most are small, so most planes are all but empty."""
     raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(numbers).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -234,117 +237,203 @@ def _numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
-def sliced(docs: DataFrame, text: str, kept: list[str], path: str, pattern: str, size: int = SLICE) -> DataFrame:
-    """(slice, number, data, and one struct of the columns `kept`): a row a document, with no number and its words' numbers as
-    data, and a row for each different word of a slice."""
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _whole(squeezed: bytes) -> bytes:
+    return pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), "zstd", asbytes=True)
+
+
+def _cut(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of these sizes begin and end."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return ends - sizes, ends
+
+
+def _coded(ranks: np.ndarray) -> bytes:
+    """Ranks of words, compressed: the low bytes of the 256 commonest words apart from all others."""
+    high, low = ranks >> 8, (ranks & 255).astype(np.uint8)
+    parts = [_planes(high), _squeezed(low[high == 0].tobytes()), _squeezed(low[high > 0].tobytes())]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _ranks(coded: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(coded):
+        size = int.from_bytes(coded[at : at + 8], "little")
+        parts.append(coded[at + 8 : at + 8 + size])
+        at += 8 + size
+    high = _numbers(parts[0])
+    low = np.zeros(len(high), np.uint8)
+    low[high == 0] = np.frombuffer(_whole(parts[1]), np.uint8)
+    low[high > 0] = np.frombuffer(_whole(parts[2]), np.uint8)
+    return high << 8 | low
+
+
+#: What a slice consists of. Documents: some documents' words by rank, and how many each has. Places: the ranks of the words that are in buckets, bucket
+#: after bucket. Tokens: the words that are tokens as they are, with their ranks. From FIRST_BUCKET on: a bucket's words, or their ids.
+DOCUMENTS, PLACES, TOKENS, FIRST_BUCKET = range(4)
+ROW = [T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("sizes", T.BinaryType()), T.StructField("data", T.BinaryType())]
+NAMES = [f.name for f in ROW]
+
+
+def _rows(rows: list[tuple[int, int, bytes | None, bytes]]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+
+
+class _Slice:
+    """The documents of a slice, and the words that they have."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.book: defaultdict[str, int] = defaultdict(count().__next__)
+        self.documents: list[np.ndarray] = []
+        self.kept: list[pa.Array] = []
+
+    def add(self, text: str, words: Iterator[list[str]], kept: pa.Array) -> None:
+        found = [np.array(array("I", map(self.book.__getitem__, part)), np.uint32) for part in words]
+        self.documents.append(np.concatenate(found) if found else np.zeros(0, np.uint32))
+        self.kept.append(kept)
+        self.size += len(text)
+
+    def rows(self, buckets: int, ids: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        kind = self.kept[0].type
+        # words by falling frequency
+        times = np.zeros(len(self.book), np.int64)
+        for d in self.documents:
+            np.add.at(times, d, 1)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        begin = 0
+        while begin < len(self.documents):
+            end, n = begin + 1, len(self.documents[begin])
+            while end < len(self.documents) and n + len(self.documents[end]) <= STRETCH:
+                n += len(self.documents[end])
+                end += 1
+            some = self.documents[begin:end]
+            made = _rows([(self.number, DOCUMENTS, _planes(np.array(list(map(len, some)))), _coded(rank[np.concatenate(some)]))])
+            yield pa.RecordBatch.from_arrays([*made, pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), pa.concat_arrays(self.kept[begin:end]))], names=[*NAMES, "rows"])
+            begin = end
+        words = list(self.book)
+        words = [words[k].encode() for k in order.tolist()]
+        own = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
+        bucket = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
+        bucket[own >= 0] = -1
+        at = np.argsort(bucket, kind="stable")
+        cuts = np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1)
+        out = []
+        for part in cuts:
+            if len(part) and bucket[part[0]] < 0:
+                out.append((self.number, TOKENS, _planes(np.diff(part, prepend=0)), _planes(own[part])))
+            elif len(part):
+                some = [words[k] for k in part.tolist()]
+                out.append((self.number, FIRST_BUCKET + int(bucket[part[0]]), _planes(np.array(list(map(len, some)))), _squeezed(b"".join(some))))
+        places = [part for part in cuts if len(part) and bucket[part[0]] >= 0]
+        out.append((self.number, PLACES, _planes(np.array(list(map(len, places)), np.int64)), _planes(np.concatenate([np.diff(x, prepend=0) for x in places] or [np.zeros(0, np.int64)]))))
+        yield pa.RecordBatch.from_arrays([*_rows(out), pa.nulls(len(out), pa.list_(kind))], names=[*NAMES, "rows"])
+
+
+def sliced(docs: DataFrame, text: str, kept: list[str], path: str, pattern: str, buckets: int, size: int = SLICE) -> DataFrame:
+    """The rows of all slices; those of documents with an array `rows` of structs of the columns `kept`."""
     row = T.StructType([docs.schema[c] for c in kept])
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("number", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("row", row)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, number, taken = ranks(path, pattern), TaskContext.get().partitionId() << 32, 0
-        book: defaultdict[str, int] = defaultdict(count().__next__)
-
-        def rows(data: list[bytes], numbers: pa.Array, kept_rows: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), numbers, pa.array(data, pa.binary()), kept_rows], names=["slice", "number", "data", "row"])
-
-        def words(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            if book:
-                for at in range(0, len(book), 65_536):
-                    some = [w.encode() for w in islice(book, at, at + 65_536)] if at else [w.encode() for w in islice(book, 65_536)]
-                    yield rows(some, pa.array(range(at, at + len(some)), pa.int64()), pa.nulls(len(some), kind))
-
-        kind = None
+        r = ranks(path, pattern)
+        now = _Slice(TaskContext.get().partitionId() << 32)
         for whole in batches:
-            kind = whole.column(0).type
-            data, since = [], 0
             for k in range(whole.num_rows):
                 t = whole.column(1)[k].as_py() or ""
-                if taken and taken + len(t) > size:
-                    if data:
-                        yield rows(data, pa.nulls(len(data), pa.int64()), whole.column(0).slice(since, len(data)))
-                    yield from words(kind)
-                    book = defaultdict(count().__next__)
-                    number, taken, data, since = number + 1, 0, [], k
-                taken += len(t)
-                found = [np.array(array("I", map(book.__getitem__, part)), np.uint32) for part in r.words(t)]
-                data.append(_planes(np.concatenate(found) if found else np.zeros(0, np.uint32)))
-            if data:
-                yield rows(data, pa.nulls(len(data), pa.int64()), whole.column(0).slice(since, len(data)))
-        if kind is not None:
-            yield from words(kind)
+                if now.size and now.size + len(t) > size:
+                    yield from now.rows(buckets, r.ids)
+                    now = _Slice(now.number + 1)
+                now.add(t, r.words(t), whole.column(0).slice(k, 1))
+        if now.documents:
+            yield from now.rows(buckets, r.ids)
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run), T.StructType([*ROW, T.StructField("rows", T.ArrayType(row))]))
 
 
 def word_ids(words: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """(slice, number, data): the packed ids of each row's word."""
+    """The buckets of words with their words' ids instead of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, book, size, held = ranks(path, pattern), {}, 0, []
 
         def emit() -> Iterator[pa.RecordBatch]:
-            ids = [x.tobytes() for x in r.replay(list(book))]
-            for b, of in held:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(pa.array(of, pa.int64()))], names=["slice", "number", "data"])
+            ids = r.replay(list(book))
+            for number, kind, of in held:
+                sizes = np.fromiter((len(ids[k]) for k in of), np.int64, len(of))
+                flat = np.frombuffer(b"".join([ids[k].tobytes() for k in of]), "<u4")
+                yield pa.RecordBatch.from_arrays(_rows([(number, kind, _planes(sizes), _planes(flat))]), names=NAMES)
 
         for b in batches:
-            of = []
-            for w in b.column(2).to_pylist():
-                at = book.get(w)
-                if at is None:
-                    at = book[w] = len(book)
-                    size += len(w)
-                of.append(at)
-            held.append((b, of))
-            if size > chunk:
-                yield from emit()
-                book, size, held = {}, 0, []
+            for number, kind, sizes, data in zip(*[c.to_pylist() for c in b.columns]):
+                starts, ends = _cut(_numbers(sizes))
+                raw, of = _whole(data), []
+                for i, j in zip(starts.tolist(), ends.tolist()):
+                    w = raw[i:j]
+                    at = book.get(w)
+                    if at is None:
+                        at = book[w] = len(book)
+                        size += len(w)
+                    of.append(at)
+                held.append((number, kind, of))
+                if size > chunk:
+                    yield from emit()
+                    book, size, held = {}, 0, []
         if held:
             yield from emit()
 
-    return words.repartition("data").mapInArrow(tidy(run), "slice long, number long, data binary")
+    return words.repartition("kind").mapInArrow(tidy(run), T.StructType(ROW))
 
 
-def assembled(rows: DataFrame, row: T.StructType, path: str, pattern: str, ids: bool) -> DataFrame:
-    """The documents of the slices in `rows` (slice, number, data, row), with their ids and digests."""
-    schema = T.StructType([T.StructField("row", row), *FIELDS, *([T.StructField("ids", IDS)] if ids else [])])
+def assembled(slices: DataFrame, buckets: DataFrame, path: str, pattern: str, ids: bool) -> DataFrame:
+    """The documents of `slices`, with their ids and digests, by the ids in `buckets`."""
+    schema = T.StructType([T.StructField("row", slices.schema["rows"].dataType.elementType), *FIELDS, *([T.StructField("ids", IDS)] if ids else [])])
 
-    def finish(table: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         of = ranks(path, pattern).bytes_of
-        for i, j in zip(offsets, offsets[1:]):
-            part = table.slice(i, j - i)
-            n_docs = part.column("number").null_count
-            packed = part.column("data").slice(n_docs).to_pylist()
-            lengths = np.array([len(x) // 4 for x in packed], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            flat = np.frombuffer(b"".join(packed), "<u4")
-            tokens = list(map(of.__getitem__, flat.tolist()))
-            plain = [b"".join(tokens[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist())]
-            del tokens, packed
-            rows = part.column("row").combine_chunks() if part.num_rows else None
-            for at in range(0, n_docs, 64):
-                made = [_document(x, flat, starts, lengths, plain, ids) for x in part.column("data").slice(at, min(64, n_docs - at)).to_pylist()]
-                columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-                if ids:
-                    ends = np.concatenate(([0], np.cumsum([len(m[3]) for m in made]))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([m[3] for m in made]))))
-                yield pa.RecordBatch.from_arrays([rows.slice(at, len(made)), *columns], names=schema.names)
-            give_back()
-
-    return map_groups(rows, ["slice"], ["number"], finish, schema, min_rows=1)
-
-
-def _document(packed: bytes, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, plain: list[bytes], whole: bool) -> tuple:
-    numbers = _numbers(packed)
+        rest = {k: (_numbers(sizes).astype(np.int64), data) for k, sizes, data in zip(*[left.column(c).to_pylist() for c in ("kind", "sizes", "data")]) if k != DOCUMENTS}
+        came = sorted(zip(*[right.column(c).to_pylist() for c in ("kind", "sizes", "data")]), key=lambda x: x[0])
+        runs, steps = rest[PLACES]
+        own, tokens = rest.get(TOKENS, (np.zeros(0, np.int64), _planes(np.zeros(0))))
+        # the words' ids lie as the buckets came; starts and lengths are by the words' ranks
+        at = np.concatenate([np.cumsum(own), *(np.cumsum(x, dtype=np.int64) for x in np.split(_numbers(steps), np.cumsum(runs)[:-1]))])
+        each = np.concatenate([np.ones(len(own), np.int64), *(_numbers(sizes).astype(np.int64) for _, sizes, _ in came)])
+        flat = np.concatenate([_numbers(tokens), *(_numbers(data) for _, _, data in came)])
+        lengths, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        lengths[at], starts[at] = each, _cut(each)[0]
+        tokens = list(map(of.__getitem__, flat.tolist()))
+        plain = [b"".join(tokens[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist())]
+        del tokens, came, rest
+        out = []
+        for k in np.flatnonzero(left.column("kind").to_numpy() == DOCUMENTS).tolist():
+            kept = left.column("rows").slice(k, 1).combine_chunks().flatten()
+            words = _ranks(left.column("data")[k].as_py())
+            cuts = zip(*(x.tolist() for x in _cut(_numbers(left.column("sizes")[k].as_py()))))
+            made = [_document(words[i:j], flat, starts, lengths, plain, ids) for i, j in cuts]
+            columns = [pa.array([x[c] for x in made], kind) for c, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            if ids:
+                ends = np.concatenate(([0], np.cumsum([len(x[3]) for x in made]))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in made]))))
+            out.append(pa.RecordBatch.from_arrays([kept, *columns], names=schema.names))
+        give_back()
+        return pa.Table.from_batches(out)
+
+    return slices.groupBy("slice").cogroup(buckets.groupBy("slice")).applyInArrow(finish, schema)
+
+
+def _document(words: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, plain: list[bytes], whole: bool) -> tuple:
     n, of_ids, of_text, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-    for at in range(0, len(numbers), STRETCH):
-        some = numbers[at : at + STRETCH]
-        sizes = lengths[some]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(starts[some] - (ends - sizes), sizes) + np.arange(ends[-1])]
+    for at in range(0, len(words), STRETCH):
+        some = words[at : at + STRETCH]
+        begin, ends = _cut(lengths[some])
+        ids = flat[np.repeat(starts[some] - begin, ends - begin) + np.arange(ends[-1])]
         n += len(ids)
-        of_ids.update(ids.tobytes())
+        of_ids.update(ids.astype("<u4").tobytes())
         of_text.update(b"".join(map(plain.__getitem__, some.tolist())))
         if whole:
             kept.append(ids.astype(np.int64))
@@ -354,18 +443,17 @@ def _document(packed: bytes, flat: np.ndarray, starts: np.ndarray, lengths: np.n
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str | None = None, size: int = SLICE, chunk: int = CHUNK) -> DataFrame:
     """`docs` without the text but with n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit numbers) and decoded_sha256 (the decoded bytes),
     and the ids themselves in the column `ids` if it is named."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     new = [f.name for f in FIELDS] + ([ids] if ids else [])
     kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in (text_col, *new)}]
     own = docs if kept else docs.withColumn(free_name(docs.columns, "none"), F.lit(0))
-    kept = kept or own.columns[-1:]
-    rows = written(sliced(own, text_col, kept, path, pattern, size), "slices")
-    found = word_ids(rows.where("number IS NOT NULL").select("slice", "number", "data"), path, pattern, chunk)
-    documents = rows.where("number IS NULL")
-    both = documents.unionByName(found.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)))
-    out = assembled(both, rows.schema["row"].dataType, path, pattern, bool(ids))
-    shown = [F.col("row").getField(c).alias(c) for c in kept if c in docs.columns]
-    return out.select(*shown, *[f.name for f in FIELDS], *([F.col("ids").alias(ids)] if ids else []))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = sliced(own, text_col, kept or own.columns[-1:], path, pattern, 4 * parts, size)
+    rows = written_in_buckets(made, "slices", parts, "slice")
+    found = word_ids(rows.where(F.col("kind") >= FIRST_BUCKET).select(*NAMES), path, pattern, chunk)
+    out = assembled(rows.where(F.col("kind") < FIRST_BUCKET), found, path, pattern, bool(ids))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *[f.name for f in FIELDS], *([F.col("ids").alias(ids)] if ids else []))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
