@@ -18,8 +18,8 @@ locally.
 
 Numbers a source travel as a small joined table and the leaves as one array a source, both functions of the plan. Defined
 results: a null text has size 0 and is never taken; sources of size 0 have target 0; repeated rows are each a document
-of their own and, having equal keys, are taken alike; an empty table gives an empty mix. The driver holds a few numbers a
-source.
+of their own and, having equal keys, are taken alike; very long texts are taken whole or not at all; documents tie by the hash of id and text only; an
+empty table gives an empty mix; other columns pass untouched. The driver holds a few numbers a source.
 """
 
 from __future__ import annotations
@@ -240,9 +240,14 @@ def leaves(plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array(shard, np.int32), np.cumsum(np.array(n, np.int64))) for shard, n in found]
 
 
+RESULTS = ("size", "source_size", "target", "taken", "shards")
+
+
 def mixed(docs: DataFrame, plan: Plan) -> DataFrame:
-    """`docs` with size, source_size, target, taken, and the shard of each time the document is taken."""
-    return dealt(sized(docs, plan.seed), plan)
+    """`docs` with size, source_size, target, taken, and the shard of each time the document is taken. Columns named like these are
+    replaced, all others pass untouched."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
+    return dealt(sized(docs.select(row.alias("_row"), "doc_id", "text", "source"), plan.seed), plan).select("_row.*", *RESULTS)
 
 
 def dealt(df: DataFrame, plan: Plan) -> DataFrame:
@@ -281,7 +286,7 @@ def write_order(docs: DataFrame, plan: Plan) -> DataFrame:
     """The mix itself: the columns of `docs` for each time a document is taken, with its shard and epoch; a partition a shard,
     shuffled within."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = mixed(docs.select(row.alias("_row"), "doc_id", "text", "source"), plan).drop("text")
+    rows = dealt(sized(docs.select(row.alias("_row"), "doc_id", "text", "source"), plan.seed), plan).drop("text")
     rows = rows.select("_row", "_key", F.posexplode("shards").alias("_epoch", "_shard")).withColumn("_order", F.xxhash64("_key", "_epoch", F.lit(plan.seed + 2)))
     rows = rows.repartitionById(plan.shards, F.col("_shard")).sortWithinPartitions("_order")
     extra = [F.col(f"_{c}").alias(c) for c in ("shard", "epoch") if c not in docs.columns]

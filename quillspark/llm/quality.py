@@ -23,6 +23,7 @@ from .common import SPACE_CLASS, words
 
 SYMBOLS = "#*$%&|<>"
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (*BASE_COLUMNS, "n_lines", "base_failed", "rejected_by", "kept")
 
 
 def symbol_count(text: Column) -> Column:
@@ -193,10 +194,11 @@ def estimate(df: DataFrame, rules: tuple[Rule, ...] = (BASE, *RULES), text_col:
 def judge(df: DataFrame, cascade: Cascade | None = None, text_col: str = "text") -> DataFrame:
     """`df` with the base columns, base_failed, kept and the rule that rejected (rejected_by)."""
     cascade = cascade or Cascade((BASE, *RULES))
-    out = measures(df.drop("base_failed", "kept", "rejected_by"), text_col)
-    out = out.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("base_failed", F.expr(BASE.fails)).withColumn("rejected_by", cascade.rejected_by()).drop(TEXT)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in RESULTS])
+    out = measures(df.select(row.alias("_row"), F.col(f"`{text_col}`").alias("text")), "text")
+    out = out.withColumn(TEXT, F.coalesce("text", F.lit("")))
+    out = out.withColumn("base_failed", F.expr(BASE.fails)).withColumn("rejected_by", cascade.rejected_by())
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).select("_row.*", *RESULTS)
 
 
 def keep(df: DataFrame, text_col: str = "text", sample_rows: int = 500) -> DataFrame:

@@ -1,5 +1,6 @@
 import duckdb
 import pandas as pd
+import pytest
 
 from quillspark.llm import lines
 from quillspark.llm.queries_lines import OP6_SQL
@@ -19,13 +20,30 @@ def documents():
     return rows + [(100, None), (101, ""), (102, "Share this page with friends now"), (103, "x" * 30_000), (104, "Share this page with friends now\nShare this page with friends now")]
 
 
-def test_against_sql(spark):
-    data = documents()
+def generalised():
+    """Leaves whose lines differ in a token or two: some documents have several of them, some templates recur on their own."""
+    words = "amber birch cedar delta ember fjord grove heath inlet jetty knoll".split()
+    rows = [(i, f"the quiet road runs past {w} and then down to the sea again") for i, w in enumerate(words)]
+    rows += [(20 + i, "\n".join(f"many variants of one page with {w} in the middle of it" for w in words[i : i + 4])) for i in range(3)]
+    rows += [(30 + i, "\n".join(f"five pages together hold a line about {w} here" for w in words[i : i + 2])) for i in range(6)]
+    rows += [(40 + i, f"short {w} line") for i, w in enumerate(words)] + [(60 + i, f"a frequent line with {words[i // 6]} at its end for all") for i in range(12)]
+    rows += [(80 + i, f"x{i} y{i} the two of them share nothing but digits {w}") for i, w in enumerate(words[:6])]
+    return rows + [(90, "a long passage that two documents share and no others have\nown"), (91, "other\na long passage that two documents share and no others have")]
+
+
+@pytest.mark.parametrize("long_docs", [None, lines.LONG_DOCS])
+@pytest.mark.parametrize("data", [documents(), generalised()], ids=["documents", "generalised"])
+def test_against_sql(spark, data, long_docs):
     df = spark.createDataFrame([(i, t, "n") for i, t in data], "doc_id long, text string, n_lines string")
-    got = lines.deduplicate(df).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    got = lines.deduplicate(df, long_docs=long_docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(data, columns=["doc_id", "text"]))
-    assert sorted(map(tuple, got.collect())) == sorted(con.execute(OP6_SQL).fetchall())
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(con.execute(OP6_SQL.replace("{long_docs}", str(long_docs or lines.MIN_DOCS))).fetchall())
+    if data == generalised() and not long_docs:
+        dropped = {r[0] for r in rows if r[2]}
+        assert set(range(1, 11)) <= dropped and 0 not in dropped  # one generalised template, eleven documents
+        assert not dropped & {20, 21, 22}  # three documents only, however many lines
 
 
 def test_what_goes(spark):

@@ -69,7 +69,7 @@ def test_tree(spark):
     assert (leaves.sum(axis=0) == mixing.quotas(plan)).all()
     assert leaves.sum(axis=1).max() - leaves.sum(axis=1).min() <= int(np.log2(plan.shards)) + 1
     # what the documents take is what the leaves hold
-    got = mixing.mixed(df, plan).collect()
+    got = mixing.dealt(mixing.sized(df, plan.seed), plan).collect()
     held, words = Counter(), Counter()
     for r in got:
         assert r.taken == r["size"] * len(r.shards) and len(r.shards) <= 3
@@ -132,3 +132,15 @@ def test_nothing_that_fits_is_left(spark):
                 if r.source == s and r.taken < 3 * r["size"]:
                     once[r.doc_id, r["size"]] += r["size"]
             assert 0 <= left < min(once.values(), default=1), (seed, s, left)
+
+
+def test_columns_of_the_caller_pass(spark):
+    own = ["_k", "_blocks", "_quota", "_name", "_key", "_place", "_within", "_row", "_starts", "_limits", "_instances"]
+    rows = [(i, f"some words of document {i}", f"s{i % 3}", *range(11), "mine", 7.0) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *own, "Target", "size"])
+    plan = mixing.plan_mix(df)
+    out = mixing.mixed(df, plan)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and set(out.columns) == {"doc_id", "text", "source", *own, *mixing.RESULTS}
+    for r in out.collect():
+        assert [r[c] for c in own] == list(range(11)) and r["size"] == 5 and r.target > 0
+    assert mixing.taken_rows(df, plan).columns == df.columns

@@ -86,3 +86,12 @@ def test_every_rule_rejects_something(spark):
         alone = quality.judge(df, quality.Cascade((rule,)))
         assert alone.where("rejected_by IS NOT NULL").count() > 0, rule.name
         assert alone.where("rejected_by IS NULL").count() > 0, rule.name
+
+
+def test_columns_of_the_caller_pass(spark):
+    own = ["_words", "_lines", "_grams", "_pairs", "_last", "_next", "_at", "_row", "_row_id", "_quality_text"]
+    df = spark.createDataFrame([(1, "a word or two " * 30, *range(10), "x", True)], ["doc_id", "text", *own, "Kept", "n_words"])
+    row = quality.judge(df).first()
+    assert [row[c] for c in own] == list(range(10)) and row.n_words == 120 and row.kept in (True, False) and "Kept" not in row.asDict()
+    assert row.text == "a word or two " * 30
+    assert quality.keep(df).columns == df.columns
