@@ -9,7 +9,7 @@ fixed size, so memory is bounded).
 The pattern's classes of characters depend on a version of Unicode. Each character beyond ASCII is tried once per worker on both
 the pattern and the tokenizers library; texts with one that they class differently are cut by the library's pre-tokenizer.
 
-Defined results: a null text is encoded as the empty one (no ids); very long texts are encoded whole; special
+Defined results: a null text is encoded as the empty one (no ids); very long texts are encoded whole; an empty table gives no rows; special
 tokens that stand literally in a text become their id, as the tokenizers library does by default; repeated
 rows and other columns are of no concern, a column named like a result is replaced.
 """

@@ -17,7 +17,8 @@ star.
 
 Defined results: a null text and one without words has no set, no link, and a class of its own; one of one to four
 words has itself as its only shingle; repeated rows are copies of each other; null ids come last among the members of
-a class, and the class of null ids only is null; ties don't arise. Extra columns pass through `keep_one` only.
+a class, and the class of null ids only is null; ties don't arise; very long texts are sets of all their shingles; an empty table
+gives no rows. Extra columns pass through `keep_one` only.
 """
 
 from __future__ import annotations

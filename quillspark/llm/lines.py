@@ -11,8 +11,8 @@ generalised template, that recurs. Lines of recurring templates are dropped from
 
 Hashes stand for templates in all shuffles; texts of lines move only for leaves with something to generalise.
 Defined results: a null text has no lines and stays null; blank lines are kept and are no template; rows that
-repeat in id and text count as one document and are all kept or changed alike; null ids count as the largest; an
-empty table stays empty; other columns pass through, only `deduplicate` replaces columns named like its counts.
+repeat in id and text count as one document and are all kept or changed alike; null ids count as the largest; very long texts and
+lines are split and hashed whole; an empty table stays empty; other columns pass through, only `deduplicate` replaces columns named like its counts.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ rule before it rejected: CASE WHEN stops at the first that does (`judge`), or ea
 (`keep`). The verdict is the same in any order, so the order (and the sample) changes the time and never the result.
 
 Defined results: a null text has no words and is rejected by `base`; empty and very long texts are judged
-whole; repeated rows are judged alike; other columns pass through untouched, and a column whose name a result
+whole; repeated rows are judged alike; an empty table stays empty; other columns pass through untouched, and a column whose name a result
 needs is replaced.
 """
 

@@ -25,6 +25,7 @@ from .common import map_groups, mix, prefix_hashes, span_hashes, tidy, word_code
 #: Symbols that are hashed at once; bounds the memory of a task's arrays.
 PIECE_BYTES = 1_500_000
 PIECE_DOCUMENTS = 4_096
+STRETCH = 1_000_000  # symbols of a longer text whose windows are looked at together
 POSITION_BITS = np.uint64(32)
 LAST_ID = np.iinfo(np.int64).max  # null ids come last
 
@@ -34,13 +35,13 @@ class Piece:
 
     def __init__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, seed: int = 0, other: np.ndarray | None = None):
         self.codes, self.starts, self.ends, self.first, self.seed = codes, starts, ends, first, seed
-        self._other = codes if other is None else other
+        self.other = codes if other is None else other
         self._prefix: dict[int, np.ndarray] = {}
 
     def hashes(self, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
         """One of two independent hashes of the symbols from start to end."""
         if lane not in self._prefix:
-            self._prefix[lane] = prefix_hashes(self._other if lane else self.codes, lane, self.seed)
+            self._prefix[lane] = prefix_hashes(self.other if lane else self.codes, lane, self.seed)
         return span_hashes(self._prefix[lane], start, end, lane, self.seed)
 
 
@@ -80,7 +81,25 @@ def byte_pieces(texts: list, seed: int = 0) -> Iterator[Piece]:
 
 
 def runs_of(p: Piece, k: int, m: int) -> Runs:
-    """The runs of all windows of `k` symbols, in document order; `at` counts from the document's start."""
+    """The runs of all windows of `k` symbols, in document order; `at` counts from the document's start.
+
+    A long text is looked at in stretches, so memory doesn't follow its length. A stretch yields the runs that begin in it: it starts a window early,
+    to see which run is an older one, and goes on for longer than a run can be."""
+    n = len(p.codes)
+    if n <= 2 * STRETCH:
+        return _runs_of(p, k, m)
+    parts = []
+    for low in range(0, n, STRETCH):
+        begin, end = max(0, low - 1), min(n, low + STRETCH + 2 * k)
+        cut = [np.clip(x - begin, 0, end - begin) for x in (p.starts, p.ends)]
+        r = _runs_of(Piece(p.codes[begin:end], *cut, p.first, p.seed, p.other[begin:end]), k, m)
+        at = r.at + cut[0][r.doc - p.first] + begin
+        own = (at >= low) & (at < low + STRETCH)
+        parts.append((r.doc[own], (at - p.starts[r.doc - p.first])[own], r.n[own], r.mz[own], r.span[own], r.check[own]))
+    return Runs(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _runs_of(p: Piece, k: int, m: int) -> Runs:
     n = len(p.codes)
     empty = np.zeros(0, np.int64)
     if n < k:
@@ -221,11 +240,15 @@ def in_map(m: BitMap, keys: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------ flagged spans
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Which of n symbols lie in any of the spans."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
-    return np.cumsum(edge[:-1]) > 0
+    """Which of n symbols lie in any of the spans: a byte or two a symbol, as a long text has many."""
+    edge = np.zeros(n + 1, np.int8)
+    if len(starts):
+        order = np.argsort(starts, kind="stable")
+        starts, upto = starts[order], np.maximum.accumulate(ends[order])
+        first = np.flatnonzero(np.append(True, starts[1:] > upto[:-1]))
+        edge[starts[first]] = 1
+        edge[upto[np.append(first[1:] - 1, len(upto) - 1)]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
 
 def document_keys(ids: pa.Array, texts: list) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ are grouped by their digests, so a name decides nothing any more.
 
 A word goes if a window of k words that covers it also starts earlier: in a document of smaller id, or in the same
 one before. Defined results: a null text has no words; null ids come last; documents shorter than a window keep all;
+very long texts are windowed whole, in stretches; an empty table gives no rows;
 rows with equal id and text count as one document and get equal results; rows with equal id and other text come in
 the order of hashes of their texts; other columns are not kept.
 """

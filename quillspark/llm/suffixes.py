@@ -12,7 +12,8 @@ Minimizers with very many different runs (`hot` and more) are dealt to blocks by
 task: each block has its suffix array, and its distinct strings are compared with those of the other blocks by hash
 and digest, as runs are.
 
-Defined results: a null text is empty; a document shorter than the window keeps all; strings never cross documents;
+Defined results: a null text is empty; a document shorter than the window keeps all; strings never cross documents; a very long text is
+looked at in stretches, and is held whole only as its bytes; an empty table gives no rows;
 rows that repeat are documents of their own, so equal rows of 200 bytes and more lose everything (if they repeat in id
 too, they count as one document to the suffix arrays, but each is an occurrence to the hashes); null ids come last;
 other columns are not kept.

@@ -17,7 +17,8 @@ chunk's ranks are appended to one table.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part; a shorter vector
 counts as followed by zeros; ties go to the smaller vec_id (null last); repeated rows are each a candidate, and
-each a query with a list of its own; fewer candidates than k give all of them; an empty table gives no rows.
+each a query with a list of its own; fewer candidates than k give all of them; an empty table gives no rows; only the id and the
+vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ then reads only byte ranges: the index, and the records that it is asked for.
 Records with equal payloads of at least `min_revisit` bytes are stored once, as the response of the smallest
 page_id; the others become revisit records that refer to it. Defined results: a null payload is empty; null
 page ids sort last, and if a group has no other they are all responses; rows that repeat the smallest page_id
-are all responses; empty tables give no archive and no record; other columns are not stored.
+are all responses; very long payloads are records of their own size; empty tables give no archive and no record; other columns are not stored.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import hashlib
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -151,3 +152,46 @@ def test_bit_map(spark):
     bits = spans.bit_map(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k")
     assert spans.in_map(bits, keys.astype(np.uint64)).all()
     assert spans.in_map(bits, np.arange(5000, dtype=np.uint64)).mean() < 0.01
+
+
+@pytest.mark.parametrize("letters", [2, 26])
+def test_runs_of_a_long_text_are_those_of_the_whole(monkeypatch, letters):
+    """Stretches of a long text give the runs that one look at it gives, across seams and documents, for bytes and words."""
+    rng = np.random.default_rng(letters)
+    texts = ["".join(map(chr, 97 + rng.integers(0, letters, n))) for n in (0, 30, 7_000, 1, 45, 3_000)] + ["ab" * 900, "x" * 2_000]
+    worded = [" ".join(map(str, rng.integers(0, letters, n))) for n in (900, 0, 3, 2_500)]
+    for pieces, given, k, m in ((spans.byte_pieces, texts, 40, 8), (spans.word_pieces, worded, 20, 5)):
+        found = []
+        for stretch in (10**9, 1_000, 100, 41):
+            monkeypatch.setattr(spans, "STRETCH", stretch)
+            found.append([tuple(x.tolist() for x in (r.doc, r.at, r.n, r.mz, r.span, r.check)) for p in pieces(given) for r in [spans.runs_of(p, k, m)]])
+        assert len(found[0][0][0]) > 20 and all(f == found[0] for f in found)
+
+
+def test_covered_against_a_loop():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        for _ in range(200):
+            starts = rng.integers(0, n, rng.integers(0, 6))
+            ends = np.minimum(n, starts + rng.integers(1, 9, len(starts)))
+            want = [any(a <= i < b for a, b in zip(starts, ends)) for i in range(n)]
+            assert spans.covered(starts, ends, n).tolist() == want
+
+
+def test_memory_does_not_follow_a_texts_length():
+    """A text of 50 MB beside a thousand short ones: the runs of all of them within a worker's bounds."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from quillspark.llm import spans
+rng = np.random.default_rng(1)
+texts = ["short text " * 30] * 1000 + [rng.integers(97, 123, 50_000_000, dtype=np.uint8).tobytes().decode()]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(r.at) for p in spans.byte_pieces(texts) for r in [spans.runs_of(p, 200, 24)])
+spans.covered(np.array([5, 7_000_000]), np.array([300, 49_000_000]), 50_000_000)
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    n, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout.split())
+    assert n > 400_000 and peak < 1_000
