@@ -201,15 +201,15 @@ def drift(df: DataFrame, label: str, metrics: dict[str, bool]) -> DataFrame:
     human = F.col(label) != 1
     name = F.concat_ws(" · ", F.coalesce("source", F.lit("?")), F.coalesce("era", F.lit("?")), F.when(human, "human").otherwise(F.coalesce("model", F.lit("ai"))))
     long = df.select(name.alias("grp"), F.col(label).alias("_l"), *[pinned(F.col(m).cast("double")).alias(m) for m in metrics]).unpivot(["grp", "_l"], list(metrics), "metric", "value").where("value IS NOT NULL")
-    # everything below reads this one histogram; its conditions name both counts, so that it is planned once
-    cells = long.groupBy("grp", "metric", F.col("value").alias("score")).agg(F.count_if(F.col("_l") == 1).alias("pos"), F.count_if(F.col("_l") != 1).alias("neg"))
+    # all below reads this one histogram, which is kept: its groups are joined to the running sum of all human rows, and no human
+    # cell is copied to a group
+    cells = settled(long.groupBy("grp", "metric", F.col("value").alias("score")).agg(F.count_if(F.col("_l") == 1).alias("pos"), F.count_if(F.col("_l") != 1).alias("neg")))
     median = _dist(cells.select("grp", "metric", "score", (F.col("pos") + F.col("neg")).alias("c")), ["grp", "metric"]).select("grp", "metric", "n", "median")
-    pooled = cells.groupBy("metric", "score").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("_p")).where("neg > 0 AND _p >= 0").select("metric", "score", "neg")
-    groups = cells.where("pos > 0 AND neg >= 0").select("grp", "metric", "score", "pos")
-    names = groups.select("grp", "metric").distinct()
-    both = groups.select("grp", "metric", "score", "pos", F.lit(0).cast("long").alias("neg")).union(names.join(pooled, "metric").select("grp", "metric", "score", F.lit(0).cast("long"), "neg"))
-    h = running(both.groupBy("grp", "metric", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), {"below": "neg"}, ["grp", "metric"])
-    wins = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("double")
-    a = h.groupBy("grp", "metric").agg(F.try_divide(wins, 2.0 * F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    pooled = running(cells.groupBy("metric", "score").agg(F.sum("neg").alias("neg")), {"below": "neg"}, ["metric"])
+    humans = cells.groupBy("metric").agg(F.sum("neg").alias("n_neg"))
+    groups = cells.where("pos > 0").select("grp", "metric", "score", "pos").join(pooled, ["metric", "score"])
+    wins = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)")).cast("double")
+    found = groups.groupBy("grp", "metric").agg(wins.alias("wins"), F.sum("pos").alias("n_pos")).join(F.broadcast(humans), "metric")  # a row a metric
+    a = found.select("grp", "metric", F.try_divide("wins", 2.0 * F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
     low = F.col("metric").isin([m for m, x in metrics.items() if x] or [""])
     return median.join(a, ["grp", "metric"], "left").withColumn("auc", F.when(low, 1 - F.col("auc")).otherwise(F.col("auc")))
