@@ -63,7 +63,8 @@ def running(h: DataFrame, columns: dict[str, str], by: list[str] = (), descendin
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
     """(by, n_pos, n_neg, auc): the chance that a positive scores above a negative, ties for half; null with one class."""
-    h = running(histogram(df, score, label, by), {"below": "neg"}, by)
+    h = histogram(df, score, label, by)
+    h = running(settled(h) if by else h, {"below": "neg"}, by)  # with groups it is read several times
     pos, neg = F.sum("pos"), F.sum("neg")
     wins = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)")).cast("double")
     return h.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(wins, 2.0 * F.nullif(pos * neg, F.lit(0))).alias("auc"))
@@ -142,7 +143,7 @@ def confusion_at(df: DataFrame, score: str, label: str, threshold: float | Colum
 
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """The confusion at each distinct score: reverse prefix sums over the histogram, not a pass for each threshold."""
-    h = histogram(df, score, label)
+    h = settled(histogram(df, score, label))
     h = running(h, {"tp": "pos", "fp": "neg"}, descending=True, inclusive=True)
     totals = h.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return _ratios(h.join(F.broadcast(totals)).withColumns({"fn": F.col("np") - F.col("tp"), "tn": F.col("nn") - F.col("fp")}))
