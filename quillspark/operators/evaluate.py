@@ -26,14 +26,17 @@ def evaluate(rows: DataFrame, train: DataFrame | None = None, threshold: float |
         threshold = one(stats.best_threshold(train, "score", label))["threshold"] if train is not None else 2.5
     long = rows.select(label, *[F.col(n).cast("double").alias(n) for n in names]).unpivot([label], names, "feature", "value")
     directions = dimension(rows.sparkSession).select("feature", "direction")
-    wrong = stats.misclassified(rows, key, "score", label, threshold).collect()
+    beside = tuple(c for c in ("domain", "source", "sentence_cv", "type_token_ratio") if c in rows.columns)
+    wrong = stats.misclassified(rows, key, "score", label, threshold, beside=beside).collect()
+    sides = lambda df: one(df.agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) != 1).alias("n_neg")))
+    parts = {"test": sides(rows)} | ({"train": sides(train)} if train is not None else {})
     leaky = one(stats.best_threshold(rows, "score", label))["threshold"]
     slices: dict[str, dict] = {}
     for r in stats.slice_auc(rows, "score", label, [k for k in ("domain", "source", "era") if k in rows.columns]).collect():
         slices.setdefault(f"{r.slice}_auc", {})[r.value] = round(r.auc, 4)
     ci = one(stats.bootstrap_auc_ci(rows, "score", label, reps))
     out = {
-        **one(stats.auc(rows, "score", label)), "auc_ci95": [ci["lo"], ci["hi"]], "paired": one(stats.paired_auc(rows, "question", key, "score", label)) if "question" in rows.columns else {},
+        "parts": parts, **one(stats.auc(rows, "score", label)), "auc_ci95": [ci["lo"], ci["hi"]], "paired": one(stats.paired_auc(rows, "question", key, "score", label)) if "question" in rows.columns else {},
         "score_dist": {str(r[label]): r.asDict() for r in stats.dist(rows, "score", [label]).collect()},
         "operating_threshold": one(stats.confusion_at(rows, "score", label, threshold)), "leaky_best_f1": one(stats.confusion_at(rows, "score", label, leaky)),
         "feature_auc": {r.feature: r.asDict() for r in stats.feature_auc(long, label, directions).collect()}, **slices,
@@ -43,13 +46,14 @@ def evaluate(rows: DataFrame, train: DataFrame | None = None, threshold: float |
     return out
 
 
-def write_report(metrics: dict, folder: str) -> None:
-    """metrics.json, report.md and misclassified.md."""
+def write_report(metrics: dict, folder: str, corpus: str = "", split: str = "") -> None:
+    """metrics.json, report.md and misclassified.md. `corpus` and `split` say what was evaluated."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
-    (out / "metrics.json").write_text(json.dumps(metrics, indent=2), encoding="utf-8")
-    lines = ["# Evaluation", "", f"AUC {metrics['auc']} (95 % from {metrics['auc_ci95'][0]} to {metrics['auc_ci95'][1]}), {metrics['n_pos']} machine and {metrics['n_neg']} human texts.", "", "| feature | direction | coverage | AUC |", "|---|---|---|---|"]
-    lines += [f"| {r['feature']} | {r['direction']} | {r['coverage']} | {r['auc']} |" for r in metrics["feature_auc"].values()]
+    (out / "metrics.json").write_text(json.dumps({"meta": {"corpus": corpus, "split": split}, **metrics}, indent=2), encoding="utf-8")
+    of = [f"Corpus: {corpus or 'not named'}; part evaluated: {split or 'all'}.", *(f"Rows of the {k} part: {v['n_pos']} machine, {v['n_neg']} human." for k, v in metrics["parts"].items())]
+    lines = ["# Evaluation", "", *of, "", f"AUC {metrics['auc']} (95 % from {metrics['auc_ci95'][0]} to {metrics['auc_ci95'][1]}), {metrics['n_pos']} machine and {metrics['n_neg']} human texts.", "", "| feature | direction | coverage | AUC |", "|---|---|---|---|"]
+    lines += [f"| {r['feature']} | {r['direction']} | {r['coverage']} | {r['auc']} |" for r in sorted(metrics["feature_auc"].values(), key=lambda r: -(r["auc"] or 0))]
     for name, values in metrics.items():
         if name.endswith("_auc") and name != "feature_auc":
             lines += ["", f"## {name}", "", *(f"- {k}: {v}" for k, v in sorted(values.items()))]
@@ -64,10 +68,15 @@ def write_report(metrics: dict, folder: str) -> None:
     (out / "report.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
     wrong = ["# Misclassified", ""]
     for kind in ("false_positives", "false_negatives"):
-        wrong += [f"## {kind.replace('_', ' ')}", "", *(f"- {r['score']}: {r['snippet']}" for r in metrics[kind]), ""]
+        wrong += [f"## {kind.replace('_', ' ')}", "", *(_wrong(r) for r in metrics[kind]), ""]
     (out / "misclassified.md").write_text("\n".join(wrong), encoding="utf-8")
 
 
+def _wrong(r: dict) -> str:
+    facts = [f"{k} {round(v, 3) if isinstance(v, float) else v}" for k, v in r.items() if k not in ("kind", "rank", "snippet") and v is not None]
+    return f"- {', '.join(facts)}: {r['snippet']}"
+
+
 def drift_report(rows: DataFrame, path: str, label: str = "y", metrics: dict[str, bool] | None = None) -> str:
     """A table of each group's size, median score and AUC against pooled human rows, as Markdown at `path`.
 

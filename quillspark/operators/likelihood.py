@@ -7,6 +7,7 @@ pair, and a combiner for them is trained on them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -125,22 +126,27 @@ class BatchScorer:
 
     `load` gives the model, once a worker process and `name`: a function from a list of texts to a tuple of the four features
     (or None) for each. Texts go to it in lists of `size`; blank ones and those of one word don't. A list holds texts of
-    one Arrow batch only, and the results must not depend on what else is in it."""
+    one Arrow batch only, and the results must not depend on what else is in it. With `max_words` a text ends after so many
+    words for the model, which may have a window of its own."""
 
     name: str
     load: Callable[[], Callable[[list[str]], list[tuple | None]]]
     size: int = 16
+    max_words: int | None = None
 
     def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         df = df.drop(*LL_SCHEMA)
         schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in LL_SCHEMA)])
         text_at, name, load, size = df.columns.index(text_col), self.name, self.load, self.size
+        head = re.compile(rf"(?:\s*\S+){{1,{self.max_words}}}") if self.max_words else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if name not in _loaded:
                     _loaded[name] = load()
                 texts = b.column(text_at).to_pylist()
+                if head:
+                    texts = [m.group() if t and (m := head.match(t)) else t for t in texts]
                 found: list[tuple | None] = [None] * len(texts)
                 # those of like length together, so that a model pads little
                 wanted = sorted((i for i, t in enumerate(texts) if t and len(t.split()) > 1), key=lambda i: len(texts[i]))

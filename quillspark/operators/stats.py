@@ -186,14 +186,14 @@ def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.lit(found[c])) for c in columns})
 
 
-def misclassified(df: DataFrame, key: str, score: str, label: str, threshold: float, text_col: str = "text", limit: int = 15) -> DataFrame:
-    """(kind, rank, key, score, snippet): false positives by falling score, false negatives by rising, at the threshold at
+def misclassified(df: DataFrame, key: str, score: str, label: str, threshold: float, text_col: str = "text", limit: int = 15, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, rank, key, score, snippet, and the columns `beside`): false positives by falling score, false negatives by rising, at the threshold at
     two digits; the first `limit` of each for a report."""
     t = round(threshold, 2)
     kind = F.when((F.col(label) != 1) & (F.col(score) >= t), "fp").when((F.col(label) == 1) & (F.col(score) < t), "fn")
-    wrong = df.select(pinned(kind).alias("kind"), F.col(key), F.col(score).alias("score"), F.substring(text_col, 1, 280).alias("snippet")).where("kind IS NOT NULL")
+    wrong = df.select(pinned(kind).alias("kind"), F.col(key), F.col(score).alias("score"), F.substring(text_col, 1, 280).alias("snippet"), *beside).where("kind IS NOT NULL")
     order = F.when(F.col("kind") == "fp", -F.col("score")).otherwise(F.col("score"))
-    return wrong.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(order, key))).where(F.col("rank") <= limit).select("kind", "rank", key, "score", "snippet")
+    return wrong.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(order, key))).where(F.col("rank") <= limit).select("kind", "rank", key, "score", "snippet", *beside)
 
 
 def drift(df: DataFrame, label: str, metrics: dict[str, bool]) -> DataFrame:

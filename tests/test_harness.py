@@ -147,6 +147,8 @@ def test_batch_scorer(spark):
     got = {r.text: r for r in likelihood.BatchScorer("lengths", load, size=3).score(df).collect()}
     assert len(got) == 14 and all(got[t].ll_perplexity is None for t in texts[:4])
     assert all(got[t].ll_perplexity == len(t) and got[t].ll_surprisal_stdev is None for t in texts[4:])
+    cut = likelihood.BatchScorer("cut lengths", load, size=3, max_words=4).score(df).collect()
+    assert all(r.ll_perplexity == len(" ".join(r.text.split()[:4])) for r in cut if r.text in texts[4:])
 
 
 def test_far_off_scores_and_many_ranges(spark):
@@ -190,7 +192,11 @@ def test_train_and_evaluate(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scored = score(docs).join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), "doc_id").withColumns({"y": 1 - F.col("quality"), "question": F.col("lang"), "id": F.col("doc_id"), "domain": F.col("lang")})
     metrics = evaluate.evaluate(scored, scored, reps=50)
-    evaluate.write_report(metrics, str(tmp_path))
+    evaluate.write_report(metrics, str(tmp_path), "some corpus", "test")
+    report = (tmp_path / "report.md").read_text()
+    assert "some corpus" in report and f"{metrics['parts']['train']['n_pos']} machine" in report
+    if metrics["false_positives"]:
+        assert "type_token_ratio" in (tmp_path / "misclassified.md").read_text()
     assert json.loads((tmp_path / "metrics.json").read_text())["auc"] == metrics["auc"]
     assert set(FEATURE_NAMES) <= set(metrics["feature_auc"]) and all(x in (tmp_path / "report.md").read_text() for x in ("operating threshold", "best F1", "both sides", "| 1 |"))
     rows = scored.withColumns({"era": F.lit("2022"), "model": F.lit("m")})
