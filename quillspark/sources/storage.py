@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -68,6 +68,10 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a settled table, with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, a settled table of strings and numbers, with a broadcast hint if its values take no more than so many bytes."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind == "string" else F.lit(8))
+    size = df.agg(F.sum(width.cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most_bytes else df

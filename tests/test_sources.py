@@ -185,3 +185,9 @@ def test_flat_lint_is_score_without_its_structs(spark):
     for i in (1, 2):
         assert all(flat[i][c] == scored[i][c] for c in flat[i].asDict()) and "signals" not in flat[i].asDict()
     assert flat[1].score > 0 and flat[2].score == 0
+
+
+def test_small_goes_by_bytes(spark):
+    df = spark.createDataFrame([("x" * 100, 1), (None, 2)], "word string, n long")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(storage.small(df, 148)) and not hinted(storage.small(df, 147)) and hinted(storage.small(df.limit(0), 0))
