@@ -29,19 +29,15 @@ def histogram(df: DataFrame, score: str, label: str, by: list[str] = ()) -> Data
     return rows.groupBy(*by, "score").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def _cut(h: DataFrame, by: list[str], ranges: int) -> tuple[DataFrame, list, Column]:
-    """`h` with `_bin`, one of `ranges` intervals of its group's scores that hold about as many cells each; the sums of all its
-    columns; and a condition that names them all, so that every branch reads the same columns and the histogram's
-    shuffle is planned once and reused."""
-    values = [c for c in h.columns if c not in (*by, "score")]
-    sums = [F.sum(c).alias(f"_all_{c}") for c in values]
-    whole = F.lit(True)
-    for c in values:
-        whole = whole & (F.col(f"_all_{c}") >= 0)
+def _cut(h: DataFrame, by: list[str], ranges: int) -> DataFrame:
+    """`h`, a settled histogram, with `_bin`, one of `ranges` intervals of its group's scores that hold about as many cells each.
+
+    The edges are settled too: approximate quantiles depend on the order in which a shuffle's blocks come, so two branches that each
+    computed them could cut the same cells differently."""
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = h.groupBy(*by).agg(F.percentile_approx("score", points, 1_000).alias("_edges"), *sums).where(whole).select(*by, "_edges")
+    edges = settled(h.groupBy(*by).agg(F.percentile_approx("score", points, 1_000).alias("_edges")))
     cut = (h.join(edges, by) if by else h.join(F.broadcast(edges))).withColumn("_bin", F.size(F.filter("_edges", lambda x: x < F.col("score"))))
-    return cut.drop("_edges"), sums, whole
+    return cut.drop("_edges")
 
 
 def running(h: DataFrame, columns: dict[str, str], by: list[str] = (), descending: bool = False, inclusive: bool = False, ranges: int = 64) -> DataFrame:
@@ -50,11 +46,11 @@ def running(h: DataFrame, columns: dict[str, str], by: list[str] = (), descendin
     Scores are cut at their quantiles, so one far-off score doesn't fill one range with all others; each range sums within
     itself and adds the totals of the ranges before it, of which there are few."""
     by = list(by)
-    binned, sums, whole = _cut(h, by, ranges)
+    binned = _cut(settled(h), by, ranges)
     order = F.desc("_bin") if descending else F.asc("_bin")
     # one row a bin and group
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = binned.groupBy(*by, "_bin").agg(*sums).where(whole).select(*by, "_bin", *[F.coalesce(F.sum(f"_all_{c}").over(w), F.lit(0)).alias(f"_before_{out}") for out, c in columns.items()])
+    before = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_all_{c}") for c in set(columns.values())]).select(*by, "_bin", *[F.coalesce(F.sum(f"_all_{c}").over(w), F.lit(0)).alias(f"_before_{out}") for out, c in columns.items()])
     inner = Window.partitionBy(*by, "_bin").orderBy(F.desc("score") if descending else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     joined = binned.join(F.broadcast(before) if not by else before, [*by, "_bin"])
     joined = joined.withColumns({out: (F.col(f"_before_{out}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).cast("long") for out, c in columns.items()})
@@ -64,7 +60,7 @@ def running(h: DataFrame, columns: dict[str, str], by: list[str] = (), descendin
 def auc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
     """(by, n_pos, n_neg, auc): the chance that a positive scores above a negative, ties for half; null with one class."""
     h = histogram(df, score, label, by)
-    h = running(settled(h) if by else h, {"below": "neg"}, by)  # with groups it is read several times
+    h = running(h, {"below": "neg"}, by)
     pos, neg = F.sum("pos"), F.sum("neg")
     wins = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)")).cast("double")
     return h.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(wins, 2.0 * F.nullif(pos * neg, F.lit(0))).alias("auc"))
@@ -95,7 +91,7 @@ def bootstrap_auc_ci(df: DataFrame, score: str, label: str, reps: int = 2000, se
     spark = df.sparkSession
     ship(spark)
     h = settled(histogram(df, score, label))
-    cut, *_ = _cut(h, [], max(2, -(-h.count() // cells)))
+    cut = _cut(h, [], max(2, -(-h.count() // cells)))
 
     def draw(key, x: pd.DataFrame) -> pd.DataFrame:
         x, rows = x.sort_values("score"), []
@@ -143,7 +139,7 @@ def confusion_at(df: DataFrame, score: str, label: str, threshold: float | Colum
 
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """The confusion at each distinct score: reverse prefix sums over the histogram, not a pass for each threshold."""
-    h = settled(histogram(df, score, label))
+    h = histogram(df, score, label)
     h = running(h, {"tp": "pos", "fp": "neg"}, descending=True, inclusive=True)
     totals = h.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return _ratios(h.join(F.broadcast(totals)).withColumns({"fn": F.col("np") - F.col("tp"), "tn": F.col("nn") - F.col("fp")}))
