@@ -191,3 +191,20 @@ def test_small_goes_by_bytes(spark):
     df = spark.createDataFrame([("x" * 100, 1), (None, 2)], "word string, n long")
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(storage.small(df, 148)) and not hinted(storage.small(df, 147)) and hinted(storage.small(df.limit(0), 0))
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    """A file of one row group has many splits by its bytes, and all rows in one of them."""
+    from quillspark.sources.readers import spread
+
+    path = str(tmp_path / "t")
+    spark.range(0, 20_000, 1, 1).selectExpr("id", "md5(cast(id AS STRING)) AS text").write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > 4
+        rows = spread(df).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+        assert max(rows) < 20_000 / 4 and sum(rows) == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
