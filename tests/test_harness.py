@@ -202,3 +202,11 @@ def test_train_and_evaluate(spark, tmp_path):
     rows = scored.withColumns({"era": F.lit("2022"), "model": F.lit("m")})
     table = evaluate.drift_report(rows, str(tmp_path / "drift.md"))
     assert "· human | " in table and "· m | " in table and (tmp_path / "drift.md").read_text() == table
+
+
+def test_texts_without_a_label_are_not_parsed(spark):
+    from quillspark.plans import queries
+
+    plan = queries.labelled(spark, "/root/testdata/sf0.001").select("s", *FEATURE_NAMES)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner")
+    assert "regexp_extract_all" in above and "regexp" not in below
